@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnflow.llm import decontam, licenses, mixing, pii, secrets, sharding
+from cairnflow.llm import decontam, licenses, mixing, neardup, pii, quality, secrets, sharding, toxicity
 from cairnflow.llm.common import read_table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op3_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read_table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_digest(read_table(spark, sf_dir, "documents"))
 
@@ -28,12 +36,17 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op4_secret_scan, op5_license_digest, op6_decontaminate, op7_pii, op8_mix_sources, op10_shard_slots)}
+    found = (op2_toxicity, op3_quality_perplexity, op4_secret_scan, op5_license_digest, op6_decontaminate, op7_pii, op8_mix_sources, op9_near_duplicates, op10_shard_slots)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
