@@ -138,3 +138,19 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     rows = counts.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("i"))
     copies = F.col("base") + F.when(F.col("i") <= F.col("extra"), 1).otherwise(0)
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies"), "source")
+
+
+def apply_mix(docs: DataFrame, **options) -> DataFrame:
+    """docs with each row as often as the mix takes it, with all its columns."""
+    counts = materialise(mix_counts(docs, **options), "mix")
+    taken = counts.where("base + extra > 0").select(F.col("source").alias("__s"), F.col("doc_id").alias("__i"), F.col("size").alias("__n"), F.col("m").alias("__m"), F.col("base").alias("__base"), F.col("extra").alias("__extra"))
+    rows = docs.withColumn("__size", word_count(F.col("text")))
+    on = rows["doc_id"].cast("long").eqNullSafe(taken["__i"]) & rows["source"].cast("string").eqNullSafe(taken["__s"]) & (rows["__size"] == taken["__n"])
+    both = rows.join(taken, on)
+    if counts.where("m > 1").limit(1).count():
+        rank = Window.partitionBy("__s", "__i", "__n").orderBy(F.xxhash64("text"))
+        both = both.withColumn("__copies", F.col("__base") + F.when(F.row_number().over(rank) <= F.col("__extra"), 1).otherwise(0)).where("__copies > 0")
+    else:
+        both = both.withColumn("__copies", F.col("__base") + F.col("__extra"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return both.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")).select(*columns)

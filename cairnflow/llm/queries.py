@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnflow.llm import decontam, licenses, mixing, neardup, pii, quality, secrets, sharding, toxicity
+from cairnflow.llm import decontam, html_extract, licenses, mixing, neardup, pii, quality, secrets, sharding, toxicity
 from cairnflow.llm.common import read_table
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(read_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -45,7 +49,7 @@ def op10_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    found = (op2_toxicity, op3_quality_perplexity, op4_secret_scan, op5_license_digest, op6_decontaminate, op7_pii, op8_mix_sources, op9_near_duplicates, op10_shard_slots)
+    found = (op1_main_text, op2_toxicity, op3_quality_perplexity, op4_secret_scan, op5_license_digest, op6_decontaminate, op7_pii, op8_mix_sources, op9_near_duplicates, op10_shard_slots)
     return {f.__name__: f for f in found}
 
 

@@ -114,16 +114,30 @@ def place(rows: DataFrame, maps: DataFrame, sizes: list[tuple[int, int, int]]) -
     return rows.withColumn("rank", F.row_number().over(rank)).join(F.broadcast(offsets), "vslot").withColumn("slot", (F.col("offset") + F.col("rank") - 1).cast("long"))
 
 
+def balanced(rows: DataFrame, n_shards: int, n_slots: int) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """The stored map (version 1 by slot, version 2 rebalanced by bytes) and the sizes of the slots of rows."""
+    sizes = slot_sizes(rows)
+    start = first_map(n_shards, n_slots)
+    even = rebalance(start, {s: b for s, b, _ in sizes}, n_shards)
+    return materialise(map_table(rows.sparkSession, [(1, start), (2, even)]).coalesce(1), "slot-map"), sizes
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version of each document.
 
     The law is `bytes`: shards hold nearly equal sizes; grown_shard is null, as it belongs to another law.
     """
-    spark = docs.sparkSession
     rows = materialise(keyed(docs, n_slots), "sized")
-    sizes = slot_sizes(rows)
-    start = first_map(n_shards, n_slots)
-    even = rebalance(start, {s: b for s, b, _ in sizes}, n_shards)
-    maps = materialise(map_table(spark, [(1, start), (2, even)]).coalesce(1), "slot-map")
+    maps, sizes = balanced(rows, n_shards, n_slots)
     placed = place(rows, maps, sizes)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"), "map_version")
+
+
+def with_shard(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS) -> DataFrame:
+    """docs with shard, virtual_slot and map_version; the texts don't travel, as the map is joined where they lie."""
+    rows = materialise(keyed(docs, n_slots).select("vslot", "size"), "sized")
+    maps, _ = balanced(rows, n_shards, n_slots)
+    found = F.broadcast(latest(maps).select(F.col("vslot").alias("__v"), F.col("shard").alias("__shard"), F.col("version").alias("__version")))
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "virtual_slot", "map_version")]
+    both = docs.withColumn("__slot", virtual_slot(F.col("doc_id"), n_slots).cast("int")).join(found, F.col("__slot") == F.col("__v"))
+    return both.select(*own, F.col("__shard").cast("int").alias("shard"), F.col("__slot").alias("virtual_slot"), F.col("__version").alias("map_version"))
