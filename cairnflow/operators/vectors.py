@@ -123,7 +123,7 @@ def fit_spherical(frame: DataFrame, k: int, vector: str = "embedding", id_: str
     """
     data = frame.select(id_, V.unit(F.col(vector)).alias("__v")).where("__v is not null")
     seeds = data.orderBy(F.xxhash64(id_), id_).limit(k).collect()
-    centroids = [(i, list(r["__v"])) for i, r in enumerate(seeds)]
+    centroids = [(i, list(r["__v"])) for i, r in enumerate(seeds)]  # k rows
     for _ in range(iterations if centroids else 0):
         assigned = assign(data, centroids, "__v")
         means = {r["code"]: r["mean"] for r in mean_vector(assigned, ["code"], "__v").collect()}
@@ -148,15 +148,12 @@ def residual_codes(frame: DataFrame, levels: int, k: int, vector: str = "embeddi
     """id, s1..sL: codes of successive spherical codebooks on projection residuals. Each level is a map over rows."""
     data = frame.select(id_, V.unit(F.col(vector)).alias("__x"))
     for level in range(1, levels + 1):
+        data = data.persist()  # each round of the fit reads the level's rows again
         book = fit_spherical(data, k, "__x", id_, iterations)
         data = assign(data, book, "__x").withColumnRenamed("code", f"s{level}").drop("score")
-        centers = F.map_from_entries(F.array(*[F.struct(F.lit(c), F.array(*[F.lit(float(x)) for x in v])) for c, v in book])) if len(book) * len(book[0][1]) <= 4096 else None
-        if centers is not None:
-            left = V.projection_residual(F.col("__x"), F.element_at(centers, F.col(f"s{level}")))
-        else:
-            table = data.sparkSession.createDataFrame(book, "__k int, __c array<double>")
-            data = data.join(F.broadcast(table), F.col(f"s{level}") == F.col("__k")).drop("__k")
-            left = V.projection_residual(F.col("__x"), F.col("__c"))
+        table = data.sparkSession.createDataFrame(book, "__k int, __c array<double>")  # k rows
+        data = data.join(F.broadcast(table), F.col(f"s{level}") == F.col("__k")).drop("__k")
+        left = V.projection_residual(F.col("__x"), F.col("__c"))
         data = data.withColumn("__x", F.coalesce(left, F.col("__x"))).drop("__c")
     return data.drop("__x")
 

@@ -158,5 +158,5 @@ def unique_pair_assignment(spark, sf):
 
 @query()
 def residual_codes(spark, sf):
-    """Three levels of spherical residual codes fitted on the table (iterative)."""
-    return vectors.residual_codes(table(spark, sf, "embeddings"), 3, 8)
+    """Two levels of spherical residual codes fitted on the table (iterative)."""
+    return vectors.residual_codes(table(spark, sf, "embeddings"), 2, 8, iterations=2)

@@ -103,7 +103,7 @@ def depth_sensitivity(spark, sf):
     return rounded(supervision.sensitivity(supervised_of(spark, sf)[2]))
 
 
-@query(f"WITH {EDGES}, per AS (SELECT query, layer, sum(edge_probability) AS p, sum(edge_weight) AS w, count(*) AS n FROM edges GROUP BY ALL) SELECT layer, count(*) AS queries, CAST(sum(n) AS BIGINT) AS edges, round(sum(w), 6) AS weight, max(abs(p - 1)) < 1e-9 AS conserved FROM per GROUP BY layer")
+@query(f"WITH {EDGES}, mass AS (SELECT query, layer, sum(edge_probability) AS p, sum(edge_weight) AS w, count(*) AS n FROM edges GROUP BY ALL) SELECT layer, count(*) AS queries, CAST(sum(n) AS BIGINT) AS edges, round(sum(w), 6) AS weight, max(abs(p - 1)) < 1e-9 AS conserved FROM mass GROUP BY layer")
 def graph_mass_by_layer(spark, sf):
     pairs, cat, sup = supervised_of(spark, sf)
     mass = supervision.graph_mass(supervision.layer_edges(pairs, cat, sup))

@@ -90,7 +90,7 @@ def fixed_candidate_rank(spark, sf):
 _E = "embedding::DOUBLE[]"
 
 
-@query(f"WITH o AS (SELECT vec_id, {_E} AS x, CASE WHEN vec_id % 3 <> 0 THEN list_concat(list_slice({_E}, 2, len(embedding)), [embedding[1]::DOUBLE]) END AS y FROM embeddings), m AS (SELECT vec_id, x, y, list_transform(range(1, len(x) + 1), lambda i: 0.7 * x[i] + 0.3 * y[i]) AS z FROM o) SELECT vec_id, round(CASE WHEN y IS NULL THEN x[1] ELSE z[1] / sqrt(list_inner_product(z, z)) END, 9) AS v1, round(CASE WHEN y IS NULL THEN x[2] ELSE z[2] / sqrt(list_inner_product(z, z)) END, 9) AS v2 FROM m")
+@query(f"WITH o AS (SELECT vec_id, {_E} AS x, CASE WHEN vec_id % 3 <> 0 THEN list_concat(list_slice({_E}, 2, len(embedding)), [embedding[1]::DOUBLE]) END AS y FROM embeddings), m AS (SELECT vec_id, x, y, list_transform(range(1, len(x) + 1), lambda i: CASE WHEN y IS NULL THEN x[i] ELSE 0.7 * x[i] + 0.3 * y[i] END) AS z FROM o) SELECT vec_id, round(CASE WHEN y IS NULL THEN x[1] ELSE z[1] / sqrt(list_inner_product(z, z)) END, 9) AS v1, round(CASE WHEN y IS NULL THEN x[2] ELSE z[2] / sqrt(list_inner_product(z, z)) END, 9) AS v2 FROM m")
 def fused_vectors(spark, sf):
     e = table(spark, sf, "embeddings")
     other = F.when(F.col("vec_id") % 3 != 0, F.concat(F.slice("embedding", F.lit(2), F.size("embedding") - 1), F.array(F.element_at("embedding", 1))))
