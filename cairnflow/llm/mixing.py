@@ -146,7 +146,8 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     taken = counts.where("base + extra > 0").select(F.col("source").alias("__s"), F.col("doc_id").alias("__i"), F.col("size").alias("__n"), F.col("m").alias("__m"), F.col("base").alias("__base"), F.col("extra").alias("__extra"))
     rows = docs.withColumn("__size", word_count(F.col("text")))
     on = rows["doc_id"].cast("long").eqNullSafe(taken["__i"]) & rows["source"].cast("string").eqNullSafe(taken["__s"]) & (rows["__size"] == taken["__n"])
-    both = rows.join(taken, on)
+    # the decisions grow with the documents, so they are never broadcast: the plan is the same at every size
+    both = rows.join(taken.hint("merge"), on)
     if counts.where("m > 1").limit(1).count():
         rank = Window.partitionBy("__s", "__i", "__n").orderBy(F.xxhash64("text"))
         both = both.withColumn("__copies", F.col("__base") + F.when(F.row_number().over(rank) <= F.col("__extra"), 1).otherwise(0)).where("__copies > 0")
