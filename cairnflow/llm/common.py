@@ -42,6 +42,24 @@ def scratch_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Scratch tables of the running session by the owner that was named when they were written.
+_OWNED: dict[str, list[str]] = {}
+_OWNER = [""]
+
+
+def own_scratch(owner: str) -> None:
+    """Name the owner of the scratch tables written from now on."""
+    _OWNER[0] = owner
+
+
+def release(spark: SparkSession, owner: str) -> None:
+    """Delete the scratch tables of an owner whose results have been written elsewhere."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _OWNED.pop(owner, []):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet into the shared scratch folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -50,20 +68,10 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(conf).deleteOnExit(at)
+    _OWNED.setdefault(_OWNER[0], []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(*frames: DataFrame) -> None:
-    """Delete the files of tables made by materialise() that nothing reads any more."""
-    for df in frames:
-        spark = df.sparkSession
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for d in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "/cairnflow-" in d:
-                at = jvm.org.apache.hadoop.fs.Path(d)
-                at.getFileSystem(conf).delete(at, True)
-
-
 def map_rows(df: DataFrame, inputs: list[str], added: T.StructType, fn: Callable[[], Callable[..., Iterable]], keep: list[str] | None = None) -> DataFrame:
     """Add columns computed in Arrow batches.
 

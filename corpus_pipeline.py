@@ -6,33 +6,56 @@
 4. mix: every document is taken as often as its source's target weight asks for, maybe never.
 5. shard: every row gets its shard from the virtual slot map.
 
-Every stage but the last returns the columns of documents.
+Every stage but the last returns the columns of documents. A stage's result is written before the next one begins, so each
+stage first deletes the scratch tables of the one before it.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from cairnflow.llm import decontam, mixing, neardup, quality, sharding
-from cairnflow.llm.common import materialise, read_table
+from cairnflow.llm.common import materialise, own_scratch, read_table, release
+
+
+def _stage(work):
+    """A stage that deletes the scratch tables of the stage before it and owns those it writes."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, "stage")
+        own_scratch("stage")
+        try:
+            return work(spark, docs, sf_dir)
+        finally:
+            own_scratch("")
+
+    return run_stage
 
 
+@_stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.filter_documents(docs)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.deduplicate(docs)
 
 
+@_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply_mix(docs)
 
 
+@_stage
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.with_shard(docs)
 
@@ -45,7 +68,7 @@ STAGES = [
     ("shard", assign_shards),
 ]
 
-#: Perplexity and min-max hashing can't be written in SQL; tests/llm/test_pipeline.py holds the stages to brute force.
+#: Perplexity and min-max hashing can't be written in SQL; tests/llm/test_corpus.py holds the stages to brute force.
 ORACLE_SQL = None
 
 
