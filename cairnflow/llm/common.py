@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 #: Java and RE2 class of the ASCII white space that separates words.
 WS = r"\x20\x09-\x0D"
 
+#: Rows that are Python objects at a time; a batch's other rows stay in Arrow's memory.
+SLICE = 512
+
 LOWER_ASCII = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -90,8 +93,9 @@ def map_rows(df: DataFrame, inputs: list[str], added: T.StructType, fn: Callable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = fn()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
                 made = work(*[batch.column(n + i).to_pylist() for i in range(len(inputs))])
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + [pa.array(v, t) for v, t in zip(made, types, strict=True)], labels)
 
