@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cairnflow.functions import tokens
 from cairnflow.operators import identifiers as ids
-from cairnflow.operators import negatives, solvers, vectors
+from cairnflow.operators import negatives, solvers
 from cairnflow.plans.base import CODES, codes, query, rounded, table
 
 S = ["s1", "s2", "s3"]
@@ -154,9 +154,3 @@ def unique_pair_assignment(spark, sf):
     small = c.withColumn("bucket", F.concat_ws("-", "s1", "s2"))
     prototypes = [[(1.0 if (i >> b) & 1 else -1.0) * 0.1 for b in range(8)] for i in range(256)]
     return solvers.unique_pairs(small, "bucket", "vec_id", "v", prototypes)
-
-
-@query()
-def residual_codes(spark, sf):
-    """Two levels of spherical residual codes fitted on the table (iterative)."""
-    return vectors.residual_codes(table(spark, sf, "embeddings"), 2, 8, iterations=2)
