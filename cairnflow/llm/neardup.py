@@ -4,19 +4,21 @@ A document's set holds its distinct word shingles. Every permutation is evaluate
 and its maximum, so that 80 permutations give 160 signature values; five values make a band, minima and maxima in
 bands of their own, and 32 bands miss a pair at similarity 0.8 with probability (1 - 0.8^5)^32, or 3 in a million.
 
-1. Documents with equal sets (a 128-bit fingerprint) form a class; its smallest id stands for it from here on.
+1. Documents with equal sets (a 128-bit fingerprint) form a class; a number of its own stands for it from here on.
 2. Representatives that share a band form a bucket. Buckets are never opened into pairs: first every member is
    compared, on full sets, with the bucket head that it meets in most bands, which joins groups of copies of any size
    with one comparison a member. Connected components follow by alternating stars over tables.
 3. Buckets that still span several components are compared exactly: the members outside the bucket's largest
    component against all, in blocks of bounded size, on full sets. Only links come out.
-4. Components over all links; every document takes its class's component.
+4. Components over all links; every document takes its class's component, named by the smallest id in it.
 
 No bucket, class or candidate count is capped, and nothing but counts reaches the driver.
 
-Nulls and texts without words have an empty set and are linked with nothing. A null id takes its class's component and
-is kept only if the class has no id at all. Rows that share an id are one document with the sets of all of them in
-linking. Repeated rows all get the same result; empty tables give an empty one. Other columns are not read.
+Nulls and texts without words have an empty set and are linked with nothing. Ids play no part in linking: rows with a
+null id are linked as others are, and texts that share an id are linked only if they are near. The row that is kept
+of a component has its smallest id (a null id comes last), and of that id's texts the one with the smallest hash; a
+component without any id has a null component_id. Repeated rows (same id, same text) all get the same result; empty tables
+give an empty one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -89,8 +91,18 @@ def bands(low: np.ndarray, high: np.ndarray) -> list[int]:
 SKETCH = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with h1 and h2, a 128-bit hash of the text."""
+    return docs.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), F.col("text")))
+
+
+def row_key():
+    """Column: what tells a row from others, ordered by id, nulls last."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")
+
+
 def sketches(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, fingerprint (f1, f2) and band keys of each document."""
+    """doc_id, text hash (h1, h2), n_shingles, fingerprint (f1, f2) and band keys of each document."""
 
     def work():
         hashes = WordHashes()
@@ -106,7 +118,7 @@ def sketches(docs: DataFrame, width: int = WORDS) -> DataFrame:
 
         return rows
 
-    return map_rows(docs, ["text"], SKETCH, work, ["doc_id"])
+    return map_rows(keyed(docs), ["text"], SKETCH, work, ["doc_id", "h1", "h2"])
 
 
 def similar(a: int, b: int, both: int, percent: int = PERCENT) -> bool:
@@ -193,12 +205,14 @@ def compare_block(pdf: pd.DataFrame, width: int = WORDS, percent: int = PERCENT)
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents in ids (column node): a bounded bit filter first, then the exact join."""
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, text) of the rows in nodes (rep, first: a row key), rep standing as doc_id: a bounded bit filter first, then the exact join."""
     spark = docs.sparkSession
-    n = ids.count()
+    n = nodes.count()
     bits = min(FILTER_BITS, max(10, (16 * n).bit_length()))
-    at = ids.select(F.pmod(F.xxhash64("node"), F.lit(1 << bits)).alias("at"))
+    place = F.pmod(F.xxhash64("doc_id", "h1", "h2"), F.lit(1 << bits))
+    wanted = nodes.select("rep", "first.doc_id", "first.h1", "first.h2")
+    at = wanted.select(place.alias("at"))
     words = at.groupBy(F.expr("int(shiftright(at, 6))").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(at % 64)))").alias("v")).toPandas()
     table = np.zeros(1 << (bits - 6), np.int64)
     table[words["w"].to_numpy()] = words["v"].to_numpy()
@@ -209,23 +223,25 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
         x = h.to_numpy()
         return pd.Series((shared.value[x >> 6] >> (x & 63)) & 1 == 1)
 
-    near = docs.select("doc_id", "text").where("doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))).where(maybe("h")).drop("h")
-    return near.join(ids.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").distinct()
+    near = keyed(docs.select("doc_id", "text")).withColumn("h", place).where(maybe("h")).drop("h").dropDuplicates(["doc_id", "h1", "h2"])
+    asked = wanted.withColumnRenamed("doc_id", "__id")
+    return near.join(asked, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("__id"))).select(F.col("rep").alias("doc_id"), "text")
 
 
-def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each document; doc_id is a whole number."""
+def judged(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, h1, h2, n_shingles, component_id, kept of each document; doc_id is a whole number."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sk = materialise(sketches(docs, width), "sketches")
-    # one row a class: copies end here, whatever their number
-    classes = materialise(sk.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "classes")
-    reps = sk.join(classes, ["f1", "f2", "n_shingles"]).where("doc_id = rep").select("rep", F.explode("bands").alias("key")).distinct()
-    reps = materialise(reps, "bands")
+    # one row a class: copies end here, whatever their number; equal sets have equal bands
+    classes = sk.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min(row_key()).alias("first"), F.first("bands").alias("bands"))
+    classes = materialise(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    reps = materialise(classes.select("rep", F.explode(F.array_distinct("bands")).alias("key")), "bands")
+    classes = classes.drop("bands")
     heads = reps.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(reps.join(heads, "key"), "members")
     met = members.where("rep != head").groupBy("rep", "head").agg(F.count(F.lit(1)).alias("c"))
     first = materialise(met.groupBy("rep").agg(F.max_by("head", F.struct("c", -F.col("head"))).alias("head")).select(F.col("rep").alias("a"), F.col("head").alias("b")), "first")
-    texts = materialise(texts_of(docs, members.select(F.col("rep").alias("node")).distinct()), "texts")
+    texts = materialise(texts_of(docs, classes.join(members.select("rep").distinct(), "rep")), "texts")
     links = materialise(verify(first, texts, width, percent), "links")
     labels = components(links, "first")
 
@@ -247,28 +263,42 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
 
     more = materialise(with_text.groupBy("key", "d", "q").applyInPandas(block, "a long, b long").distinct(), "more")
     joined = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), "all") if more.limit(1).count() else labels
-    comp = classes.join(joined, classes["rep"] == joined["node"], "left").select("f1", "f2", "n_shingles", F.coalesce("label", "rep").alias("component"))
-    out = sk.drop("bands").join(comp, ["f1", "f2", "n_shingles"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    kept = F.when(F.col("doc_id").isNull(), F.col("component_id").isNull()).otherwise(F.col("doc_id") == F.col("component_id"))
-    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+    # a component's first row names it; classes without links are their own
+    linked = classes.join(joined, classes["rep"] == joined["node"], "left").select("f1", "f2", "n_shingles", "first", "label")
+    heads = linked.where("label is not null").groupBy("label").agg(F.min("first").alias("head"))
+    comp = linked.join(heads, "label", "left").select("f1", "f2", "n_shingles", F.coalesce("head", "first").alias("head"))
+    out = sk.drop("bands").join(comp, ["f1", "f2", "n_shingles"], "left")
+    component = F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id"))
+    kept = F.col("head").isNull() | (row_key() == F.col("head"))
+    return out.select("doc_id", "h1", "h2", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each document; doc_id is a whole number."""
+    return judged(docs, width, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, the one with the smallest id, with all columns of docs; of rows that repeat an id, one."""
-    found = near_duplicates(docs, **options)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    twice = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__twice"))
-    return drop_rows(docs, gone.distinct(), twice)
+    """One document of each component, the one that near_duplicates() keeps, with all columns of docs; of rows that repeat an id
+    and its text, one. Rows without words stay, but for repeated ones with an id."""
+    found = judged(docs, **options)
+    key = [F.col(c).alias(f"__{c}") for c in ("doc_id", "h1", "h2")]
+    gone = found.where(~F.col("kept")).select(*key).distinct()
+    twice = found.where("kept and (doc_id is not null or n_shingles > 0)").select(*key).groupBy("__doc_id", "__h1", "__h2").count().where("count > 1").drop("count")
+    return drop_rows(docs, gone, materialise(twice, "twice"))
 
 
 def drop_rows(docs: DataFrame, gone: DataFrame, twice: DataFrame) -> DataFrame:
+    """docs without the rows in gone, and once each of those in twice (both: __doc_id, __h1, __h2)."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    stay = docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.col("text")).alias("h2"))
+    same = (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2")) & F.col("i").eqNullSafe(F.col("__doc_id"))
+    whole = [F.col(f"row.`{c}`") for c in docs.columns]
+    stay = rows.join(gone, same, "left_anti")
     if not twice.limit(1).count():
-        return stay.select(*columns)
-    marked = stay.join(twice, stay["doc_id"].cast("long") == F.col("__twice"), "left")
-    repeated = marked.where("`__twice` is not null").select(*columns).dropDuplicates(["doc_id"])
-    return marked.where("`__twice` is null").select(*columns).unionByName(repeated)
+        return stay.select(*whole)
+    once = stay.join(twice, same, "left_semi").dropDuplicates(["i", "h1", "h2"])
+    return stay.join(twice, same, "left_anti").select(*whole).unionByName(once.select(*whole))
 
 
 def brute(rows: Iterator[tuple[int, str | None]], width: int = WORDS, percent: int = PERCENT) -> dict[int, tuple[int, int]]:

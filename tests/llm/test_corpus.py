@@ -63,6 +63,18 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_or_with_a_shared_id_are_deduplicated_by_text(spark):
+    t, u, v = words(60), words(60), words(60)
+    chain = [t, t + " one two", t + " one two three four"]
+    rows = [(None, chain[1], "en", "s", 0), (7, chain[0], "en", "s", 0), (8, chain[2], "en", "s", 0), (None, chain[0], "en", "s", 0)]
+    rows += [(None, u, "en", "s", 0)] * 3 + [(None, u.upper(), "en", "s", 0), (None, u + " tail", "en", "s", 0)]
+    rows += [(9, v, "en", "s", 0), (9, words(60), "en", "s", 0), (9, v, "en", "s", 0), (3, words(60), "en", "s", 0), (None, None, "en", "s", 0), (None, "", "en", "s", 0)]
+    kept = [(r.doc_id, r.text) for r in neardup.deduplicate(docs_of(spark, rows)).collect()]
+    assert Counter((i, (x or "").split(" tail")[0].lower()) for i, x in kept) == Counter([(7, t), (None, u), (9, v), (9, rows[10][1]), (3, rows[12][1]), (None, ""), (None, "")])
+    got = [(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs_of(spark, rows)).collect()]
+    assert Counter(got)[8, 7, False] == 1 and Counter(got)[None, 7, False] == 2 and Counter(got)[9, 9, True] == 3
+
+
 def test_min_max_estimates_similarity():
     h = WordHashes()
     a = words(400)
