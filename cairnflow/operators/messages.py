@@ -40,11 +40,15 @@ def history_faults(history: Column, declared: Column, current: Column, start: Co
 def collect_history(events: DataFrame, user: str, time: str, id_: str, most: int) -> DataFrame:
     """Each event with the user's last `most` earlier events, oldest first; equal times are not earlier.
 
-    One window by user over a bounded frame; the strictly-before rule filters inside it."""
-    w = Window.partitionBy(user).orderBy(time, id_).rowsBetween(-(most + 16), -1)
-    before = F.collect_list(F.struct(F.col(time).alias("event_time"), F.col("query"), F.col("poi"))).over(w)
-    strict = F.filter(before, lambda e: e["event_time"] < F.col(time))
-    return events.withColumn("history", F.slice(strict, F.greatest(F.size(strict) - most + 1, F.lit(1)), F.lit(most)))
+    Of each time the last `most` events are collected once, and the `most` times before an event's own hold its history."""
+    last = Window.partitionBy(user, time).orderBy(F.desc(id_))
+    event = F.struct(F.col(time).alias("event_time"), F.col("query"), F.col("poi"))
+    ranked = events.where(F.col(time).isNotNull()).select(F.col(user).alias("__user"), F.col(time).alias("__time"), event.alias("e"), F.row_number().over(last).alias("r")).where(F.col("r") <= most)
+    times = ranked.groupBy("__user", "__time").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("r")).alias("r"), "e"))), lambda x: x["e"]).alias("es"))
+    before = F.flatten(F.collect_list("es").over(Window.partitionBy("__user").orderBy("__time").rowsBetween(-most, -1)))
+    history = times.select("__user", "__time", F.slice(before, F.greatest(F.size(before) - most + 1, F.lit(1)), F.lit(most)).alias("history"))
+    both = events.join(history, F.col(user).eqNullSafe(F.col("__user")) & (F.col(time) == F.col("__time")), "left")
+    return both.select(*[events[c] for c in events.columns], F.coalesce("history", F.array().cast(history.schema["history"].dataType)).alias("history"))
 
 
 def prompt(query: Column, gid: Column, history: Column, user: Column | None = None) -> Column:

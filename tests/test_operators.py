@@ -157,6 +157,16 @@ def test_history_rules(spark):
     assert tuple(df.select(q, g, messages.confined(p, F.lit("<POI>p")), messages.confined(p, F.lit("coffee"))).first()) == ("coffee", "wx4", True, False)
 
 
+def test_history_is_whole_where_many_events_share_a_time(spark):
+    rows = [(i, u, t, f"q{i}", f"p{i}") for i, (u, t) in enumerate([(1, 1)] * 2 + [(1, 2)] * 2 + [(1, 3)] * 60 + [(1, 4)] * 30 + [(2, 1), (2, None), (2, 5)])]
+    events = spark.createDataFrame(rows, "id long, u long, t long, query string, poi string").withColumn("t", F.timestamp_seconds("t"))
+    got = {r.id: [e.poi for e in r.history] for r in messages.collect_history(events, "u", "t", "id", 5).collect()}
+    for i, u, t, *_ in rows:
+        want = sorted((x[2], x[0]) for x in rows if x[1] == u and x[2] is not None and t is not None and x[2] < t)
+        assert got[i] == [f"p{k}" for _, k in want[-5:]], i
+    assert len(got) == len(rows)
+
+
 def test_beam_and_merge(spark):
     df = spark.createDataFrame([([1, 2, 3], [[[1], [9]], [[1, 2]], [[7, 7, 7]]], 5), ([1, 2, 3], [[[1]], [[1, 2]], [[1, 2, 3]]], 1)], "gold array<int>, steps array<array<array<int>>>, r int")
     first, state = metrics.beam_state("gold", "steps", [2, 3], "r")
