@@ -6,7 +6,8 @@ over all documents. Letters fall into 128 classes, so a language's model has at
 corpus: that bounds what is collected and broadcast, as sorted arrays of n-gram hashes with their log-probabilities.
 Perplexity is taken passage by passage (25 words), so that a quotation in another language or a table does not decide
 over a text: at least a quarter of the passages must lie below the language's upper bound, and at least a quarter above its
-lower bound. The bounds are the corpus's median less or plus a multiple of the spread (the median absolute
+lower bound. The perplexity of the whole text must lie in a band of its own too, so that a few ordinary passages do not
+carry the rest. The bounds are the corpus's median less or plus a multiple of the spread (the median absolute
 deviation), wider for texts of few words.
 
 Languages are the first two letters of the tag in lower case; anything else counts as one language of its own.
@@ -35,6 +36,8 @@ A = 128  # letter classes
 ORDER = 3
 #: Spreads that a text may lie from its language's median, and the least spread in nats a word.
 BAND = 6.0
+#: The same for the perplexity of whole texts; chosen on the labelled rows whose id's crc32 is even.
+WHOLE_BAND = 3.0
 LEAST_SPREAD = 0.12
 #: A text of n words gets this over sqrt(n) added on both sides.
 SHORT = 8.0
@@ -279,12 +282,13 @@ def _score(rows: DataFrame, shared, keep: list[str]) -> DataFrame:
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """Median and spread of the passage quartiles by language, over documents that pass the fixed rules; 677 rows at most."""
-    per = measured.where(~_base_failed()).select("__lang", "__low", "__high")
-    middle = per.groupBy("__lang").agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"{c}_mid") for c in ("__low", "__high")])
+    """Median and spread of passage quartiles and whole texts by language, over documents that pass the fixed rules; 677 rows at most."""
+    columns = ("__low", "__high", "__nats")
+    per = measured.where(~_base_failed()).select("__lang", *columns)
+    middle = per.groupBy("__lang").agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"{c}_mid") for c in columns])
     off = per.join(F.broadcast(middle), "__lang")
-    spread = [F.greatest(F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_mid")), 0.5, 10_000) * 1.4826, F.lit(LEAST_SPREAD)).alias(f"{c}_spread") for c in ("__low", "__high")]
-    return off.groupBy("__lang").agg(*[F.first(f"{c}_mid").alias(f"{c}_mid") for c in ("__low", "__high")], *spread)
+    spread = [F.greatest(F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_mid")), 0.5, 10_000) * 1.4826, F.lit(LEAST_SPREAD)).alias(f"{c}_spread") for c in columns]
+    return off.groupBy("__lang").agg(*[F.first(f"{c}_mid").alias(f"{c}_mid") for c in columns], *spread)
 
 
 def _base_failed():
@@ -298,7 +302,8 @@ def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     short = SHORT / F.sqrt(F.greatest(F.col("__n_words"), F.lit(1)))
     upper = F.col("__low_mid") + BAND * F.col("__low_spread") + short
     lower = F.col("__high_mid") - BAND * F.col("__high_spread") - short
-    inside = F.coalesce((F.col("__low") <= upper) & (F.col("__high") >= lower), F.lit(True))
+    whole = F.abs(F.col("__nats") - F.col("__nats_mid")) <= WHOLE_BAND * F.col("__nats_spread") + short
+    inside = F.coalesce((F.col("__low") <= upper) & (F.col("__high") >= lower) & whole, F.lit(True))
     return wide.withColumn("__perplexity", F.exp("__nats")).withColumn("__kept", ~F.col("__base_failed") & inside)
 
 

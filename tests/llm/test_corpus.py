@@ -191,6 +191,15 @@ def test_quality_base_and_bands(spark):
     assert quality.quality(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_quality_judges_the_whole_text(spark):
+    r = random.Random(11)
+    gibberish = " ".join("".join(r.choice("QXZJKVW#%&@~^{}[]") for _ in range(7)) for _ in range(550))
+    rows = [(i, words(r.randrange(200, 900), r), "en", "s", 0) for i in range(120)] + [(500, words(260, r) + " " + gibberish, "en", "s", 0)]
+    got = {x.doc_id: x for x in quality.quality(docs_of(spark, rows)).collect()}
+    assert not got[500].base_failed and not got[500].kept
+    assert sum(got[i].kept for i in range(120)) >= 118
+
+
 def test_kneser_ney_sums_to_one():
     import numpy as np
 
