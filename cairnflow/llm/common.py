@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 #: Java and RE2 class of the ASCII white space that separates words.
 WS = r"\x20\x09-\x0D"
 
-#: Rows that are Python objects at a time; a batch's other rows stay in Arrow's memory.
-SLICE = 512
+#: Rows, and about so many bytes of them, that are Python objects at a time; a batch's other rows stay in Arrow's memory.
+SLICE, SLICE_BYTES = 512, 8_000_000
 
 LOWER_ASCII = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -94,14 +94,38 @@ def map_rows(df: DataFrame, inputs: list[str], added: T.StructType, fn: Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = fn()
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
+            for batch in slices(whole):
                 made = work(*[batch.column(n + i).to_pylist() for i in range(len(inputs))])
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + [pa.array(v, t) for v, t in zip(made, types, strict=True)], labels)
 
     return sent.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    step = max(1, min(SLICE, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def set_aside(docs: DataFrame, *roles: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but those of the named roles under names that clash with none, and what gives the names back.
+
+    A role is the column of that very name, else the first that differs in case only. What is computed beside the columns
+    must not begin with `col`.
+    """
+    own: dict[int, str] = {}
+    for role in roles:
+        at = [i for i, c in enumerate(docs.columns) if c == role] or [i for i, c in enumerate(docs.columns) if c.lower() == role.lower()]
+        if at:
+            own[at[0]] = role
+    names = [own.get(i, f"col{i}") for i in range(len(docs.columns))]
+
+    def back(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+
+    return docs.toDF(*names), back
+
+
 def to_arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -111,7 +135,7 @@ def to_arrow(kind: T.DataType) -> pa.DataType:
 class WordHashes(dict):
     """word bytes -> 64-bit hash, remembered up to a bound; the bound clears the memory and changes no result."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 

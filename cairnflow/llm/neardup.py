@@ -7,9 +7,11 @@ bands of their own, and 32 bands miss a pair at similarity 0.8 with probability
 1. Documents with equal sets (a 128-bit fingerprint) form a class; a number of its own stands for it from here on.
 2. Representatives that share a band form a bucket. Buckets are never opened into pairs: first every member is
    compared, on full sets, with the bucket head that it meets in most bands, which joins groups of copies of any size
-   with one comparison a member. Connected components follow by alternating stars over tables.
+   with one comparison a member. Connected components follow by alternating stars over tables. From here on members
+   travel as their sorted shingle hashes, not as texts.
 3. Buckets that still span several components are compared exactly: the members outside the bucket's largest
-   component against all, in blocks of bounded size, on full sets. Only links come out.
+   component against all, in blocks of bounded shingles, on full sets. Only links come out. A bucket of n members with m
+   outside its largest component costs n * m comparisons at most; a block ends as soon as all its members are joined.
 4. Components over all links; every document takes its class's component, named by the smallest id in it.
 
 No bucket, class or candidate count is capped, and nothing but counts reaches the driver.
@@ -27,17 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnflow.llm.common import LOWER_ASCII, WordHashes, map_rows, materialise, mix64, utf8
+from cairnflow.llm.common import LOWER_ASCII, WordHashes, map_rows, materialise, mix64, set_aside, slices, utf8
 
 WORDS = 4
 PERCENT = 80
 PERMUTATIONS = 80
 ROWS = 5
-BLOCK = 2048
+#: Shingles of a block's asked and of its asking members, on average.
+BLOCK = 300_000
 #: Bits of the filter that keeps the second reading of the texts to documents in buckets: at most 16 MB.
 FILTER_BITS = 27
 
@@ -125,28 +129,21 @@ def similar(a: int, b: int, both: int, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (a + b - both)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b")
+    left = sets.select(F.col("rep").alias("a"), F.col("s").alias("sa"))
+    right = sets.select(F.col("rep").alias("b"), F.col("s").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
 
-    def work():
-        hashes = WordHashes()
-        last: list = [None, None]
-
-        def rows(ta, tb):
+    def run(batches):
+        for batch in batches:
             ok = []
-            for x, y in zip(ta, tb, strict=True):
-                if last[0] != y:  # neighbours often share their bucket's head
-                    last[:] = y, shingles(y, hashes, width)
-                s = shingles(x, hashes, width)
-                ok.append(similar(len(s), len(last[1]), len(np.intersect1d(s, last[1], True)), percent))
-            return [ok]
+            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
+                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                ok.append(similar(len(s), len(t), len(np.intersect1d(s, t, True)), percent))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        return rows
-
-    return map_rows(both, ["ta", "tb"], T.StructType([T.StructField("ok", T.BooleanType())]), work, ["a", "b"]).where("ok").select("a", "b").distinct()
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, tag: str) -> DataFrame:
@@ -169,20 +166,20 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         state = now
 
 
-def compare_block(pdf: pd.DataFrame, width: int = WORDS, percent: int = PERCENT) -> pd.DataFrame:
+def compare_block(pdf: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     """Links between the asking members of a bucket's block and its other members of other labels."""
-    hashes = WordHashes()
-    pdf = pdf.drop_duplicates(["rep", "text", "asks"])
-    asked = pdf[~pdf["asks"]]
-    asking = pdf[pdf["asks"]]
-    sets = [shingles(t, hashes, width) for t in asked["text"]]
-    size = np.array([len(s) for s in sets], np.int64)
+    pdf = pdf.drop_duplicates(["rep", "asks"])
+    asked, asking = pdf[~pdf["asks"]], pdf[pdf["asks"]]
     out: list[tuple[int, int]] = []
-    if not len(sets) or not len(asking):
+    if not len(asked) or not len(asking):
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    sets = [np.frombuffer(x, np.uint64) for x in asked["s"]]
+    size = np.array([len(s) for s in sets], np.int64)
     known, place = np.unique(np.concatenate(sets), return_inverse=True)
+    place = place.astype(np.int32)
     starts = np.concatenate([[0], np.cumsum(size)[:-1]])
     reps, labels = asked["rep"].to_numpy(), asked["label"].to_numpy()
+    open_ = len(set(labels.tolist()) | set(asking["label"].tolist()))
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -190,8 +187,10 @@ def compare_block(pdf: pd.DataFrame, width: int = WORDS, percent: int = PERCENT)
             x = up
         return x
 
-    for rep, label, text in zip(asking["rep"], asking["label"], asking["text"], strict=True):
-        s = shingles(text, hashes, width)
+    for rep, label, data in zip(asking["rep"], asking["label"], asking["s"], strict=True):
+        if open_ < 2:  # all are joined
+            break
+        s = np.frombuffer(data, np.uint64)
         held = np.zeros(len(known), bool)
         at = np.searchsorted(known, s)
         at[at == len(known)] = 0
@@ -201,31 +200,37 @@ def compare_block(pdf: pd.DataFrame, width: int = WORDS, percent: int = PERCENT)
             a, b = root(int(label)), root(int(labels[i]))
             if a != b:  # one link joins two components, more add nothing
                 parent[max(a, b)] = min(a, b)
+                open_ -= 1
                 out.append((int(rep), int(reps[i])))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(doc_id, text) of the rows in nodes (rep, first: a row key), rep standing as doc_id: a bounded bit filter first, then the exact join."""
+def sets_of(docs: DataFrame, nodes: DataFrame, width: int = WORDS) -> DataFrame:
+    """(rep, n_shingles, s: sorted shingle hashes) of the rows in nodes (rep, n_shingles, first: a row key): a bounded bit
+    filter first, so that only rows in buckets are cut into shingles and travel, then the exact join."""
     spark = docs.sparkSession
     n = nodes.count()
     bits = min(FILTER_BITS, max(10, (16 * n).bit_length()))
     place = F.pmod(F.xxhash64("doc_id", "h1", "h2"), F.lit(1 << bits))
-    wanted = nodes.select("rep", "first.doc_id", "first.h1", "first.h2")
+    wanted = nodes.select("rep", "n_shingles", "first.doc_id", "first.h1", "first.h2")
     at = wanted.select(place.alias("at"))
-    words = at.groupBy(F.expr("int(shiftright(at, 6))").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(at % 64)))").alias("v")).toPandas()
+    words = at.groupBy(F.expr("int(shiftright(at, 6))").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(at % 64)))").alias("v")).toArrow()
     table = np.zeros(1 << (bits - 6), np.int64)
-    table[words["w"].to_numpy()] = words["v"].to_numpy()
+    table[words.column("w").to_numpy()] = words.column("v").to_numpy()
     shared = spark.sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        x = h.to_numpy()
-        return pd.Series((shared.value[x >> 6] >> (x & 63)) & 1 == 1)
+    def run(batches):
+        hashes, table = WordHashes(), shared.value
+        for whole in batches:
+            x = whole.column("place").to_numpy()
+            for batch in slices(whole.filter(pa.array((table[x >> 6] >> (x & 63)) & 1 == 1))):
+                made = [shingles(t, hashes, width).tobytes() for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h1", "h2")), pa.array(made, pa.binary())], ["doc_id", "h1", "h2", "s"])
 
-    near = keyed(docs.select("doc_id", "text")).withColumn("h", place).where(maybe("h")).drop("h").dropDuplicates(["doc_id", "h1", "h2"])
+    sent = keyed(docs.select("doc_id", "text")).select("doc_id", "h1", "h2", "text", place.alias("place"))
+    near = sent.mapInArrow(run, "doc_id long, h1 long, h2 long, s binary").dropDuplicates(["doc_id", "h1", "h2"])
     asked = wanted.withColumnRenamed("doc_id", "__id")
-    return near.join(asked, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("__id"))).select(F.col("rep").alias("doc_id"), "text")
+    return near.join(asked, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("__id"))).select("rep", "n_shingles", "s")
 
 
 def judged(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -241,8 +246,8 @@ def judged(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataF
     members = materialise(reps.join(heads, "key"), "members")
     met = members.where("rep != head").groupBy("rep", "head").agg(F.count(F.lit(1)).alias("c"))
     first = materialise(met.groupBy("rep").agg(F.max_by("head", F.struct("c", -F.col("head"))).alias("head")).select(F.col("rep").alias("a"), F.col("head").alias("b")), "first")
-    texts = materialise(texts_of(docs, classes.join(members.select("rep").distinct(), "rep")), "texts")
-    links = materialise(verify(first, texts, width, percent), "links")
+    sets = materialise(sets_of(docs, classes.join(members.select("rep").distinct(), "rep"), width), "sets")
+    links = materialise(verify(first, sets, percent), "links")
     labels = components(links, "first")
 
     labelled = members.join(labels, members["rep"] == labels["node"], "left").select("key", "head", "n", "rep", F.coalesce("label", "rep").alias("label"))
@@ -252,16 +257,18 @@ def judged(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataF
     open_ = tally.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", -F.col("label"))).alias("major"), F.max("c").alias("most"), F.sum("c").alias("n"), F.sum("h").alias("h"), F.max("a").alias("a"), F.min("b").alias("b")).where("labels > 1")
     open_ = open_.groupBy("n", "h", "a", "b").agg(F.min_by(F.struct("key", "major", "most"), "key").alias("k")).select("n", "a", "b", "k.*")
     open_ = open_.join(first.withColumn("pair", F.lit(True)), ["a", "b"], "left").where("n > 2 or pair is null").select("key", "n", "major", "most")
-    spread = labelled.drop("n").join(materialise(open_, "open"), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("asking", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int"))
+    spread = materialise(labelled.drop("n").join(materialise(open_, "open"), "key").join(classes.select("rep", "n_shingles"), "rep"), "spread")
+    ways = spread.groupBy("key").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"), F.ceil(F.sum(F.when(F.col("label") != F.col("major"), F.col("n_shingles"))) / BLOCK).cast("int").alias("asking"))
+    spread = spread.join(ways, "key")
     own = F.xxhash64("rep")
     asked = spread.select("key", "rep", "label", F.pmod(own, F.col("blocks")).cast("int").alias("d"), F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("q"), F.lit(False).alias("asks"))
     asks = spread.where("label != major").select("key", "rep", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("d"), F.pmod(own, F.col("asking")).cast("int").alias("q"), F.lit(True).alias("asks"))
-    with_text = asked.unionByName(asks).join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    with_set = asked.unionByName(asks).join(sets.select("rep", "s"), "rep")
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        return compare_block(pdf, width, percent)
+        return compare_block(pdf, percent)
 
-    more = materialise(with_text.groupBy("key", "d", "q").applyInPandas(block, "a long, b long").distinct(), "more")
+    more = materialise(with_set.groupBy("key", "d", "q").applyInPandas(block, "a long, b long").distinct(), "more")
     joined = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), "all") if more.limit(1).count() else labels
     # a component's first row names it; classes without links are their own
     linked = classes.join(joined, classes["rep"] == joined["node"], "left").select("f1", "f2", "n_shingles", "first", "label")
@@ -281,11 +288,12 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """One document of each component, the one that near_duplicates() keeps, with all columns of docs; of rows that repeat an id
     and its text, one. Rows without words stay, but for repeated ones with an id."""
+    docs, back = set_aside(docs, "doc_id", "text")
     found = judged(docs, **options)
     key = [F.col(c).alias(f"__{c}") for c in ("doc_id", "h1", "h2")]
     gone = found.where(~F.col("kept")).select(*key).distinct()
     twice = found.where("kept and (doc_id is not null or n_shingles > 0)").select(*key).groupBy("__doc_id", "__h1", "__h2").count().where("count > 1").drop("count")
-    return drop_rows(docs, gone, materialise(twice, "twice"))
+    return back(drop_rows(docs, gone, materialise(twice, "twice")))
 
 
 def drop_rows(docs: DataFrame, gone: DataFrame, twice: DataFrame) -> DataFrame:

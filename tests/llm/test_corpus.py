@@ -47,7 +47,7 @@ def test_near_duplicates_equal_brute_force(spark, near_rows):
 
 
 def test_blocks_of_a_bucket_find_what_one_block_finds(spark, near_rows, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 5)
+    monkeypatch.setattr(neardup, "BLOCK", 2000)
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(spark, near_rows)).collect()}
     assert got == {i: c for i, (_, c) in neardup.brute((i, t) for i, t, *_ in near_rows).items()}
 
