@@ -7,7 +7,7 @@ them the check digits of an IBAN, the areas of a social security number and the
 without anchors is never parsed.
 
 Nulls and empty texts have no spans. Spans count code points, end exclusive, and do not overlap within a kind.
-Rows do not depend on each other, so ties, repeats and extra columns change nothing.
+Rows do not depend on each other, so ties, repeats and extra columns change nothing; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ nested lengths that add up to the byte (`der`), the length-prefixed fields of an
 token whose header is a JSON object that names an algorithm (`jwt`). Random text that merely looks like base64
 fails these parses and is left alone.
 
-Nulls and empty texts have no spans. Spans count code points, end exclusive. Whole texts are searched; rows do not
-depend on each other, so ties, repeats and extra columns change nothing.
+Nulls and empty texts have no spans; an empty table gives an empty one. Spans count code points, end exclusive. Whole texts
+are searched; rows do not depend on each other, so ties, repeats and extra columns change nothing. What is found in one place
+of a text does not depend on the rest of it.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{4,})\.
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----\s*((?:[A-Za-z0-9+/=]+\s+)+?)-----END \1-----")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_ANY = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
+#: A token's payload between its two dots: what a text without it can't hold as a token.
+PAYLOAD = re.compile(r"\.[A-Za-z0-9_-]{4,}\.")
 SSH_TYPE = re.compile(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-nistp\d+|sk-[a-z0-9@.-]+)$")
 
 
@@ -140,17 +143,20 @@ def find(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    if max(map(len, text.split()), default=0) >= 32:  # no run of 32 characters else
+    # hex and base64 candidates hold no white space and 32 characters or more
+    long = max(map(len, text.split()), default=0) >= 32
+    if long:
         found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-        found += confirmed(text)
+    found += confirmed(text, long)
     if len(found) > 1:
         found = sorted(set(found), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
     return found
 
 
-def confirmed(text: str) -> list[tuple[int, int, str]]:
+def confirmed(text: str, long: bool = True) -> list[tuple[int, int, str]]:
+    """The spans whose structure is a key's or token's; long: whether there is a run of 32 characters."""
     out, taken = [], []
-    if "." in text:
+    if PAYLOAD.search(text):
         for m in JWT.finditer(text):
             if is_signed_token(m[1], m[2]):
                 out.append((m.start(), m.end(), "jwt"))
@@ -160,6 +166,8 @@ def confirmed(text: str) -> list[tuple[int, int, str]]:
             if kind := kind_of(unbase64("".join(m[2].split()))):
                 out.append((m.start(), m.end(), kind))
                 taken.append(m.span())
+    if not long:
+        return out
     free = lambda m: not any(a < m.end() and m.start() < b for a, b in taken)
     for m in HEX_ANY.finditer(text):
         if free(m) and (kind := kind_of(bytes.fromhex(m[0]))):
