@@ -1,16 +1,21 @@
 """Main text of web pages by composite text density.
 
 A tolerant parser reads a page's tags into a tree: raw text elements, comments, omitted end tags and unclosed
-elements are handled as browsers do. Subtrees that are no article by their element or by a word of their class, id or
-role (menus, headers, footers, sidebars, notices, adverts, forms, comments) are left out first. Every remaining
-block has a link-adjusted density of characters a tag, inline elements not counting as tags; a block's density sum adds up
-those of the blocks right below it. The block with the largest sum is found, the least density on its path up to the body
-(or up to the one element that names the article) is the threshold, and in each branch beside the path that
-reaches the threshold the subtree with the largest density sum is content too, as are headings beside it. The text
-of content subtrees is given in page order, white space within a block as one space, blocks joined by one space.
+elements are handled as browsers do. Elements that are no article by their kind (menus, headers, footers, asides, forms,
+scripts), by their role or because they are hidden are left out first. Every remaining block has a link-adjusted density of
+characters a tag, inline elements not counting as tags; a block's density sum adds up those of the blocks right below
+it. The block with the largest sum is found, the least density on its path up to the body is the threshold, and
+in each branch beside the path that reaches the threshold the subtree with the largest density sum is content too,
+as are headings beside it. The text of content subtrees is given in page order, white space within a block as one
+space, blocks joined by one space.
+
+Density decides; names (words of class and id such as `sidebar` or `comments`) only take away from what it finds: a block with
+such a name beside the densest path or inside the densest subtree is left out, and where the densest path itself leads
+through one, that block goes and the densest path is looked for anew. A named block that holds every main heading,
+article or main element of the page, or more than ESSENTIAL of its text, is the page's frame and stays.
 
 Nulls, empty pages and pages without text give the empty text. Rows do not depend on each other; repeated rows each
-get their result, empty tables an empty one, and other columns are not read.
+get their result, empty tables an empty one, the first of equally dense blocks is taken, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,6 +46,10 @@ LEFT_OUT_WORDS = frozenset(
     "share sharing social toolbar form search skip".split()
 )
 LEFT_OUT_ARTICLES = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related".split())
+#: A named block with more than this share of the page's text that is no link is never left out for its name.
+ESSENTIAL = 0.8
+#: Elements that tell where the article is.
+LANDMARKS = frozenset("article main h1".split())
 #: A word after one of these tells of a neighbour, as in `has-sidebar`.
 NOT_ITSELF = frozenset("has with no without show hide".split())
 CLOSES = {"p": BLOCK - {"br", "body", "html", "caption", "dd", "dt", "legend", "li", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "tr"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}}
@@ -56,25 +65,34 @@ SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "out", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "kids", "out", "named", "chars", "link_chars", "tags", "link_tags", "landmarks", "density", "total")
 
-    def __init__(self, tag: str, out: bool = False):
-        self.tag, self.out = tag, out
+    def __init__(self, tag: str, out: bool = False, named: bool = False):
+        self.tag, self.out, self.named = tag, out, named
         self.kids: list[Node | str] = []
 
 
+def telling(tag: str, attributes: str) -> bool:
+    """Whether a word of class or id tells that a block is no part of an article."""
+    if not attributes or tag in ("html", "body", "main"):
+        return False
+    out = LEFT_OUT_ARTICLES if tag == "article" else LEFT_OUT_WORDS
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id"):
+            words = [x.lower() for x in SPLIT.split(m[2] or m[3] or m[4] or "")]
+            if any(w in out and (not i or words[i - 1] not in NOT_ITSELF) for i, w in enumerate(words)):
+                return True
+    return False
+
+
 def unwanted(tag: str, attributes: str) -> bool:
+    """Whether an element is no article by its kind or role, or hidden."""
     if tag in LEFT_OUT:
         return True
     if not attributes or tag in ("html", "body", "main"):
         return False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id"):
-            words = [x.lower() for x in SPLIT.split(value)]
-            out = LEFT_OUT_ARTICLES if tag == "article" else LEFT_OUT_WORDS
-            if any(w in out and (not i or words[i - 1] not in NOT_ITSELF) for i, w in enumerate(words)):
-                return True
         if name == "role" and value.strip().lower() in LEFT_OUT_ROLES:
             return True
         if name == "aria-hidden" and value.strip().lower() == "true":
@@ -118,7 +136,7 @@ def parse(page: str) -> Node:
                         break
                     if stack[i].tag in FENCES:
                         break
-        node = Node(tag, unwanted(tag, m[3]))
+        node = Node(tag, unwanted(tag, m[3]), telling(tag, m[3]))
         stack[-1].kids.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?|</{re.escape(tag)}$", re.I).search(page, at)
@@ -129,7 +147,7 @@ def parse(page: str) -> Node:
 
 
 def measure(root: Node) -> None:
-    """chars, link_chars, tags, link_tags of every node that stays, in post-order without recursion."""
+    """chars, link_chars, tags, link_tags and landmarks of every node that stays, in post-order without recursion."""
     todo: list[tuple[Node, bool, bool]] = [(root, False, False)]
     while todo:
         node, linked, done = todo.pop()
@@ -139,6 +157,7 @@ def measure(root: Node) -> None:
             todo += [(k, linked, False) for k in node.kids if not isinstance(k, str) and not k.out]
             continue
         node.chars = node.link_chars = node.tags = node.link_tags = 0
+        node.landmarks = int(node.tag in LANDMARKS and not node.named)
         for k in node.kids:
             if isinstance(k, str):
                 c = len("".join(html.unescape(k).split()))
@@ -149,12 +168,13 @@ def measure(root: Node) -> None:
                 node.link_chars += k.link_chars
                 node.tags += k.tags + (k.tag in NODES or k.tag == "a")
                 node.link_tags += k.link_tags + (k.tag == "a")
+                node.landmarks += k.landmarks
 
 
-def weigh(root: Node, scope: Node) -> None:
-    """Density of every node, and the density sum of the blocks right below it (inline elements are looked through)."""
+def weigh(scope: Node) -> None:
+    """Density of every node below, and the density sum of the blocks right below it (inline elements are looked through)."""
     ratio = scope.link_chars / scope.chars if scope.chars else 0.0
-    todo: list[tuple[Node, bool]] = [(root, False)]
+    todo: list[tuple[Node, bool]] = [(scope, False)]
     while todo:
         node, done = todo.pop()
         if not done:
@@ -206,10 +226,39 @@ def densest(top: Node) -> list[Node]:
     return path[::-1]
 
 
+def suspects(scope: Node) -> list[Node]:
+    """Topmost blocks below with a telling name that are not the page's frame."""
+    own = scope.chars - scope.link_chars
+    out, todo = [], [k for k in reversed(scope.kids) if not isinstance(k, str)]
+    while todo:
+        node = todo.pop()
+        if node.out:
+            continue
+        frame = (scope.landmarks and node.landmarks == scope.landmarks) or node.chars - node.link_chars > ESSENTIAL * own
+        if node.named and not frame:
+            out.append(node)
+        else:
+            todo += [k for k in reversed(node.kids) if not isinstance(k, str)]
+    return out
+
+
 def content(scope: Node) -> list[Node]:
     """The content subtrees, in page order: the densest one, branches beside its path that reach the path's least
-    density, and headings beside it."""
+    density, and headings beside it; no blocks with telling names."""
+    weigh(scope)
     path = densest(scope)
+    if left_out := suspects(scope):
+        way = set(map(id, path))
+        for node in left_out:
+            node.out = True
+        measure(scope)
+        if not scope.chars:  # names would leave nothing
+            for node in left_out:
+                node.out = False
+            measure(scope)
+        weigh(scope)
+        # a named block that density had chosen goes; the path is looked for anew
+        path = densest(scope) if any(id(node) in way for node in left_out) or not path[-1].chars else path
     threshold = min(n.density for n in path)
     way, found = set(map(id, path[:-1])), []
     todo = [scope]
@@ -262,12 +311,8 @@ def extract(page: str | None) -> str:
         return ""
     root = parse(page)
     bodies = find(root, "body")
-    body = bodies[0] if bodies else root
-    # one element that names the article bounds the search and its paths, as the body does elsewhere
-    named = find(body, "article") or find(body, "main")
-    measure(root)
-    scope = named[0] if len(named) == 1 and named[0].chars else body
-    weigh(root, scope)
+    scope = bodies[0] if bodies else root
+    measure(scope)
     return text_of(content(scope)) if scope.chars else ""
 
 
