@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnflow.llm.common import WS, materialise
+from cairnflow.llm.common import WS, materialise, set_aside
 
 BLOCK = 256
 SEED = 20_240_229
@@ -36,24 +36,40 @@ def word_count(text):
     return F.length(F.regexp_replace(marks, f"[{WS}]+$", "")).cast("long")
 
 
+def numbered(sources: DataFrame) -> DataFrame:
+    """sources (one row each) with `nth`, its place by code point from 0, null last: ranks within range partitions and offsets."""
+    order = F.col("source").asc_nulls_last()
+    parts = materialise(sources.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "sources")
+    sizes = parts.groupBy("part").count().orderBy("part").collect()  # one row a partition
+    offsets, n = [], 0
+    for part, count in sizes:
+        offsets.append((part, n))
+        n += count
+    starts = sources.sparkSession.createDataFrame(offsets, "part int, start long")
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(order))
+    return parts.withColumn("rank", rank).join(F.broadcast(starts), "part").withColumn("nth", F.col("start") + F.col("rank") - 1).drop("part", "rank", "start")
+
+
 def source_targets(sized: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
     """source, source_size, target: budget * all sizes shared by weight, no source above cap * its size.
 
-    Sorted by the share at which a source reaches its cap, the capped ones come first; the share of the rest is
-    what is left over their weights. The table has one row a source.
+    A level L gives each source the lesser of its cap and L times its weight. Starting with no source at its cap, L is
+    what the capped ones leave over the others' weights; the sources it brings to their caps join them until none does.
+    Every round is one aggregate over the sources, whose number has no bound (a source may be a web domain).
     """
-    src = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    nth = (F.row_number().over(order) - 1) % len(weights)
-    src = src.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (nth + 1).cast("int")))
-    src = src.withColumn("most", F.lit(cap) * F.col("source_size")).withColumn("reach", F.col("most") / F.col("weight"))
-    by_reach = Window.orderBy("reach", F.col("source").asc_nulls_last())
-    gone = F.coalesce(F.sum("most").over(by_reach.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(by_reach.rowsBetween(0, Window.unboundedFollowing))
-    everything = Window.partitionBy()
-    src = src.withColumn("share", (F.lit(budget) * F.sum("source_size").over(everything) - gone) / rest)
-    level = F.max(F.when(F.col("reach") > F.col("share"), F.col("share"))).over(everything)
-    return src.withColumn("target", F.least(F.col("most"), F.coalesce(level * F.col("weight"), F.col("most")))).select("source", "source_size", "target")
+    src = numbered(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("nth") % len(weights) + 1).cast("int"))
+    src = materialise(src.select("source", "source_size", weight.alias("weight"), (F.lit(cap) * F.col("source_size")).alias("most")), "weighed")
+    total = src.agg(F.sum("source_size")).collect()[0][0] or 0
+    level, capped = 0.0, -1
+    while True:
+        full = F.col("most") <= F.lit(level) * F.col("weight")
+        n, gone, rest = src.agg(F.count_if(full), F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("weight")))).collect()[0]
+        if rest is None or n == capped:
+            break
+        level, capped = (budget * total - (gone or 0.0)) / rest, n
+    target = F.col("most") if rest is None else F.least(F.col("most"), F.lit(level) * F.col("weight"))
+    return src.select("source", "source_size", target.alias("target"))
 
 
 def _chance(*parts):
@@ -116,7 +132,7 @@ def round_units(units: DataFrame, block: int = BLOCK) -> DataFrame:
 def mix_counts(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, block: int = BLOCK) -> DataFrame:
     """source, doc_id, size, m (rows alike), base (copies of each), extra (of them get one more), source_size, target."""
     sized = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sizes")
-    targets = materialise(source_targets(sized, weights, budget, cap).coalesce(1), "targets")
+    targets = materialise(source_targets(sized, weights, budget, cap), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rate = F.when(F.abs(rate - F.round(rate)) < EPS, F.round(rate)).otherwise(rate)
     rates = targets.select(F.col("source").alias("s"), "source_size", "target", F.floor(rate).cast("long").alias("base"), (rate - F.floor(rate)).alias("f"))
@@ -142,6 +158,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it, with all its columns."""
+    docs, back = set_aside(docs, "doc_id", "source", "text")
     counts = materialise(mix_counts(docs, **options), "mix")
     taken = counts.where("base + extra > 0").select(F.col("source").alias("__s"), F.col("doc_id").alias("__i"), F.col("size").alias("__n"), F.col("m").alias("__m"), F.col("base").alias("__base"), F.col("extra").alias("__extra"))
     rows = docs.withColumn("__size", word_count(F.col("text")))
@@ -153,5 +170,4 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
         both = both.withColumn("__copies", F.col("__base") + F.when(F.row_number().over(rank) <= F.col("__extra"), 1).otherwise(0)).where("__copies > 0")
     else:
         both = both.withColumn("__copies", F.col("__base") + F.col("__extra"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return both.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")).select(*columns)
+    return back(both.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")))
