@@ -1,13 +1,13 @@
 """Sharding by fixed virtual slots.
 
-Every record hashes by its id into one of n_slots virtual slots, a number that never changes. Bytes and rows
+Every record hashes by its id and text into one of n_slots virtual slots, a number that never changes. Bytes and rows
 are aggregated by slot, and a small versioned table maps slots to shards. Rebalancing and growing edit that
 table and write the next version; no record is hashed again, and only the moved slots' records travel.
 
 The map has n_slots rows whatever the corpus: it is the one thing that is collected and broadcast.
 
-Nulls: a null id hashes like the empty text, a null text has no bytes. Repeated rows and rows with one id share a
-slot. An empty table gives an empty result and a map over empty slots. Columns beside the id and the text are
+Nulls: a null id or text is left out of the hash, a null text has no bytes. Rows alike in id and text share a slot and are
+placed by count, whatever their number; if they alone hold more than a shard's share, the sizes differ by that. An empty table gives an empty result and a map over empty slots. Columns beside the id and the text are
 not looked at, so clashing names do no harm.
 """
 
@@ -19,20 +19,21 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairnflow.llm.common import materialise
+from cairnflow.llm.common import materialise, set_aside
 
 N_SLOTS = 4096
 
 
-def virtual_slot(key, n_slots: int = N_SLOTS):
-    """Column: slot of a record key, from the leading 32 bits of its MD5."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % n_slots
+def virtual_slot(n_slots: int = N_SLOTS):
+    """Column: slot of a record, from a 64-bit hash of its doc_id and text, so that rows that share an id, or have none, spread."""
+    key = F.xxhash64(F.lit(1), F.col("doc_id").cast("string"), F.lit(2), F.col("text"))
+    return F.pmod(key, F.lit(n_slots)).cast("int")
 
 
 def keyed(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, vslot of each record; the text itself stays behind."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), virtual_slot(F.col("doc_id"), n_slots).cast("int").alias("vslot"))
+    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), virtual_slot(n_slots).alias("vslot"))
 
 
 def slot_sizes(rows: DataFrame) -> list[tuple[int, int, int]]:
@@ -110,8 +111,11 @@ def place(rows: DataFrame, maps: DataFrame, sizes: list[tuple[int, int, int]]) -
     counts = spark.createDataFrame([(s, n) for s, _, n in sizes], "vslot int, rows long")
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = latest(maps).join(counts, "vslot").withColumn("offset", F.coalesce(F.sum("rows").over(before), F.lit(0))).select("vslot", "shard", "offset", F.col("version").alias("map_version"))
-    rank = Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32")
-    return rows.withColumn("rank", F.row_number().over(rank)).join(F.broadcast(offsets), "vslot").withColumn("slot", (F.col("offset") + F.col("rank") - 1).cast("long"))
+    key = ["doc_id", "size", "text_crc32"]
+    upto = Window.partitionBy("vslot").orderBy(*key).rowsBetween(Window.unboundedPreceding, 0)
+    alike = rows.groupBy("vslot", *key).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(upto))
+    placed = alike.join(F.broadcast(offsets), "vslot")
+    return placed.withColumn("slot", F.explode(F.sequence(F.col("offset") + F.col("upto") - F.col("n"), F.col("offset") + F.col("upto") - 1)))
 
 
 def balanced(rows: DataFrame, n_shards: int, n_slots: int) -> tuple[DataFrame, list[tuple[int, int, int]]]:
@@ -138,6 +142,8 @@ def with_shard(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS) -> Da
     rows = materialise(keyed(docs, n_slots).select("vslot", "size"), "sized")
     maps, _ = balanced(rows, n_shards, n_slots)
     found = F.broadcast(latest(maps).select(F.col("vslot").alias("__v"), F.col("shard").alias("__shard"), F.col("version").alias("__version")))
-    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "virtual_slot", "map_version")]
-    both = docs.withColumn("__slot", virtual_slot(F.col("doc_id"), n_slots).cast("int")).join(found, F.col("__slot") == F.col("__v"))
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "virtual_slot", "map_version")])
+    plain, _ = set_aside(docs, "doc_id", "text")
+    both = plain.withColumn("__slot", virtual_slot(n_slots)).join(found, F.col("__slot") == F.col("__v"))
+    own = [F.col(n).alias(c) for n, c in zip(plain.columns, docs.columns, strict=True)]
     return both.select(*own, F.col("__shard").cast("int").alias("shard"), F.col("__slot").alias("virtual_slot"), F.col("__version").alias("map_version"))
