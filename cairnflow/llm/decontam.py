@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnflow.llm.common import LOWER_ASCII, map_rows, materialise, utf8
+from cairnflow.llm.common import LOWER_ASCII, map_rows, materialise, set_aside, utf8
 
 WINDOW = 10
 PART_WORDS = 200_000
@@ -149,8 +149,8 @@ def search(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any hit word, with all their columns."""
-    found = search(docs, benchmark, **options)
-    return found.where(F.size("__hits") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, back = set_aside(docs, "text")
+    return back(search(rows, benchmark, **options).where(F.size("__hits") == 0))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnflow.llm.common import map_rows, materialise, utf8
+from cairnflow.llm.common import map_rows, materialise, set_aside, utf8
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -315,4 +315,5 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns."""
-    return judged(docs, docs.columns).where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, back = set_aside(docs, "text", "lang")
+    return back(judged(rows, rows.columns).where("__kept"))
