@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import json
+import re
 import unicodedata
 
 import pandas as pd
@@ -11,15 +12,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# CJK punctuation and its ASCII form, position by position.
-CJK_PUNCTUATION = "，。！？；：（）【】《》“”‘’、～"
-ASCII_PUNCTUATION = ",.!?;:()[]<>\"\"'',~"
-DASHES = "‐‑‒–—―−－"
+# Punctuation of queries and its ASCII form, position by position, and the dashes of relation texts.
+CJK_PUNCTUATION = "，、。！？；：（）【】《》“”‘’—–－"
+ASCII_PUNCTUATION = ",,.!?;:()[]<>\"\"''---"
+DASHES = "—–−"
 
 
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
 @F.pandas_udf(T.StringType())
@@ -28,7 +29,9 @@ def nfkc_casefold(s: pd.Series) -> pd.Series:
 
 
 def conservative(text: Column, unicode: bool = True) -> Column:
-    """NFKC, lower case, CJK punctuation to ASCII, white space runs to one space, trimmed; empty becomes null."""
+    """NFKC, lower case, CJK punctuation and dashes to ASCII, white space runs to one space, trimmed; empty becomes null.
+
+    NFKC comes first, so that an ellipsis is three dots already."""
     t = F.lower(nfkc(text) if unicode else text)
     t = F.replace(F.translate(t, CJK_PUNCTUATION, ASCII_PUNCTUATION), F.lit("…"), F.lit("..."))
     return F.nullif(F.trim(F.regexp_replace(t, r"\s+", " ")), F.lit(""))
@@ -88,13 +91,15 @@ def jaccard(a: Column, b: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
+    return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
 def tiered_similarity(query: Column, text: Column) -> Column:
     """1 if equal; else by containment and length ratio; else the longest-blocks ratio. Empty on either side is 0."""
     shorter = F.least(F.length(query), F.length(text)) / F.greatest(F.length(query), F.length(text), F.lit(1))
-    tail = sequence_ratio(query, text)
+    # the ratio is taken in Python, so only where no other branch decides
+    open_ = ~F.contains(text, query) & ~F.contains(query, text)
+    tail = sequence_ratio(F.when(open_, query), F.when(open_, text))
     return (
         F.when((F.length(query) == 0) | (F.length(text) == 0), 0.0)
         .when(query == text, 1.0)
@@ -105,9 +110,28 @@ def tiered_similarity(query: Column, text: Column) -> Column:
 
 
 def lexical_relevance(query: Column, name: Column, aliases: Column, address: Column, category: Column) -> Column:
-    """Best of the name, any alias (array), 0.8 of the address and 0.6 of the category, all letters_only texts."""
-    alias = F.aggregate(F.transform(aliases, lambda a: F.when(query == a, 1.0).when(F.contains(a, query), 0.9).otherwise(0.0)), F.lit(0.0), lambda x, y: F.greatest(x, y))
-    return F.greatest(tiered_similarity(query, name), alias, 0.8 * tiered_similarity(query, address), 0.6 * tiered_similarity(query, category))
+    """Best of the name and any alias (array), 0.8 of the address and 0.6 of the category, all letters_only texts."""
+    best_alias = best_of(query, aliases)
+    return F.greatest(tiered_similarity(query, name), best_alias, 0.8 * tiered_similarity(query, address), 0.6 * tiered_similarity(query, category))
+
+
+@F.pandas_udf(T.DoubleType())
+def best_of(query: pd.Series, texts: pd.Series) -> pd.Series:
+    """The largest tiered similarity of a query to any of several texts; 0 without texts."""
+
+    def one(x: str, y: str) -> float:
+        if not x or not y:
+            return 0.0
+        if x == y:
+            return 1.0
+        short, long = sorted((len(x), len(y)))
+        if x in y:
+            return 0.9 + 0.1 * short / long
+        if y in x:
+            return 0.85 + 0.15 * short / long
+        return difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+
+    return pd.Series([max((one(q, t) for t in (ts if ts is not None else ())), default=0.0) if q else 0.0 for q, ts in zip(query, texts, strict=True)], dtype=float)
 
 
 def tagged(text: Column, tag: str, after: str = "") -> Column:
@@ -126,27 +150,33 @@ CHINESE_DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "
 CHINESE_UNITS = {"十": 10, "百": 100, "千": 1000, "万": 10000}
 
 
+def _small(text: str) -> int:
+    """The value of a group below ten thousand: a sum of digit-and-unit terms and a last digit.
+
+    A unit without a digit before it counts once; of several digits in a row the last one counts."""
+    terms = re.findall(f"[{''.join(CHINESE_DIGITS)}]*[{''.join(CHINESE_UNITS)}]|[{''.join(CHINESE_DIGITS)}]+$", text)
+    value = 0
+    for term in terms:
+        unit = CHINESE_UNITS.get(term[-1])
+        digits = term if unit is None else term[:-1]
+        value += (CHINESE_DIGITS[digits[-1]] if digits else 1) * (unit or 1)
+    return value
+
+
 def parse_integer(text: str | None) -> int | None:
-    """ASCII digits, Chinese digits one by one, or positional Chinese; a unit without a digit before it counts once."""
-    if not text:
-        return None
+    """ASCII digits, Chinese digits one by one, or positional Chinese in groups that end with ten thousand.
+
+    Each group before a 万 adds ten thousand times its value (once where that is 0). The text is normalised first as relation
+    texts are; null where it is no number."""
+    text = "".join(unicodedata.normalize("NFKC", text or "").upper().split())
     if text.isascii() and text.isdigit():
         return int(text)
-    if all(c in CHINESE_DIGITS for c in text):
+    if not text or set(text) - CHINESE_DIGITS.keys() - CHINESE_UNITS.keys():
+        return None
+    if not set(text) & CHINESE_UNITS.keys():
         return int("".join(str(CHINESE_DIGITS[c]) for c in text))
-    total = section = digit = 0
-    seen = False
-    for c in text:
-        if c in CHINESE_DIGITS:
-            digit, seen = CHINESE_DIGITS[c], True
-        elif c not in CHINESE_UNITS:
-            return None
-        elif CHINESE_UNITS[c] == 10000:
-            total, section, digit, seen = (total + section + digit or 1) * 10000, 0, 0, False
-        else:
-            section += (digit if seen else 1) * CHINESE_UNITS[c]
-            digit, seen = 0, False
-    return total + section + digit
+    *groups, rest = text.split("万")
+    return sum(10_000 * (_small(g) or 1) for g in groups) + _small(rest)
 
 
 @F.pandas_udf(T.LongType())

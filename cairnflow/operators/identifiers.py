@@ -97,23 +97,29 @@ def cascade(codes: DataFrame, base: list[str], steps: list[tuple[str, list[str]]
     return out.withColumn("from_base", F.first("excess").over(w) - F.col("excess")).withColumn("from_previous", F.coalesce(F.lag("excess").over(w) - F.col("excess"), F.lit(0)))
 
 
+def with_counts(codes: DataFrame, key: list[str], name: str) -> DataFrame:
+    """codes with the number of rows that share key: counts are taken map-side and joined, so no key gathers its rows."""
+    return codes.join(codes.groupBy(*key).agg(F.count(F.lit(1)).alias(name)), key)
+
+
 def migration(codes: DataFrame, before: list[str], after: list[str]) -> DataFrame:
     """By row: bucket sizes before and after, rows in both, Jaccard of the peers (1 without any), whether peers changed."""
-    b, a = F.count(F.lit(1)).over(Window.partitionBy(*before)), F.count(F.lit(1)).over(Window.partitionBy(*after))
-    c = F.count(F.lit(1)).over(Window.partitionBy(*before, *after))
-    out = codes.withColumn("before_size", b).withColumn("after_size", a).withColumn("common", c)
+    out = with_counts(with_counts(with_counts(codes, before, "before_size"), after, "after_size"), list(dict.fromkeys([*before, *after])), "common")
     union = F.col("before_size") + F.col("after_size") - F.col("common") - 1
-    return out.withColumn("peer_jaccard", F.when(union == 0, 1.0).otherwise((F.col("common") - 1) / union)).withColumn("changed", (F.col("before_size") != F.col("common")) | (F.col("after_size") != F.col("common")))
+    changed = (F.col("before_size") != F.col("common")) | (F.col("after_size") != F.col("common"))
+    return out.withColumn("peer_jaccard", F.when(union == 0, 1.0).otherwise((F.col("common") - 1) / union)).withColumn("changed", changed)
 
 
 def peer_labels(codes: DataFrame, before: list[str], after: list[str], label: str) -> DataFrame:
     """By row: share of its label among peers before and after, and the exact sign of the change (-2 for singletons)."""
-    size = lambda key: F.count(F.lit(1)).over(Window.partitionBy(*key))
-    out = codes.withColumn("b", size(before)).withColumn("a", size(after)).withColumn("sb", size([*before, label])).withColumn("sa", size([*after, label]))
+    out = codes
+    for key, name in ((before, "b"), (after, "a"), ([*before, label], "sb"), ([*after, label], "sa")):
+        out = with_counts(out, key, name)
     alone = (F.col("b") == 1) | (F.col("a") == 1)
     sign = F.signum(((F.col("sa") - 1) * (F.col("b") - 1) - (F.col("sb") - 1) * (F.col("a") - 1)).cast("double")).cast("int")
     share = lambda s, n: F.when(F.col(n) > 1, (F.col(s) - 1) / (F.col(n) - 1))
-    return out.withColumn("share_before", share("sb", "b")).withColumn("share_after", share("sa", "a")).withColumn("outcome", F.when(alone, -2).otherwise(sign)).drop("a", "b", "sa", "sb")
+    out = out.withColumn("share_before", share("sb", "b")).withColumn("share_after", share("sa", "a"))
+    return out.withColumn("outcome", F.when(alone, -2).otherwise(sign)).drop("a", "b", "sa", "sb")
 
 
 def prefix_table(paths: DataFrame, path: str) -> DataFrame:
@@ -128,13 +134,12 @@ def transition_matrix(codes: DataFrame, source: str, target: str) -> DataFrame:
 
 def first_precision(codes: DataFrame, group: list[str], text: str, lengths: list[int]) -> DataFrame:
     """By row of a colliding group: the first prefix length of a text that isolates it, else 0."""
-    out = codes.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*group))).where("n > 1")
+    out = with_counts(codes, group, "n").where("n > 1").drop("n")
     found = F.lit(0)
     for k in sorted(lengths, reverse=True):
-        alone = F.count(F.lit(1)).over(Window.partitionBy(*group, F.substring(text, 1, k))) == 1
-        out = out.withColumn(f"a{k}", alone)
-        found = F.when(F.col(f"a{k}"), k).otherwise(found)
-    return out.withColumn("first_length", found).drop("n", *[f"a{k}" for k in lengths])
+        out = with_counts(out.withColumn(f"p{k}", F.substring(text, 1, k)), [*group, f"p{k}"], f"n{k}")
+        found = F.when(F.col(f"n{k}") == 1, k).otherwise(found)
+    return out.withColumn("first_length", found).drop(*[f"{c}{k}" for k in lengths for c in "np"])
 
 
 def irreducible(codes: DataFrame, key: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnflow.operators.sampling import nth_smallest
+
 KS = (1, 3, 5, 10, 20)
 
 
@@ -81,12 +83,19 @@ def fixed_candidate_rank(scores: DataFrame, sample: str, score: str, positive: C
 def calibrate(scores: DataFrame, probability: str, level: str, depths: tuple[int, ...], max_unsafe: float) -> DataFrame:
     """depth, threshold: of the rows below a depth the (budget + 1)-th largest probability, budget = floor(n * rate / depths).
 
-    probability is an array with one value a depth. Only the top budget + 1 rows of a depth are ranked."""
+    probability is an array with one value a depth. Approximate quantiles bracket each threshold; only the rows of the
+    bracket are ranked."""
     n = scores.count()
     budget = int(n * max_unsafe) // len(depths)
-    long = scores.select(F.explode(F.arrays_zip(F.array(*[F.lit(d) for d in depths]).alias("depth"), F.col(probability).alias("p"))).alias("x"), F.col(level).alias("level")).select("x.depth", "x.p", "level").where(F.col("level") < F.col("depth"))
-    w = Window.partitionBy("depth").orderBy(F.desc("p"))
-    return long.withColumn("r", F.row_number().over(w)).where(F.col("r") == budget + 1).select("depth", F.col("p").alias("threshold"))
+    values = F.arrays_zip(F.array(*[F.lit(d) for d in depths]).alias("depth"), F.col(probability).alias("p"))
+    long = scores.select(F.explode(values).alias("x"), F.col(level).alias("level")).select("x.depth", "x.p", "level").where(F.col("level") < F.col("depth"))
+    out = []
+    for depth, count in sorted(tuple(r) for r in long.groupBy("depth").count().collect()):  # one row a depth
+        rows = long.where(F.col("depth") == depth)
+        edge = nth_smallest(rows, F.struct((-F.col("p")).alias("p")), count, budget + 1)
+        if edge is not None:
+            out.append((depth, -edge["p"]))
+    return scores.sparkSession.createDataFrame(out, "depth int, threshold double")
 
 
 def safe_prefix_summary(rows: DataFrame, selected: str, level: str) -> DataFrame:

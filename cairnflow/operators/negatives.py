@@ -2,42 +2,181 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnflow.functions import geo, text
+from cairnflow.operators.vectors import blocks
+from cairnflow.sources.scratch import cut
+
+#: (asking rows, asked rows) -> matrix of their scores.
+Score = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
 
 
 def top_per(pairs: DataFrame, row: str, order: list[Column], k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(row).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def lexical_topk(targets: DataFrame, catalog: DataFrame, k: int) -> DataFrame:
-    """target, candidate, name_score, same_code, rank by (name similarity, same code) desc and id.
-
-    Both sides: id, name, code. Pairs come from shared character bigrams, or a shared code: what shares neither has
-    score 0 everywhere and is dropped anyway, so this equals comparing all pairs."""
-    grams = lambda f, i: f.select(F.col("id").alias(i), F.explode(text.character_ngrams(F.lower("name"))).alias("g"))
-    common = grams(targets, "target").join(grams(catalog, "candidate"), "g").groupBy("target", "candidate").agg(F.count(F.lit(1)).alias("both"))
-    size = lambda f, i, n: f.select(F.col("id").alias(i), F.size(text.character_ngrams(F.lower("name"))).alias(n), F.col("code").alias(f"{n}_code"))
-    coded = targets.select(F.col("id").alias("target"), "code").join(catalog.select(F.col("id").alias("candidate"), "code"), "code").select("target", "candidate")
-    pairs = common.join(coded.withColumn("c", F.lit(1)), ["target", "candidate"], "full").join(size(targets, "target", "a"), "target").join(size(catalog, "candidate", "b"), "candidate").where("target != candidate")
-    both = F.coalesce("both", F.lit(0))
-    scored = pairs.select("target", "candidate", (both / (F.col("a") + F.col("b") - both)).alias("name_score"), F.when(F.col("a_code") == F.col("b_code"), 1).otherwise(0).alias("same_code"))
-    return top_per(scored.where("name_score > 0 or same_code > 0"), "target", [F.desc("name_score"), F.desc("same_code"), F.col("candidate")], k)
-
-
-def geo_topk(points: DataFrame, k: int, cell: int = 3) -> DataFrame:
-    """id, other, metres, rank: nearest points in the same or a neighbouring block of 1/cell degrees.
-
-    points: id, lng, lat. A block meets its nine neighbours, so pairs closer than one block's width are all found."""
-    p = points.withColumn("bx", F.floor(F.col("lng") * cell)).withColumn("by", F.floor(F.col("lat") * cell))
+def _sides(frame: DataFrame) -> DataFrame:
+    """id, hashed name and address n-grams, code and category of lexical_topk's rows; columns that are missing are null."""
+    have = lambda c: F.col(c) if c in frame.columns else F.lit(None).cast("string")
+    grams = lambda c: F.transform(text.character_ngrams(F.lower(have(c))), lambda g: F.xxhash64(g))
+    key = lambda c: have(c).cast("string")
+    return frame.select(F.col("id").cast("long").alias("id"), grams("name").alias("n"), grams("address").alias("a"), key("code").alias("c"), key("category").alias("g"))
+
+
+class _Postings:
+    """n-gram sets of a block of targets as an inverted list in arrays; overlap() counts shared n-grams with other sets."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate([*sets, np.empty(0, np.int64)])
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.size)[order]
+        self.keys, self.start = np.unique(flat[order], return_index=True)
+        self.count = np.diff(np.append(self.start, len(flat)))
+
+    def overlap(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Similarity (Jaccard; 0 for two empty sets) of each of sets to each target."""
+        size = np.array([len(s) for s in sets], np.int64)
+        flat, row = np.concatenate([*sets, np.empty(0, np.int64)]), np.repeat(np.arange(len(sets)), size)
+        both = np.zeros(len(sets) * len(self.size))
+        if len(flat) and len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, flat), len(self.keys) - 1)
+            known = self.keys[at] == flat
+            at, row = at[known], row[known]
+            n = self.count[at]
+            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            target = self.owner[np.repeat(self.start[at], n) + within]
+            both = np.bincount(np.repeat(row, n) * len(self.size) + target, minlength=len(both)).astype(float)
+        both = both.reshape(len(sets), len(self.size))
+        return both / np.maximum(1.0, size[:, None] + self.size[None, :] - both)
+
+
+#: A candidate of a block's t-th target with its four scores.
+_SCORED = np.dtype([("t", np.int64), ("candidate", np.int64), ("name_score", float), ("same_code", np.int32), ("same_category", np.int32), ("address_score", float)])
+
+
+def _same(block: pd.Series, rows: pd.Series) -> np.ndarray:
+    b, r = block.to_numpy(dtype=object), rows.to_numpy(dtype=object)
+    known = np.array([x is not None for x in r])[:, None] & np.array([x is not None for x in b])[None, :]
+    return ((r[:, None] == b[None, :]) & known).astype(float)
+
+
+def lexical_topk(targets: DataFrame, catalog: DataFrame, k: int, forbidden: DataFrame | None = None, block_rows: int = 1024) -> DataFrame:
+    """target, candidate, name_score, same_code, same_category, address_score, rank: the best k by those four, then by id.
+
+    Both sides: id (a whole number), name, and where there are such, code, category, address. Names and addresses are compared by
+    their character bigrams (Jaccard). Candidates with nothing in common are dropped, as are a target itself and the pairs of
+    forbidden (target, candidate). Targets are broadcast in blocks; a task counts shared n-grams of its rows by the block's
+    inverted lists and keeps k a target, so no pair is shuffled but the k best."""
+    spark = targets.sparkSession
+    sides = _sides(targets)
+    banned = None
+    if forbidden is not None:
+        lists = forbidden.groupBy(F.col("target").cast("long").alias("id")).agg(F.collect_set(F.col("candidate").cast("long")).alias("f"))
+        sides, banned = sides.join(lists, "id", "left"), True
+    rows = _sides(catalog)
+    schema = "target long, candidate long, name_score double, same_code int, same_category int, address_score double"
+    out = None
+    for part in blocks(sides, block_rows):
+        block = pd.DataFrame([r.asDict() for r in part])
+        shared = spark.sparkContext.broadcast(block)
+
+        def best(frames, shared=shared):
+            block = shared.value
+            ids = block["id"].to_numpy(np.int64)
+            arrays = lambda column: [np.array(x if x is not None else [], np.int64) for x in column]
+            name, address = _Postings(arrays(block["n"])), _Postings(arrays(block["a"]))
+            own = [(t, c) for t, i in enumerate(ids) for c in (i, *(list(block["f"][t]) if banned and block["f"][t] is not None else []))]
+            gone_t, gone_c = (np.array(x, np.int64) for x in zip(*own, strict=True))
+            distinct = np.unique(gone_c)
+            gone = np.unique(gone_t * len(distinct) + np.searchsorted(distinct, gone_c))
+            kept = np.empty(0, _SCORED)
+            floor = np.zeros(len(ids))
+            step = max(1, 500_000 // len(ids))
+            for frame in frames:
+                for at in range(0, len(frame), step):
+                    tile = frame.iloc[at : at + step]
+                    cand = tile["id"].to_numpy(np.int64)
+                    score = name.overlap(arrays(tile["n"]))
+                    code, cat = _same(block["c"], tile["c"]), _same(block["g"], tile["g"])
+                    near = address.overlap(arrays(tile["a"]))
+                    r, t = np.nonzero((score >= floor) & ((score > 0) | (code > 0) | (cat > 0) | (near > 0)))
+                    place = np.minimum(np.searchsorted(distinct, cand[r]), len(distinct) - 1)
+                    free = (distinct[place] != cand[r]) | ~np.isin(t * len(distinct) + place, gone)
+                    r, t = r[free], t[free]
+                    more = np.empty(len(r), _SCORED)
+                    for field, values in zip(_SCORED.names, (t, cand[r], score[r, t], code[r, t], cat[r, t], near[r, t]), strict=True):
+                        more[field] = values
+                    kept = np.concatenate([kept, more])
+                    kept = kept[np.lexsort((kept["candidate"], *[-kept[c] for c in reversed(_SCORED.names[2:])], kept["t"]))]
+                    rank = np.arange(len(kept)) - np.searchsorted(kept["t"], kept["t"])
+                    kept, rank = kept[rank < k], rank[rank < k]
+                    floor[kept["t"][rank == k - 1]] = kept["name_score"][rank == k - 1]
+            if len(kept):
+                yield pd.DataFrame({"target": ids[kept["t"]]} | {c: kept[c] for c in _SCORED.names[1:]})
+
+        found = rows.mapInPandas(best, schema)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], schema)
+    order = [F.desc("name_score"), F.desc("same_code"), F.desc("same_category"), F.desc("address_score"), F.col("candidate")]
+    return top_per(out, "target", order, k)
+
+
+def geo_topk(points: DataFrame, k: int, same: tuple[str, ...] = ()) -> DataFrame:
+    """id, other, metres, rank: the k nearest of all points; with `same`, points that agree in those columns come first.
+
+    points: id, lng, lat. Points meet in cells and the eight around them. The first cells are sized so that one holds about k
+    points on average; who has found k within the distance that its cells are sure to cover is done, the others go on
+    with cells twice as wide, until the cells cover everything. With `same` that is done for every set of these columns."""
+    some = [list(c) for n in range(len(same) + 1) for c in combinations(same, n)]
+    found = reduce(DataFrame.unionByName, [_nearest(points, points, k, c) for c in some]).distinct()
+    order = [F.col("metres"), F.col("other")]
+    if same:  # the k nearest of every level of agreement are among them
+        for i in ("id", "other"):
+            found = found.join(points.select(F.col("id").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in same]), i)
+        order = [F.desc(F.coalesce((F.col(f"{c}_id") == F.col(f"{c}_other")).cast("int"), F.lit(0))) for c in same] + order
+    return top_per(found, "id", order, k).select("id", "other", "metres", "rank")
+
+
+def _nearest(rows: DataFrame, points: DataFrame, k: int, within: list[str]) -> DataFrame:
+    """id, other, metres: for each of rows its k nearest points (with ties by id) among those that agree in `within`."""
+    n, low_x, high_x, low_y, high_y = points.agg(F.count(F.lit(1)), F.min("lng"), F.max("lng"), F.min("lat"), F.max("lat")).collect()[0]
+    schema = "id long, other long, metres double"
+    if not n:
+        return rows.sparkSession.createDataFrame([], schema)
+    whole = max(high_x - low_x, high_y - low_y, 1e-6)
+    size = max(whole / 4096, (max(high_x - low_x, 1e-6) * max(high_y - low_y, 1e-6) * k / n) ** 0.5)
     around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    spread = p.withColumn("o", F.explode(around)).select(F.col("id").alias("other"), F.col("lng").alias("lng2"), F.col("lat").alias("lat2"), (F.col("bx") + F.col("o.dx")).alias("bx"), (F.col("by") + F.col("o.dy")).alias("by"))
-    pairs = p.join(spread, ["bx", "by"]).where("id != other").withColumn("metres", geo.haversine(F.col("lng"), F.col("lat"), F.col("lng2"), F.col("lat2")))
-    return top_per(pairs.select("id", "other", "metres"), "id", [F.col("metres"), F.col("other")], k)
+    rest, out = rows.select("id", "lng", "lat", *within), None
+    while True:
+        cell = lambda f, s=size: f.withColumn("bx", F.floor(F.col("lng") / s)).withColumn("by", F.floor(F.col("lat") / s))
+        spread = cell(rest).withColumn("o", F.explode(around)).withColumn("bx", F.col("bx") + F.col("o.dx")).withColumn("by", F.col("by") + F.col("o.dy"))
+        other = cell(points).select(F.col("id").alias("other"), F.col("lng").alias("lng2"), F.col("lat").alias("lat2"), "bx", "by", *within)
+        met = spread.join(other, ["bx", "by", *within]).where("id != other")
+        metres = geo.haversine(F.col("lng"), F.col("lat"), F.col("lng2"), F.col("lat2"))
+        # within one cell's width everything has been met; a degree of longitude shrinks towards the poles
+        sure = 110_000.0 * size * F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + 2 * size)))
+        best = top_per(met.select(F.col("id").cast("long").alias("id"), F.col("other").cast("long").alias("other"), metres.alias("metres"), (metres <= sure).alias("sure")), "id", [F.col("metres"), F.col("other")], k)
+        best = cut(best)
+        last = size >= whole
+        done = best.select("id") if last else best.groupBy("id").agg(F.count_if("sure").alias("c")).where(F.col("c") >= k).select("id")
+        found = best.join(done.distinct(), "id", "left_semi").select("id", "other", "metres")
+        out = found if out is None else out.unionByName(found)
+        if last:
+            return out
+        rest = cut(rest.join(done, rest["id"] == done["id"], "left_anti"))
+        if not rest.limit(1).count():
+            return out
+        size *= 2
 
 
 def merge_sources(sources: list[tuple[str, DataFrame, int]]) -> DataFrame:
@@ -50,13 +189,37 @@ def merge_sources(sources: list[tuple[str, DataFrame, int]]) -> DataFrame:
     return own.withColumn("position", F.row_number().over(Window.partitionBy("row", "p").orderBy("rank", "candidate"))).where("position <= budget").select("row", "candidate", "source", "position")
 
 
-def hard_graph(rows: DataFrame, block: list[str], score: Column, protected: DataFrame | None, threshold: float, k: int) -> DataFrame:
-    """row, neighbor, score, rank: rows of one block that score at least the threshold, best k a row.
-
-    score speaks of columns l.* and r.*; protected (row, neighbor) pairs are no negatives. Blocks are the join key."""
-    left, right = rows.alias("l"), rows.alias("r")
-    on = reduce(lambda a, b: a & b, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in block]) & (F.col("l.row") != F.col("r.row"))
-    pairs = left.join(right, on).select(F.col("l.row").alias("row"), F.col("r.row").alias("neighbor"), score.alias("score")).where(F.col("score") + 1e-12 >= threshold)
+def hard_graph(rows: DataFrame, block: list[str], score: Score, threshold: float, k: int, protect: tuple[str, ...] = (), protected: DataFrame | None = None, block_rows: int = 1024) -> DataFrame:
+    """row, neighbor, score, rank: rows of one block that score at least the threshold (1e-12 slack), best k a row.
+
+    score takes two pandas frames of rows and returns the matrix of their scores. Pairs that agree in all columns of protect,
+    and those of protected (row, neighbor), are no negatives. A block of any size is cut into parts of about block_rows; parts
+    meet pairwise in tasks of their own, and only the best k of a row leave one."""
+    total = rows.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("__parts"))
+    dealt = rows.join(total, block).withColumn("__own", F.pmod(F.xxhash64("row"), F.col("__parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))
+    left = dealt.withColumn("__d", F.col("__own")).withColumn("__q", every).withColumn("__asks", F.lit(True))
+    right = dealt.withColumn("__q", F.col("__own")).withColumn("__d", every).withColumn("__asks", F.lit(False))
+    keep = k if protected is None else None  # pairs that leave later must not take a place
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks, asked = pdf[pdf["__asks"]].reset_index(drop=True), pdf[~pdf["__asks"]].reset_index(drop=True)
+        if not len(asks) or not len(asked):
+            return pd.DataFrame({"row": [], "neighbor": [], "score": []})
+        s = score(asks, asked)
+        a, b = asks["row"].to_numpy(), asked["row"].to_numpy()
+        out = a[:, None] == b[None, :]
+        if protect:
+            same = np.ones_like(out)
+            for c in protect:
+                same &= asks[c].to_numpy()[:, None] == asked[c].to_numpy()[None, :]
+            out |= same
+        s = np.where(out, -np.inf, s)
+        i, j = np.nonzero(s + 1e-12 >= threshold)
+        found = pd.DataFrame({"row": a[i], "neighbor": b[j], "score": s[i, j]}).sort_values(["row", "score", "neighbor"], ascending=[True, False, True])
+        return found if keep is None else found.groupby("row").head(keep)
+
+    pairs = left.unionByName(right).groupBy(*block, "__d", "__q").applyInPandas(near, "row long, neighbor long, score double")
     if protected is not None:
         pairs = pairs.join(protected, ["row", "neighbor"], "left_anti")
     return top_per(pairs, "row", [F.desc("score"), F.col("neighbor")], k)

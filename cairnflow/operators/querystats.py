@@ -100,16 +100,25 @@ def conservation(log: DataFrame, pairs: DataFrame) -> DataFrame:
     return all_.withColumn("holds", (F.col("log_rows") == F.col("by_query")) & (F.col("by_query") == F.col("by_poi")) & (F.col("df_by_query") == F.col("df_by_poi")))
 
 
-def dense_ids(frame: DataFrame, key: list[str], name: str) -> DataFrame:
-    """0-based ids in key order. Keys are counted by range partition first, so no task sorts them all."""
-    spread = frame.select(*key).distinct()
-    n = max(1, spread.sparkSession.conf.get("spark.sql.shuffle.partitions") and int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = spread.repartitionByRange(n, *key).withColumn("__p", F.spark_partition_id())
-    sizes = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+def dense_ids(frame: DataFrame, key: list[str], name: str, parts: int = 64) -> DataFrame:
+    """0-based ids in key order (nulls first). Ranks are taken within key ranges and offset by the ranges before.
+
+    The ranges' bounds are keys from a sample by hash, drawn once as constants, so that every reading of the plan cuts alike.
+    """
+    keys = frame.select(*key).distinct()
+    row = F.struct(*key)
+    n = keys.agg(F.approx_count_distinct(F.xxhash64(*key))).collect()[0][0]
+    every = max(1, n // (16 * parts))
+    drawn = keys.where(F.pmod(F.xxhash64(F.lit(7), *key), F.lit(every)) == 0).select(row.alias("k"))
+    bounds = drawn.groupBy().agg(F.array_sort(F.collect_list("k")).alias("ks"))  # about 16 keys a range
+    cut = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.get(F.col("ks"), F.floor(i * F.size("ks") / parts).cast("int")))
+    bounds = bounds.select(F.array_distinct(F.filter(cut, lambda k: k.isNotNull())).alias("ks"))
+    constants = frame.sparkSession.createDataFrame(bounds.collect(), bounds.schema)
+    ranged = keys.crossJoin(F.broadcast(constants)).select(*key, F.size(F.filter("ks", lambda k: k < row)).alias("__p"))
+    sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
     offsets = sizes.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    at = Window.partitionBy("__p").orderBy(*key)
-    ranked = parts.withColumn("__r", F.row_number().over(at) - 1)
+    ranked = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*key)) - 1)
     return ranked.join(F.broadcast(offsets), F.col("__p") == F.col("__q")).select(*key, (F.col("__o") + F.col("__r")).cast("long").alias(name))
 
 

@@ -35,12 +35,37 @@ def membership(train: DataFrame, rows: DataFrame) -> DataFrame:
     return out.fillna(False, ["query_seen", "pair_seen"]).fillna(0, ["target_frequency"])
 
 
+#: Rank error of the approximate quantiles that bracket an exact one.
+BRACKET = 0.001
+
+
+def nth_smallest(frame: DataFrame, order: Column, n: int, m: int):
+    """The m-th smallest value (1-based) of a struct column that begins with a number, of n rows; None if there is none.
+
+    Approximate quantiles of the number bracket it; only the rows in the bracket, a fixed small share, are sorted, in one list."""
+    if not 1 <= m <= n:
+        return None
+    rows = frame.select(order.alias("o"))
+    first = f"o.{rows.schema['o'].dataType.names[0]}"
+    low, high = rows.agg(F.percentile_approx(first, [max(0.0, m / n - BRACKET), min(1.0, m / n + BRACKET)], 20_000)).collect()[0][0]
+    low = rows.agg(F.min(first)).collect()[0][0] if m / n <= BRACKET else low
+    high = rows.agg(F.max(first)).collect()[0][0] if m / n >= 1 - BRACKET else high
+    below = rows.where(F.col(first) < F.lit(low)).count()
+    return rows.where(F.col(first).between(F.lit(low), F.lit(high))).orderBy("o").limit(m - below).agg(F.max("o")).collect()[0][0]
+
+
 def train_dev(frame: DataFrame, score: Column, id_: str, fraction: float) -> DataFrame:
-    """split: dev for the smallest scores, as many as n * fraction rounded half to even, at least 1 and at most n - 1."""
+    """split: dev for the smallest scores, as many as n * fraction rounded half to even, at least 1 and at most n - 1.
+
+    score: a text, of which the first 13 hexadecimal digits bracket the border, or a number."""
     n = frame.count()
     size = max(1, min(n - 1, round(n * fraction)))
-    edge = frame.select(score.alias("s"), F.col(id_).alias("i")).orderBy("s", "i").limit(size).agg(F.max(F.struct("s", "i")).alias("e"))
-    return frame.withColumn("__s", F.struct(score.alias("s"), F.col(id_).alias("i"))).crossJoin(edge).withColumn("split", F.when(F.col("__s") <= F.col("e"), "dev").otherwise("train")).drop("__s", "e")
+    number = F.coalesce(F.conv(F.substring(score.cast("string"), 1, 13), 16, 10).cast("long"), F.lit(0)) if frame.select(score).dtypes[0][1] == "string" else score
+    order = F.struct(number.alias("n"), score.alias("s"), F.col(id_).alias("i"))
+    edge = nth_smallest(frame, order, n, size)
+    spark = frame.sparkSession
+    border = spark.createDataFrame([(edge,)], frame.select(order.alias("e")).schema)  # one row
+    return frame.withColumn("__s", order).crossJoin(F.broadcast(border)).withColumn("split", F.when(F.col("__s") <= F.col("e"), "dev").otherwise("train")).drop("__s", "e")
 
 
 def contiguous(row_index: Column, total: int, parts: int) -> Column:

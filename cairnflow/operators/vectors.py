@@ -8,41 +8,60 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnflow.functions import vector as V
+from cairnflow.sources.scratch import cut
 
-#: Rows of a broadcast block: with 1,024 dimensions in double precision 128 MB at most.
-BLOCK_ROWS = 16_384
+#: Rows of a broadcast block: with 1,024 dimensions in double precision 32 MB at most.
+BLOCK_ROWS = 4_096
+#: Scores that a task holds at a time.
+TILE_SCORES = 4_000_000
+#: Numbers of a codebook that is sent to the executors: 256 MB. Larger ones are a fault of the caller.
+MOST_CODEBOOK = 32_000_000
 
 
-def knn(base: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """query_id, id, score, rank: the k largest inner products, ties by the smaller id.
+def knn(base: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, forbidden: DataFrame | None = None) -> DataFrame:
+    """query_id, id, score, rank: the k largest inner products, ties by the smaller id; pairs of forbidden (query_id, id) left out.
 
     Queries are broadcast in blocks; each task multiplies its rows with a block and keeps k a query, so the shuffle
     carries k rows a query and task whatever the base's size.
     """
     spark = base.sparkSession
-    rows = queries.select(F.col(id_).cast("long").alias("q"), F.col(vector).alias("v"))
+    rows = queries.select(F.col(id_).cast("long").alias("q"), F.col(vector).alias("v"), F.array().cast("array<bigint>").alias("f"))
+    if forbidden is not None:
+        lists = forbidden.groupBy(F.col("query_id").cast("long").alias("q")).agg(F.collect_set(F.col("id").cast("long")).alias("f"))
+        rows = rows.drop("f").join(lists, "q", "left")
     out = None
     schema = "query_id long, id long, score double"
-    for part in _blocks(rows, block_rows):
-        shared = spark.sparkContext.broadcast((np.array([r["q"] for r in part]), np.array([r["v"] for r in part], np.float64)))
+    for part in blocks(rows, block_rows):
+        shared = spark.sparkContext.broadcast((np.array([r["q"] for r in part]), np.array([r["v"] for r in part], np.float64), _pairs([r["f"] for r in part])))
 
         def near(frames, shared=shared):
-            ids, matrix = shared.value
+            ids, matrix, (row, gone) = shared.value
             best_s = np.full((len(ids), 0), -np.inf)
             best_i = np.zeros((len(ids), 0), np.int64)
-            for pdf in frames:
-                if len(pdf):
-                    s = matrix @ np.stack(pdf["v"].to_numpy()).astype(np.float64).T
+            step = max(1, TILE_SCORES // len(ids))
+            for frame in frames:
+                for at in range(0, len(frame), step):
+                    tile = frame.iloc[at : at + step]
+                    s = matrix @ np.stack(tile["v"].to_numpy()).astype(np.float64).T
+                    names = tile["i"].to_numpy()
+                    if len(gone):
+                        order = np.argsort(names)
+                        place = np.minimum(np.searchsorted(names[order], gone), len(names) - 1)
+                        hit = names[order[place]] == gone
+                        s[row[hit], order[place[hit]]] = -np.inf
                     best_s = np.hstack([best_s, s])
-                    best_i = np.hstack([best_i, np.broadcast_to(pdf["i"].to_numpy(), s.shape)])
+                    best_i = np.hstack([best_i, np.broadcast_to(names, s.shape)])
                     order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
                     best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
             if best_s.size:
-                yield pd.DataFrame({"query_id": np.repeat(ids, best_s.shape[1]), "id": best_i.ravel(), "score": best_s.ravel()})
+                found = pd.DataFrame({"query_id": np.repeat(ids, best_s.shape[1]), "id": best_i.ravel(), "score": best_s.ravel()})
+                yield found[found["score"] > -np.inf]
 
         found = base.select(F.col(id_).cast("long").alias("i"), F.col(vector).alias("v")).mapInPandas(near, schema)
         out = found if out is None else out.unionByName(found)
@@ -52,7 +71,13 @@ def knn(base: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _blocks(rows: DataFrame, size: int):
+def _pairs(lists: list[list[int] | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(position of the list, member) of every member."""
+    return np.repeat(np.arange(len(lists)), [len(x or ()) for x in lists]), np.array([i for x in lists for i in x or ()], np.int64)
+
+
+def blocks(rows: DataFrame, size: int):
+    """The rows in lists of bounded length, read one partition at a time."""
     block = []
     for row in rows.toLocalIterator():
         block.append(row)
@@ -64,19 +89,24 @@ def _blocks(rows: DataFrame, size: int):
 
 
 def mean_vector(frame: DataFrame, key: list[str], vector: str, normalise: bool = False) -> DataFrame:
-    """By key: the mean (unit mean) vector as an array, and n. Positions are summed map-side."""
-    v = V.unit(F.col(vector)) if normalise else F.col(vector)
-    per = frame.select(*key, F.posexplode(v).alias("pos", "x")).groupBy(*key, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).alias("n"))
-    return per.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean"), F.max("n").alias("n"))
+    """By key: the mean (unit mean) vector as an array, and n. One vector a key and task is shuffled; null vectors count nowhere."""
+    v = V.unit(F.col(vector)) if normalise else F.col(vector).cast("array<double>")
+    rows = frame.select(*key, v.alias("__v")).where("__v is not null").select(*key, array_to_vector("__v").alias("__v"))
+    return rows.groupBy(*key).agg(Summarizer.mean(F.col("__v")).alias("m"), F.count(F.lit(1)).alias("n")).select(*key, vector_to_array("m").alias("mean"), "n")
 
 
 def weighted_mean(frame: DataFrame, key: list[str], vector: str, weight: str) -> DataFrame:
     """By key: the unit weighted sum, the sum of weights, and Kish's effective count in [1, n]."""
-    per = frame.select(*key, weight, F.posexplode(vector).alias("pos", "x")).groupBy(*key, "pos").agg(F.sum(F.col("x").cast("double") * F.col(weight)).alias("x"))
-    vectors = per.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("sum"))
-    w = frame.groupBy(*key).agg(F.sum(weight).alias("weight_sum"), F.sum(F.col(weight) * F.col(weight)).alias("squares"), F.count(F.lit(1)).alias("n"))
+    w = F.col(weight)
+    rows = frame.select(*key, w.cast("double").alias("__w"), array_to_vector(F.col(vector).cast("array<double>")).alias("__v"))
+    per = rows.groupBy(*key).agg(
+        Summarizer.mean(F.col("__v"), F.col("__w")).alias("m"),
+        F.sum("__w").alias("weight_sum"),
+        F.sum(F.col("__w") * F.col("__w")).alias("squares"),
+        F.count(F.lit(1)).alias("n"),
+    )
     kish = F.least(F.col("n").cast("double"), F.greatest(F.lit(1.0), F.col("weight_sum") * F.col("weight_sum") / F.col("squares")))
-    return vectors.join(w, key).select(*key, V.unit(F.col("sum")).alias("vector"), "weight_sum", kish.alias("effective_count"), "n")
+    return per.select(*key, V.unit(vector_to_array("m")).alias("vector"), "weight_sum", kish.alias("effective_count"), "n")
 
 
 def category_residual(frame: DataFrame, category: str, vector: str, beta: float, min_support: int) -> DataFrame:
@@ -87,11 +117,17 @@ def category_residual(frame: DataFrame, category: str, vector: str, beta: float,
     return both.withColumn("residual", F.when(F.col("support") >= min_support, moved).otherwise(V.unit(F.col(vector)))).drop("mean")
 
 
+def _book(spark, centroids: list[tuple[int, list[float]]]):
+    """The codebook as one matrix on every executor, if it is one."""
+    codes, matrix = np.array([c for c, _ in centroids]), np.array([v for _, v in centroids], np.float64)
+    if matrix.size > MOST_CODEBOOK:
+        raise ValueError(f"a codebook of {matrix.shape} numbers is no codebook: cluster the centroids first")
+    return spark.sparkContext.broadcast((codes, matrix))
+
+
 def assign(frame: DataFrame, centroids: list[tuple[int, list[float]]], vector: str = "embedding", by: str = "cosine") -> DataFrame:
-    """frame with code and score: the best centroid (smallest code of equals). A codebook has K rows, sent as one matrix."""
-    codes = np.array([c for c, _ in centroids])
-    matrix = np.array([v for _, v in centroids], np.float64)
-    shared = frame.sparkSession.sparkContext.broadcast((codes, matrix))
+    """frame with code and score: the best centroid (smallest code of equals). A codebook of K rows is sent as one matrix."""
+    shared = _book(frame.sparkSession, centroids)
 
     @F.pandas_udf("struct<code:int,score:double>")
     def nearest(v: pd.Series) -> pd.DataFrame:
@@ -145,28 +181,46 @@ def _unit(v) -> list[float]:
 
 
 def residual_codes(frame: DataFrame, levels: int, k: int, vector: str = "embedding", id_: str = "vec_id", iterations: int = 6) -> DataFrame:
-    """id, s1..sL: codes of successive spherical codebooks on projection residuals. Each level is a map over rows."""
-    data = frame.select(id_, V.unit(F.col(vector)).alias("__x"))
+    """id, s1..sL: codes of successive spherical codebooks on projection residuals. Each level is a map over rows.
+
+    Each round of a level's fit reads its rows again, so they are written once, to the checkpoint folder."""
+    data = frame.select(id_, V.unit(F.col(vector)).alias("__x")).where("__x is not null")
     for level in range(1, levels + 1):
-        data = data.persist()  # each round of the fit reads the level's rows again
+        data = cut(data)
         book = fit_spherical(data, k, "__x", id_, iterations)
-        data = assign(data, book, "__x").withColumnRenamed("code", f"s{level}").drop("score")
-        table = data.sparkSession.createDataFrame(book, "__k int, __c array<double>")  # k rows
-        data = data.join(F.broadcast(table), F.col(f"s{level}") == F.col("__k")).drop("__k")
-        left = V.projection_residual(F.col("__x"), F.col("__c"))
-        data = data.withColumn("__x", F.coalesce(left, F.col("__x"))).drop("__c")
+        data = encode_level(data, book, "__x", f"s{level}")
     return data.drop("__x")
 
 
-def soft_update(frame: DataFrame, centroids: DataFrame, vector: str, id_: str, top: int, beta: float) -> DataFrame:
-    """By code: unit sum of rows weighted by the softmax of beta * cosine over each row's best `top` codes.
+def encode_level(data: DataFrame, book: list[tuple[int, list[float]]], vector: str, code: str, residual: str = "projection") -> DataFrame:
+    """data with its code in one codebook, and the vector replaced by what that leaves: the unit part orthogonal to
+    the centroid (`projection`; the vector itself where nothing is left), or the difference (`difference`)."""
+    by = "cosine" if residual == "projection" else "euclid"
+    data = assign(data, book, vector, by).withColumnRenamed("code", code).drop("score")
+    table = data.sparkSession.createDataFrame(book, "__k int, __c array<double>")  # one row a code
+    both = data.join(F.broadcast(table), F.col(code) == F.col("__k")).drop("__k")
+    left = V.projection_residual(F.col(vector), F.col("__c")) if residual == "projection" else V.subtract(F.col(vector), F.col("__c"))
+    return both.withColumn(vector, F.coalesce(left, F.col(vector))).drop("__c")
 
-    centroids (code, centroid) has one row a code: it is the bounded side of the product."""
-    both = frame.select(id_, F.col(vector).alias("x")).crossJoin(F.broadcast(centroids)).withColumn("sim", V.cosine(F.col("x"), F.col("centroid")))
-    w = Window.partitionBy(id_).orderBy(F.desc("sim"), "code")
-    best = both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).withColumn("e", F.exp(beta * F.col("sim")))
-    weighted = best.withColumn("weight", F.col("e") / F.sum("e").over(Window.partitionBy(id_)))
-    return weighted_mean(weighted, ["code"], "x", "weight").select("code", F.col("vector").alias("centroid"), F.col("weight_sum").alias("mass"))
+
+def soft_update(frame: DataFrame, centroids: list[tuple[int, list[float]]], vector: str, id_: str, top: int, beta: float) -> DataFrame:
+    """By code: unit sum of rows weighted by the softmax of beta * cosine over each row's best `top` codes (ties by code)."""
+    shared = _book(frame.sparkSession, centroids)
+
+    @F.pandas_udf("array<struct<code:int,weight:double>>")
+    def shares(v: pd.Series) -> pd.Series:
+        codes, m = shared.value
+        if not len(v):
+            return pd.Series([], dtype=object)
+        x = np.stack(v.to_numpy()).astype(np.float64)
+        sim = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T
+        best = np.argsort(-sim, axis=1, kind="stable")[:, :top]
+        e = np.exp(beta * (np.take_along_axis(sim, best, 1) - sim.max(1, keepdims=True)))
+        e /= e.sum(1, keepdims=True)
+        return pd.Series([[{"code": int(codes[j]), "weight": float(w)} for j, w in zip(b, r, strict=True)] for b, r in zip(best, e, strict=True)])
+
+    both = frame.select(id_, F.col(vector).alias("x"), F.explode(shares(F.col(vector))).alias("s")).select(id_, "x", "s.code", "s.weight")
+    return weighted_mean(both, ["code"], "x", "weight").select("code", F.col("vector").alias("centroid"), F.col("weight_sum").alias("mass"))
 
 
 def category_costs(rows: DataFrame, code: str, category: str, smoothing: float) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -186,18 +187,18 @@ def plus_code6(spark, sf):
 _HAVERSINE = "2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))))"
 
 
-@query(f"WITH {POINTS}, p AS (SELECT a.id, b.id AS other, {_HAVERSINE} AS metres FROM points a JOIN points b ON a.id <> b.id AND abs(floor(a.lng * 3) - floor(b.lng * 3)) <= 1 AND abs(floor(a.lat * 3) - floor(b.lat * 3)) <= 1) SELECT id, other, round(metres, 3) AS metres, CAST(row_number() OVER (PARTITION BY id ORDER BY metres, other) AS INTEGER) AS rank FROM p QUALIFY rank <= 5")
+@query(f"WITH {POINTS}, p AS (SELECT a.id, b.id AS other, {_HAVERSINE} AS metres FROM points a JOIN points b ON a.id <> b.id) SELECT id, other, round(metres, 3) AS metres, CAST(row_number() OVER (PARTITION BY id ORDER BY metres, other) AS INTEGER) AS rank FROM p QUALIFY rank <= 5")
 def haversine_topk(spark, sf):
     return negatives.geo_topk(points(spark, sf), 5).select("id", "other", F.round("metres", 3).alias("metres"), "rank")
 
 
 @query(f"WITH {POINTS}, c AS (SELECT *, avg(lng) OVER (PARTITION BY nation) AS cx, avg(lat) OVER (PARTITION BY nation) AS cy, count(*) OVER (PARTITION BY nation) AS n FROM points) SELECT id, round(CASE WHEN n > 1 THEN radians(lng - cx) * cos(radians(cy)) * 6371008.8 ELSE 0.0 END, 3) AS dx, round(CASE WHEN n > 1 THEN radians(lat - cy) * 6371008.8 ELSE 0.0 END, 3) AS dy FROM c")
 def local_geo_features(spark, sf):
-    w = Window.partitionBy("nation")
-    p = points(spark, sf).withColumns({"cx": F.avg("lng").over(w), "cy": F.avg("lat").over(w), "n": F.count(F.lit(1)).over(w)})
+    p = points(spark, sf)
+    centres = p.groupBy("nation").agg(F.avg("lng").alias("cx"), F.avg("lat").alias("cy"), F.count(F.lit(1)).alias("n"))
     x, y = geo.local_metres(F.col("lng"), F.col("lat"), F.col("cx"), F.col("cy"))
     alone = lambda v: F.round(F.when(F.col("n") > 1, v).otherwise(0.0), 3)
-    return p.select("id", alone(x).alias("dx"), alone(y).alias("dy"))
+    return p.join(centres, "nation").select("id", alone(x).alias("dx"), alone(y).alias("dy"))
 
 
 _GRAMS = "g AS (SELECT p_partkey AS id, p_brand AS code, regexp_replace(lower(p_name || ' ' || p_type), '\\s', '', 'g') AS t FROM part), s AS (SELECT id, code, list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) AS grams FROM g)"
@@ -206,7 +207,8 @@ _GRAMS = "g AS (SELECT p_partkey AS id, p_brand AS code, regexp_replace(lower(p_
 @query(f"WITH {_GRAMS}, p AS (SELECT a.id AS target, b.id AS candidate, len(list_intersect(a.grams, b.grams)) AS i, len(a.grams) AS la, len(b.grams) AS lb, CASE WHEN a.code = b.code THEN 1 ELSE 0 END AS same_code FROM s a JOIN s b ON a.id <> b.id WHERE a.id % 20 = 0), q AS (SELECT target, candidate, i / (la + lb - i) AS name_score, same_code FROM p WHERE i > 0 OR same_code > 0) SELECT target, candidate, round(name_score, 9) AS name_score, same_code, CAST(row_number() OVER (PARTITION BY target ORDER BY name_score DESC, same_code DESC, candidate) AS INTEGER) AS rank FROM q QUALIFY rank <= 10")
 def lexical_negatives(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("name"), F.col("p_brand").alias("code"))
-    return rounded(negatives.lexical_topk(p.where("id % 20 = 0"), p, 10))
+    found = negatives.lexical_topk(p.where("id % 20 = 0"), p, 10)
+    return rounded(found.select("target", "candidate", "name_score", "same_code", "rank"))
 
 
 @query(f"WITH {_GRAMS} SELECT a.id, b.id AS other, round(len(list_intersect(a.grams, b.grams)) / len(list_distinct(list_concat(a.grams, b.grams))), 9) AS jaccard FROM s a JOIN s b ON b.id = a.id + 1")
@@ -225,10 +227,13 @@ def merge_negatives(spark, sf):
 @query(f"WITH {CODES}, j AS (SELECT l.vec_id AS row, r.vec_id AS neighbor, 0.6 * list_inner_product(le.embedding::DOUBLE[], re.embedding::DOUBLE[]) + 0.4 * CASE WHEN l.t3 = r.t3 THEN 1 ELSE 0 END AS score FROM codes l JOIN codes r ON l.s1 = r.s1 AND l.s2 = r.s2 AND l.vec_id <> r.vec_id JOIN embeddings le ON le.vec_id = l.vec_id JOIN embeddings re ON re.vec_id = r.vec_id WHERE NOT (l.label = r.label AND l.s3 = r.s3)) SELECT row, neighbor, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, neighbor) AS INTEGER) AS rank FROM j WHERE score + 1e-12 >= 0.30 QUALIFY rank <= 20")
 def hard_neighbours(spark, sf):
     rows = codes(spark, sf).join(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id").withColumnRenamed("vec_id", "row")
-    score = 0.6 * V.dot(F.col("l.embedding"), F.col("r.embedding")) + 0.4 * F.when(F.col("l.t3") == F.col("r.t3"), 1).otherwise(0)
-    a, b = rows.select("row", "label", "s1", "s2", "s3"), rows.select(F.col("row").alias("neighbor"), "label", "s1", "s2", "s3")
-    protected = a.join(b, ["label", "s1", "s2", "s3"]).select("row", "neighbor")
-    return negatives.hard_graph(rows, ["s1", "s2"], score, protected, 0.30, 20).select("row", "neighbor", F.round("score", 6).alias("score"), "rank")
+
+    def score(a, b):
+        x, y = (np.stack(f["embedding"].to_numpy()).astype(np.float64) for f in (a, b))
+        return 0.6 * x @ y.T + 0.4 * (a["t3"].to_numpy()[:, None] == b["t3"].to_numpy()[None, :])
+
+    found = negatives.hard_graph(rows, ["s1", "s2"], score, 0.30, 20, protect=("label", "s1", "s2", "s3"))
+    return found.select("row", "neighbor", F.round("score", 6).alias("score"), "rank")
 
 
 @query("WITH t AS (SELECT o_orderkey AS row, o_orderkey // 8 AS batch, o_custkey % 50 AS target FROM orders) SELECT DISTINCT t.row, u.target AS candidate FROM t JOIN t u USING (batch) WHERE u.target <> t.target AND NOT (t.row % 5 = 0 AND u.target = (t.target + 1) % 50)")

@@ -1,5 +1,6 @@
 """Operators without a SQL twin, and the edges of those with one."""
 
+import difflib
 import hashlib
 import itertools
 import math
@@ -61,6 +62,67 @@ def test_text_functions(spark):
     assert got[0][2] == "".join(x for x in n if x.isalnum()).lower() and " " not in got[0][3]
     assert got[1][0] is None and got[1][2] == "" and got[2][0] is None
     assert [text.parse_integer(x) for x in ("12", "一二", "十二", "二十", "三百零五", "一万二千", "x", "")] == [12, 12, 12, 20, 305, 12000, None, None]
+    assert [text.parse_integer(x) for x in ("万", "百", "１２", " 二 十 ", "一二百", "十万零五", "一万二万", None)] == [10000, 100, 12, 20, 200, 100005, 30000, None]
+    assert [r.q for r in spark.createDataFrame([("Ａ—B–c－d…、x",)], "t string").select(text.conservative(c).alias("q")).collect()] == ["a-b-c-d...,x"]
+    same = spark.createDataFrame([("ab" * 135, "ba" * 130 + "zz", ["ab" * 135]), ("", "x", ["y"])], "a string, b string, c array<string>")
+    got = same.select(text.tiered_similarity(F.col("a"), F.col("b")).alias("s"), text.lexical_relevance(F.col("a"), F.col("b"), F.col("c"), F.lit(""), F.lit("")).alias("l")).collect()
+    assert got[0].s == pytest.approx(difflib.SequenceMatcher(None, "ab" * 135, "ba" * 130 + "zz", autojunk=False).ratio()) and got[0].l == 1.0 and got[1].s == got[1].l == 0.0
+
+
+def test_blocks_of_hard_neighbours_and_forbidden_pairs(spark):
+    r = np.random.default_rng(8)
+    m = r.normal(size=(60, 5))
+    rows = [(i, i % 2, i % 3, m[i].tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "row long, b int, p int, v array<double>")
+
+    def score(a, c):
+        x, y = (np.stack(f["v"].to_numpy()) for f in (a, c))
+        return x @ y.T
+
+    got = {(x.row, x.neighbor, x["rank"]) for size in (7, 1000) for x in negatives.hard_graph(df, ["b"], score, 0.2, 3, protect=("p",), block_rows=size).collect()}
+    s = m @ m.T
+    want = set()
+    for i in range(60):
+        near = sorted(((-s[i, j], j) for j in range(60) if j != i and j % 2 == i % 2 and j % 3 != i % 3 and s[i, j] >= 0.2))[:3]
+        want |= {(i, j, k + 1) for k, (_, j) in enumerate(near)}
+    assert got == want
+    base = spark.createDataFrame([(i, m[i].tolist()) for i in range(60)], "vec_id long, embedding array<double>")
+    gone = spark.createDataFrame([(i, j) for i in range(5) for j in range(0, 60, 2)], "query_id long, id long")
+    found = vectors.knn(base, base.where("vec_id < 5"), 4, forbidden=gone).collect()
+    for i in range(5):
+        mine = [x.id for x in sorted(found, key=lambda x: x["rank"]) if x.query_id == i]
+        assert mine == sorted((j for j in range(1, 60, 2)), key=lambda j: (-s[i, j], j))[:4]
+
+
+def test_lexical_and_geographic_neighbours_equal_all_pairs(spark):
+    r = np.random.default_rng(9)
+    names = ["".join(r.choice(list("abcd"), int(r.integers(0, 7)))) for _ in range(80)]
+    rows = [(i, names[i], names[-i] or None, "xyz"[i % 3], "pq"[i % 2] if i % 5 else None, float(r.normal(116, 0.3)), float(r.normal(40, 0.2))) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, name string, address string, code string, category string, lng double, lat double")
+    gone = spark.createDataFrame([(1, 2), (1, 3), (4, 79)], "target long, candidate long")
+    grams = lambda t: {t[k : k + 2] for k in range(max(1, len(t) - 1))} if t else set()
+    jac = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    for size in (3, 1000):
+        got = {(x.target, x.candidate, x["rank"]) for x in negatives.lexical_topk(df.where("id < 9"), df.repartition(5), 6, gone, size).collect()}
+        want = set()
+        for i, n, a, c, g, *_ in rows[:9]:
+            scored = []
+            for j, n2, a2, c2, g2, *_ in rows:
+                key = (jac(grams(n), grams(n2)), int(c == c2), int(g is not None and g == g2), jac(grams(a or ""), grams(a2 or "")))
+                if i != j and any(key) and (i, j) not in {(1, 2), (1, 3), (4, 79)}:
+                    scored.append((*(-x for x in key), j))
+            want |= {(i, x[-1], k + 1) for k, x in enumerate(sorted(scored)[:6])}
+        assert got == want
+    def metres(a, b):
+        h = math.sin(math.radians(b[6] - a[6]) / 2) ** 2 + math.cos(math.radians(a[6])) * math.cos(math.radians(b[6])) * math.sin(math.radians(b[5] - a[5]) / 2) ** 2
+        return 2 * 6371008.8 * math.asin(math.sqrt(h))
+    for same in ((), ("code", "category")):
+        got = {(x.id, x.other, x["rank"]) for x in negatives.geo_topk(df, 4, same).collect()}
+        want = set()
+        for a in rows:
+            key = lambda b: (*((-int(a[k] is not None and a[k] == b[k])) for k in ((3, 4) if same else ())), metres(a, b), b[0])  # noqa: E731, B023
+            want |= {(a[0], b[0], k + 1) for k, b in enumerate(sorted((b for b in rows if b[0] != a[0]), key=key)[:4])}
+        assert got == want
     pairs = spark.createDataFrame([("ab", "ab"), ("ab", "xabx"), ("abcd", "bc"), ("abc", "abd"), ("", "a")], "q string, t string")
     assert [round(r[0], 4) for r in pairs.select(text.tiered_similarity(F.col("q"), F.col("t"))).collect()] == [1.0, 0.95, 0.925, 0.6667, 0.0]
 
@@ -101,7 +163,7 @@ def test_spherical_codebook_improves(spark):
     assert score[1] >= score[0] - 1e-9
     out = vectors.residual_codes(df, 2, 4)
     assert out.columns == ["vec_id", "s1", "s2"] and out.count() == 120
-    soft = vectors.soft_update(df, spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(np.eye(4))], "code int, centroid array<double>"), "embedding", "vec_id", 2, 4.0)
+    soft = vectors.soft_update(df, [(i, e.tolist()) for i, e in enumerate(np.eye(4))], "embedding", "vec_id", 2, 4.0)
     assert soft.agg(F.sum("mass")).first()[0] == pytest.approx(120)
 
 
