@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from cairnflow.plans import code_queries, log_queries, text_queries, vector_queries  # noqa: F401
+from cairnflow.plans import code_queries, log_queries, lookup_queries, text_queries, vector_queries  # noqa: F401
 from cairnflow.plans.base import QUERIES, SQL
