@@ -1,17 +1,20 @@
 """Quality rules with an n-gram perplexity band for each language.
 
 Fixed rules look at a text alone: too few words, too many repeated three-word windows. The method's verdict is the
-perplexity of the text's words under a modified Kneser-Ney model of letter trigrams of its language, which Spark counts
-over all documents. Letters fall into 128 classes, so a language's model has at most 128^3 entries whatever the
-corpus: that bounds what is collected and broadcast, as sorted arrays of n-gram hashes with their log-probabilities.
-Perplexity is taken passage by passage (25 words), so that a quotation in another language or a table does not decide
-over a text: at least a quarter of the passages must lie below the language's upper bound, and at least a quarter above its
-lower bound. The perplexity of the whole text must lie in a band of its own too, so that a few ordinary passages do not
-carry the rest. The bounds are the corpus's median less or plus a multiple of the spread (the median absolute
-deviation), wider for texts of few words.
+perplexity of the text's words under a modified Kneser-Ney model of its language: letter n-grams of order ORDER within
+words, of all characters as they are, ends of words included. Spark counts them over all documents: the distinct words of each
+language with their numbers first, then their n-grams, and fits the models, one group for each language and last letter of
+a context (discounts are that group's own). The model grows with the corpus's vocabulary.
+
+It is stored as sorted arrays of 64-bit hashes, each with a number: the log-weight that a context leaves to the lower order, and
+what a seen n-gram adds to that. The log-probability of a letter is the sum of the numbers found for its n-grams and contexts of
+all orders, so hashes may lie in any part: arrays of at most MOST_ENTRIES entries are broadcast, and where there are several,
+a task loads one after another. Nothing is pruned.
+
+The bounds of a language are the median perplexity (in nats a word) of its documents that pass the fixed rules, less and plus a
+multiple of the spread (the median absolute deviation), wider for texts of few words. A text outside is rejected.
 
 Languages are the first two letters of the tag in lower case; anything else counts as one language of its own.
-Where the models of all languages exceed the broadcast bound, groups of languages that fit take turns.
 
 Nulls and empty texts have no words and fail the fixed rules. Repeated rows get the same result each; an empty table
 gives an empty one. filter_documents() returns the columns it was given, whatever their names.
@@ -19,68 +22,32 @@ gives an empty one. filter_documents() returns the columns it was given, whateve
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnflow.llm.common import map_rows, materialise, set_aside, utf8
+from cairnflow.llm.toxicity import BITS, LETTER, Lookup, context_key, gram_key, hash2, letters, suffix
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
-A = 128  # letter classes
-ORDER = 3
-#: Spreads that a text may lie from its language's median, and the least spread in nats a word.
+ORDER = 6
+#: Characters that a letter never seen in a language is taken to be one of.
+ALPHABET = 65_536
+#: Spreads that a text may lie from its language's median (chosen on labelled rows whose id's crc32 is even), and the least
+#: spread in nats a word.
 BAND = 6.0
-#: The same for the perplexity of whole texts; chosen on the labelled rows whose id's crc32 is even.
-WHOLE_BAND = 3.0
 LEAST_SPREAD = 0.12
 #: A text of n words gets this over sqrt(n) added on both sides.
 SHORT = 8.0
-PASSAGE = 25
-#: Entries of models broadcast at once (12 bytes each).
+#: Entries of an array that is broadcast (12 bytes each).
 MOST_ENTRIES = 8_000_000
-
-
-def _classes() -> np.ndarray:
-    """Class of each code point below 2^16: letters of ASCII and punctuation one each, digits one, white space one, the rest by remainder."""
-    t = np.empty(0x10000, np.uint8)
-    own = 3  # 0: edge of a text, 1: white space and control, 2: digit
-    t[:] = 0
-    for c in range(33, 127):
-        if not 48 <= c <= 57:
-            t[c] = own
-            own += 1
-    t[:33] = 1
-    t[48:58] = 2
-    t[127:161] = 1
-    rest = np.arange(161, 0x10000)
-    t[161:] = own + rest % (A - own)
-    return t
-
-
-_TABLE = _classes()
-_FIRST_REST = int(_TABLE[33:127].max()) + 1
-
-
-def classes(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    high = points > 0xFFFF
-    if high.any():
-        out = _TABLE[np.where(high, 0, points)]
-        out[high] = _FIRST_REST + points[high] % (A - _FIRST_REST)
-        return out
-    return _TABLE[points]
-
-
-def grams(text: str) -> np.ndarray:
-    """Trigram codes that end at each letter, the text's edge before it standing for missing ones."""
-    c = np.concatenate([np.zeros(ORDER - 1, np.uint8), classes(text)]).astype(np.int32)
-    return (c[:-2] * A + c[1:-1]) * A + c[2:]
+#: Words are scored once and remembered up to this many; forgetting changes no result.
+REMEMBERED = 150_000
 
 
 def language(tag):
@@ -89,44 +56,44 @@ def language(tag):
     return F.coalesce(F.when(two.rlike("^[a-z]{2}$"), two), F.lit("-"))
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """lang, gram, n over all documents; each task adds its own up first."""
-    rows = docs.select(language(F.col("lang")).alias("lang"), "text").where("text is not null")
+def count_words(docs: DataFrame) -> DataFrame:
+    """lang, w, n: the distinct words of each language; each task adds up its own first."""
 
     def count(batches):
-        full: dict[str, np.ndarray] = {}
-        waiting: dict[str, list] = {}
-        size: dict[str, int] = {}
-
-        def add(lang):
-            got = np.bincount(np.concatenate(waiting.pop(lang)), minlength=A**ORDER)
-            size[lang] = 0
-            if lang in full:
-                full[lang] += got
-            else:
-                full[lang] = got
-
-        def flush():
-            for lang in list(waiting):
-                add(lang)
-            for lang, n in full.items():
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "gram", "n"])
-            full.clear()
+        found: dict[tuple[str, bytes], int] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+                for w in utf8(text.as_py()).split():
+                    found[lang, w] = found.get((lang, w), 0) + 1
+                if len(found) > 400_000:
+                    yield told(found)
+                    found.clear()
+        yield told(found)
+
+    def told(found):
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([w for _, w in found], pa.binary()), pa.array(list(found.values()), pa.int64())], ["lang", "w", "n"])
+
+    rows = docs.select(language(F.col("lang")).alias("lang"), "text").where("text is not null")
+    return rows.mapInArrow(count, "lang string, w binary, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
 
+
+def count_grams(words: DataFrame) -> DataFrame:
+    """lang, a, b (halves of an n-gram), before (the last letter but one), n."""
+
+    def split(batches):
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if text:
-                    waiting.setdefault(lang, []).append(grams(text))
-                    size[lang] = size.get(lang, 0) + len(text)
-                    if size[lang] > 4_000_000:
-                        add(lang)
-                        if len(full) > 6:  # of 16 MB each
-                            yield from flush()
-        yield from flush()
+            langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+            for lang in sorted(set(langs)):
+                at = np.flatnonzero(langs == lang)
+                for k in range(0, len(at), 50_000):
+                    part = batch.take(pa.array(at[k : k + 50_000]))
+                    grams, word = letters(part.column("w").to_pylist())
+                    _, first, place = np.unique(gram_key(grams), return_index=True, return_inverse=True)
+                    n = np.bincount(place, part.column("n").to_numpy()[word], len(first)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), pa.array(grams[0, first]), pa.array(grams[1, first]), pa.array(n)], ["lang", "a", "b", "n"])
 
-    made = rows.mapInArrow(count, "lang string, gram int, n long")
-    return made.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = words.mapInArrow(split, "lang string, a long, b long, n long").groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
+    return grams.withColumn("before", F.shiftright("b", BITS).bitwiseAND(F.lit(LETTER)))
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -134,78 +101,108 @@ def discounts(n: np.ndarray) -> np.ndarray:
     n1, n2, n3, n4 = (max(1, int((n == k).sum())) for k in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2)
     d = np.array([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-    return np.clip(d, [0, 0.05, 0.05, 0.05], [0, 1, 2, 3])
+    return np.clip(d, [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.9])
+
+
+def level(contexts: np.ndarray, n: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of n-grams that hold all those of their contexts: distinct contexts, the log-weight each leaves to the lower order, the
+    place of each n-gram's context, and the n-grams' probabilities."""
+    keys, place = np.unique(contexts, return_inverse=True)
+    taken = np.minimum(n, discounts(n)[np.minimum(n, 3).astype(int)])
+    total, left = np.bincount(place, n), np.bincount(place, taken)
+    return keys, np.log(left / total), place, (n - taken + left[place] * lower) / total[place]
+
+
+def language_key(lang: str) -> int:
+    return int.from_bytes(utf8(lang)[:2].ljust(2), "big")
+
+
+def keyed(key: np.ndarray, lang: str) -> np.ndarray:
+    return hash2(key, np.full(len(key), language_key(lang)))
+
+
+def fit_letters(lang: str, letter: np.ndarray, n: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+    """The entries of order 1 of a language (h, v), and the letters' probabilities. n: letters that a letter comes after."""
+    none = np.zeros(len(letter), np.int64)
+    _, fall, _, p = level(none, n.astype(float), np.full(len(letter), 1.0 / ALPHABET))
+    base = fall[0] - np.log(ALPHABET)
+    h = np.concatenate([keyed(hash2(none[:1], none[:1]), lang), keyed(hash2(none, letter), lang)])
+    return pd.DataFrame({"h": h, "v": np.concatenate([[base], np.log(p) - base])}), p
+
+
+def fit_group(pdf: pd.DataFrame, lang: str, letter: dict[int, float]) -> pd.DataFrame:
+    """The entries (h, v) of orders 2 to ORDER of the n-grams with one last letter but one. letter: probabilities of order 1."""
+    grams = pdf[["a", "b"]].to_numpy().T.copy()
+    held, up, counts = [grams], [], [pdf["n"].to_numpy().astype(float)]
+    for size in range(ORDER - 1, 1, -1):
+        shorter = suffix(held[-1], size)
+        _, first, place = np.unique(gram_key(shorter), return_index=True, return_inverse=True)
+        held.append(shorter[:, first])
+        counts.append(np.bincount(place).astype(float))  # continuations
+        up.append(place)
+    lower = np.array([letter[int(x)] for x in held[-1][1] & LETTER])
+    keys, values = [], []
+    for k in range(len(held) - 1, -1, -1):
+        contexts, fall, place, p = level(context_key(held[k]), counts[k], lower)
+        keys += [contexts, gram_key(held[k])]
+        values += [fall, np.log(p) - fall[place] - np.log(lower)]
+        lower = p[up[k - 1]] if k else p
+    return pd.DataFrame({"h": keyed(np.concatenate(keys), lang), "v": np.concatenate(values)})
+
+
+def fit(docs: DataFrame) -> DataFrame:
+    """h, v: the models of all languages, written to the scratch folder."""
+    words = materialise(count_words(docs), "words")
+    grams = materialise(count_grams(words), "grams")
+    # order 1: letters that a letter is seen after; as many rows as the languages have letters
+    single = grams.select("lang", "before", F.col("b").bitwiseAND(F.lit(LETTER)).alias("x")).distinct().groupBy("lang", "x").count().toPandas()
+    own, letter = [], {}
+    for lang, rows in single.groupby("lang"):
+        entries, p = fit_letters(lang, rows["x"].to_numpy(), rows["count"].to_numpy())
+        own.append(entries)
+        letter[lang] = dict(zip(rows["x"].tolist(), p.tolist(), strict=True))
+
+    def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return fit_group(pdf, key[0], letter[key[0]])
+
+    out = grams.groupBy("lang", "before").applyInPandas(group, "h long, v double")
+    if own:
+        out = out.unionByName(docs.sparkSession.createDataFrame(pd.concat(own), "h long, v double"))
+    return materialise(out, "model")
 
 
-@dataclass
 class Model:
-    """Sorted gram codes with log-probabilities, and the same of lower orders for grams that were never seen."""
-
-    keys: np.ndarray
-    logp: np.ndarray
-    pairs: np.ndarray
-    pair_logp: np.ndarray
-    single_logp: np.ndarray
-    fall3: np.ndarray
-    fall2: np.ndarray
-
-    @classmethod
-    def of(cls, keys: np.ndarray, n: np.ndarray) -> Model:
-        order = np.argsort(keys)
-        keys, n = keys[order].astype(np.int64), n[order].astype(np.float64)
-        # continuations: distinct left neighbours of pairs, and of single letters
-        pairs, pair_n = np.unique(keys % (A * A), return_counts=True)
-        single_n = np.bincount(pairs % A, minlength=A)
-        d1 = discounts(single_n[single_n > 0])
-        cut = lambda c, d: np.maximum(c - d[np.minimum(c, 3).astype(int)], 0)
-        total = single_n.sum()
-        left = d1[np.minimum(single_n, 3)].sum() / total
-        p1 = cut(single_n, d1) / total + left / A
-        p2, fall2 = cls._level(pairs, pair_n.astype(np.float64), p1[pairs % A], A)
-        at = np.searchsorted(pairs, keys % (A * A))
-        p3, fall3 = cls._level(keys, n, p2[at], A * A)
-        return cls(keys, np.log(p3).astype(np.float32), pairs, np.log(p2).astype(np.float32), np.log(p1).astype(np.float32), fall3, fall2)
-
-    @staticmethod
-    def _level(keys: np.ndarray, n: np.ndarray, lower: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities of the keys, and the log of each context's weight of the lower order (0: an unseen context)."""
-        d = discounts(n)
-        ctx = keys // A
-        total = np.bincount(ctx, n, contexts)
-        taken = np.minimum(n, d[np.minimum(n, 3).astype(int)])
-        weight = np.bincount(ctx, taken, contexts) / np.maximum(total, 1)
-        fall = np.where(total > 0, np.log(np.maximum(weight, 1e-9)), 0.0).astype(np.float32)
-        return (n - taken) / total[ctx] + weight[ctx] * lower, fall
-
-    def nats(self, codes: np.ndarray) -> np.ndarray:
-        """Minus the log-probability of each trigram code."""
-        codes, place = np.unique(codes, return_inverse=True)
-        i = np.minimum(np.searchsorted(self.keys, codes), len(self.keys) - 1)
-        logp = self.logp[i].astype(np.float64)
-        if (new := self.keys[i] != codes).any():
-            pair = codes[new] % (A * A)
-            j = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-            two = np.where(self.pairs[j] == pair, self.pair_logp[j], self.fall2[pair // A] + self.single_logp[pair % A])
-            logp[new] = self.fall3[codes[new] // A] + two
-        return -logp[place]
-
-    def passages(self, text: str) -> tuple[float, float, float]:
-        """Nats a word of the whole text, and the lower and upper quartile of its passages."""
-        codes = grams(text)
-        if not len(codes):
-            return 0.0, 0.0, 0.0
-        nats, space = self.nats(codes), codes % A == 1
-        begins = ~space & np.concatenate([[True], space[:-1]])
-        n = max(1, int(begins.sum()))
-        last = max(0, (n + PASSAGE // 2) // PASSAGE - 1)  # a short rest belongs to the passage before it
-        at = np.minimum(np.maximum(np.cumsum(begins) - 1, 0) // PASSAGE, last)
-        per = np.bincount(at, nats) / np.maximum(1, np.bincount(at, begins))
-        per.sort()
-        quarter = (len(per) - 1) // 4
-        return float(nats.sum()) / n, float(per[quarter]), float(per[len(per) - 1 - quarter])
-
-
-FEATURES = T.StructType([T.StructField(f"__{c}", T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [T.StructField(f"__{c}", T.DoubleType()) for c in ("nats", "low", "high")])
+    """Sorted hash arrays in parts; nats of words, remembered up to a bound."""
+
+    def __init__(self, parts: list):
+        self.parts, self.known = parts, {}
+
+    def nats(self, words: set[bytes], lang: str) -> dict[bytes, float]:
+        """Minus the log-probability of each word and its end."""
+        known = self.known.setdefault(lang, {})
+        if sum(map(len, self.known.values())) > REMEMBERED:
+            self.known.clear()
+            known = self.known.setdefault(lang, {})
+        new = list(words.difference(known))
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            grams, word = letters(part)
+            keys = []
+            for size in range(1, ORDER + 1):
+                short = suffix(grams, size)
+                keys += [keyed(context_key(short), lang), keyed(gram_key(short), lang)]
+            found = np.zeros(len(word))
+            for shared in self.parts:
+                for key in keys:
+                    seen, at = shared.value.find(key)
+                    found[seen] += shared.value.values[0][at[seen]]
+                if len(self.parts) > 1:  # one part's arrays at a time
+                    vars(shared).pop("_value", None)
+            known.update(zip(part, np.bincount(word, -found, len(part)).tolist(), strict=True))
+        return known
+
+
+FEATURES = T.StructType([T.StructField(f"__{c}", T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [T.StructField("__nats", T.DoubleType())])
 
 
 def base(text: str | None) -> tuple[int, int, int, int, int]:
@@ -234,61 +231,51 @@ def repeated(w: list[bytes], size: int = 3) -> int:
     return sum(marked)
 
 
-def models(counts: DataFrame) -> list[dict[str, Model]]:
-    """Models by language, in groups whose entries stay below the broadcast bound; a language has 128^3 at most."""
-    sizes = counts.groupBy("lang").count().orderBy("lang").collect()  # 677 languages at most
-    groups, size = [[]], 0
-    for lang, n in sizes:
-        if groups[-1] and size + n > MOST_ENTRIES:
-            groups.append([])
-            size = 0
-        groups[-1].append(lang)
-        size += n
-    for group in groups:
-        if group:
-            table = counts.where(F.col("lang").isin(group)).toPandas()
-            yield {lang: Model.of(x["gram"].to_numpy(), x["n"].to_numpy()) for lang, x in table.groupby("lang")}
+def shared_parts(model: DataFrame) -> list:
+    """The model's arrays, broadcast in parts of about MOST_ENTRIES entries at most."""
+    sc, n = model.sparkSession.sparkContext, model.count()
+    parts = max(1, -(-n // MOST_ENTRIES))
+    out = []
+    for p in range(parts):
+        got = model.where(F.pmod("h", F.lit(parts)) == p).select("h", F.col("v").cast("float").alias("v")).toArrow()
+        out.append(sc.broadcast(Lookup(got.column("h").to_numpy(), got.column("v").to_numpy())))
+    return out
 
 
 def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns of keep, the tag __lang, and FEATURES of each document, written to the scratch folder."""
-    counts = materialise(count_grams(docs), "grams")
+    parts = shared_parts(fit(docs))
     rows = docs.withColumn("__lang", language(F.col("lang")))
-    sc = docs.sparkSession.sparkContext
-    out, seen = None, []
-    for group in models(counts):
-        out = _union(out, _score(rows.where(F.col("__lang").isin(sorted(group))), sc.broadcast(group), keep))
-        seen += sorted(group)
-    rest = rows.where(~F.col("__lang").isin(seen)) if seen else rows  # languages without a letter
-    return materialise(_union(out, _score(rest, sc.broadcast({}), keep)), "measured")
-
-
-def _union(a: DataFrame | None, b: DataFrame) -> DataFrame:
-    return b if a is None else a.union(b)
-
 
-def _score(rows: DataFrame, shared, keep: list[str]) -> DataFrame:
     def work():
-        own = shared.value
+        model = Model(parts)
 
         def run(texts, langs):
             columns = [list(c) for c in zip(*map(base, texts), strict=True)]
-            nats = [own[g].passages(t) if t and g in own else (0.0, 0.0, 0.0) for t, g in zip(texts, langs, strict=True)]
-            return [*columns, *([x[k] for x in nats] for k in range(3))]
+            words = [utf8(t).split() for t in texts]
+            by: dict[str, set] = {}
+            for lang, w in zip(langs, words, strict=True):
+                by.setdefault(lang, set()).update(w)
+            nats = [0.0] * len(texts)
+            for lang, found in by.items():
+                known = model.nats(found, lang)
+                for i, (own, w) in enumerate(zip(langs, words, strict=True)):
+                    if own == lang and w:
+                        nats[i] = sum(map(known.__getitem__, w)) / len(w)
+            return [*columns, nats]
 
         return run
 
-    return map_rows(rows, ["text", "__lang"], FEATURES, work, [*keep, "__lang"])
+    return materialise(map_rows(rows, ["text", "__lang"], FEATURES, work, [*keep, "__lang"]), "measured")
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """Median and spread of passage quartiles and whole texts by language, over documents that pass the fixed rules; 677 rows at most."""
-    columns = ("__low", "__high", "__nats")
-    per = measured.where(~_base_failed()).select("__lang", *columns)
-    middle = per.groupBy("__lang").agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"{c}_mid") for c in columns])
+    """Median and spread of the nats a word by language, over documents that pass the fixed rules; 677 rows at most."""
+    per = measured.where(~_base_failed()).select("__lang", "__nats")
+    middle = per.groupBy("__lang").agg(F.percentile_approx("__nats", 0.5, 10_000).alias("__mid"))
     off = per.join(F.broadcast(middle), "__lang")
-    spread = [F.greatest(F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_mid")), 0.5, 10_000) * 1.4826, F.lit(LEAST_SPREAD)).alias(f"{c}_spread") for c in columns]
-    return off.groupBy("__lang").agg(*[F.first(f"{c}_mid").alias(f"{c}_mid") for c in columns], *spread)
+    spread = F.percentile_approx(F.abs(F.col("__nats") - F.col("__mid")), 0.5, 10_000) * 1.4826
+    return off.groupBy("__lang").agg(F.first("__mid").alias("__mid"), F.greatest(spread, F.lit(LEAST_SPREAD)).alias("__spread"))
 
 
 def _base_failed():
@@ -296,21 +283,20 @@ def _base_failed():
 
 
 def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns of keep with FEATURES, __lang, __base_failed, __perplexity (a word) and __kept."""
+    """The columns of keep with FEATURES, __lang, __base_failed, __perplexity (a word), __kept and the bounds __lower and __upper."""
     measured = measure(docs, keep)
     wide = measured.join(F.broadcast(bands(measured)), "__lang", "left").withColumn("__base_failed", _base_failed())
-    short = SHORT / F.sqrt(F.greatest(F.col("__n_words"), F.lit(1)))
-    upper = F.col("__low_mid") + BAND * F.col("__low_spread") + short
-    lower = F.col("__high_mid") - BAND * F.col("__high_spread") - short
-    whole = F.abs(F.col("__nats") - F.col("__nats_mid")) <= WHOLE_BAND * F.col("__nats_spread") + short
-    inside = F.coalesce((F.col("__low") <= upper) & (F.col("__high") >= lower) & whole, F.lit(True))
-    return wide.withColumn("__perplexity", F.exp("__nats")).withColumn("__kept", ~F.col("__base_failed") & inside)
+    reach = BAND * F.col("__spread") + SHORT / F.sqrt(F.greatest(F.col("__n_words"), F.lit(1)))
+    wide = wide.withColumn("__lower", F.exp(F.col("__mid") - reach)).withColumn("__upper", F.exp(F.col("__mid") + reach)).withColumn("__perplexity", F.exp("__nats"))
+    inside = F.coalesce(F.col("__perplexity").between(F.col("__lower"), F.col("__upper")), F.lit(True))
+    return wide.withColumn("__kept", ~F.col("__base_failed") & inside)
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, perplexity of each document."""
-    names = [f.name for f in FEATURES.fields[:5]]
-    return judged(docs, ["doc_id"]).select("doc_id", *[F.col(c).alias(c[2:]) for c in names], F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__perplexity").alias("perplexity"))
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of each document, and its
+    perplexity with the bounds that decide."""
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity", "lower", "upper"]
+    return judged(docs, ["doc_id"]).select("doc_id", *[F.col(f"__{c}").alias(c) for c in names])
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:

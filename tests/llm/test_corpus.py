@@ -1,5 +1,6 @@
 """Near duplicates, mixing, sharding, quality, licences, extraction, toxicity and the pipeline on small fixtures."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -200,15 +201,60 @@ def test_quality_judges_the_whole_text(spark):
     assert sum(got[i].kept for i in range(120)) >= 118
 
 
-def test_kneser_ney_sums_to_one():
+def plain_kneser_ney(words, order, discounts, floor):
+    """word -> minus log-probability, by modified Kneser-Ney on letter tuples, discounts apart for each last context letter."""
+    pad = [1] * (order - 1)
+    grams = Counter()
+    for w, n in words.items():
+        line = [*pad, *map(ord, w), 2]
+        for i in range(order - 1, len(line)):
+            grams[tuple(line[i - order + 1 : i + 1])] += n
+    counts = {order: grams}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    found = {}
+
+    def p(g):
+        if not g:
+            return floor
+        if g in found:
+            return found[g]
+        k, n = len(g), counts[len(g)]
+        peers = [c for x, c in n.items() if k == 1 or x[-2] == g[-2]]
+        own = {x: c for x, c in n.items() if x[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        d = discounts(peers)
+        cut = lambda c: min(c, d[min(c, 3)])
+        total, left = sum(own.values()), sum(map(cut, own.values()))
+        c = own.get(g, 0)
+        found[g] = (c - cut(c) + left * p(g[1:])) / total
+        return found[g]
+
+    def nats(w):
+        line = [*pad, *map(ord, w), 2]
+        return -sum(math.log(p(tuple(line[i - order + 1 : i + 1]))) for i in range(order - 1, len(line)))
+
+    return nats
+
+
+def test_perplexity_equals_plain_kneser_ney(spark, monkeypatch):
     import numpy as np
 
-    codes = np.concatenate([quality.grams(words(200)) for _ in range(20)])
-    keys, n = np.unique(codes, return_counts=True)
-    m = quality.Model.of(keys, n)
-    for ctx in (keys[0] // quality.A, keys[len(keys) // 2] // quality.A, 5 * quality.A + 7):
-        p = np.exp(-m.nats(ctx * quality.A + np.arange(quality.A)))
-        assert abs(p.sum() - 1) < 1e-4
+    r = random.Random(4)
+    text = ["".join(r.choice(["an", "to", "ré", "l", "x"]) for _ in range(r.randrange(1, 4))) for _ in range(300)]
+    docs = docs_of(spark, [(i, " ".join(text[i * 30 : i * 30 + 30]), "en-GB", "s", 0) for i in range(10)] + [(11, "anto lx", "de", "s", 0), (12, None, None, None, None), (13, "qq", "!!", None, None)])
+    nats = plain_kneser_ney(Counter(text), quality.ORDER, lambda n: quality.discounts(np.array(n)), 1 / quality.ALPHABET)
+    for most in (8_000_000, 300):  # one array, then several
+        monkeypatch.setattr(quality, "MOST_ENTRIES", most)
+        got = {x.doc_id: x for x in quality.quality(docs).collect()}
+        for i in range(10):
+            words_of = text[i * 30 : i * 30 + 30]
+            assert math.log(got[i].perplexity) == pytest.approx(sum(map(nats, words_of)) / 30, rel=1e-5)
+        assert got[12].n_words == 0 and got[13].n_words == 1
+    model = quality.Model(quality.shared_parts(quality.fit(docs)))
+    new = {b"zan", "réx".encode(), b"", "漢".encode()}
+    assert all(model.nats(new, "en")[w] == pytest.approx(nats(w.decode()), rel=1e-5) for w in new)
 
 
 def test_licences(spark):
