@@ -75,12 +75,12 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_rows(df: DataFrame, inputs: list[str], added: T.StructType, fn: Callable[[], Callable[..., Iterable]], keep: list[str] | None = None) -> DataFrame:
+def map_rows(df: DataFrame, inputs: list[str], added: T.StructType, fn: Callable[[], Callable[..., Iterable]], keep: list[str] | None = None, rows: int = SLICE) -> DataFrame:
     """Add columns computed in Arrow batches.
 
     fn() is called once a task and returns a function that takes a batch's input columns as Python lists and
     returns one list for each added column. keep: the columns of df that stay (default all); an added column
-    replaces a kept one of the same name (names compare without case, as Spark's do).
+    replaces a kept one of the same name (names compare without case, as Spark's do). rows: how many are lists at a time.
     """
     names = {f.name.lower() for f in added.fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
@@ -94,15 +94,15 @@ def map_rows(df: DataFrame, inputs: list[str], added: T.StructType, fn: Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = fn()
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, rows):
                 made = work(*[batch.column(n + i).to_pylist() for i in range(len(inputs))])
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + [pa.array(v, t) for v, t in zip(made, types, strict=True)], labels)
 
     return sent.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    step = max(1, min(SLICE, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+def slices(batch: pa.RecordBatch, rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    step = max(1, min(rows, SLICE_BYTES * rows // SLICE * batch.num_rows // max(1, batch.nbytes)))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
 

@@ -6,8 +6,9 @@ window holds lets it jump m - 1 words, one that windows hold only before their e
 where a window can end, and a block that ends windows opens a bucket of them by suffix hash, which direct
 comparison of all m words confirms. Every word inside any occurrence is hit, and the items with occurrences are named.
 
-The windows are broadcast in parts of at most `part_words` words each; the documents pass once for each part,
-carrying the hits so far, so memory is bounded whatever the benchmark's size and the result is whole.
+The windows are broadcast in parts of at most `part_words` words each; a longer item is cut into overlapping pieces. The
+documents pass once: a task takes some thousand rows through the tables of one part after another, so memory is bounded whatever
+the benchmark's size and the result is whole.
 
 Nulls and texts without words have no hits; items without words or without an id match nothing. Items of one id
 count once; items alike under different ids all count. Empty tables give empty or clean results; other columns
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnflow.llm.common import LOWER_ASCII, map_rows, materialise, set_aside, utf8
+from cairnflow.llm.common import LOWER_ASCII, SLICE, map_rows, set_aside, utf8
 
 WINDOW = 10
 PART_WORDS = 200_000
@@ -104,47 +105,45 @@ def hits_of(w: list[bytes], tables: list[Matcher], before: list[int], named: lis
     return [x for s in spans for x in s], sorted(items)
 
 
-def parts_of(benchmark: DataFrame, part_words: int):
-    """Items in parts of at most part_words words (or one item), streamed to the driver one partition at a time."""
-    part, size = [], 0
+def parts_of(benchmark: DataFrame, part_words: int, window: int = WINDOW):
+    """(id, words) in parts of at most part_words words (or one window), streamed to the driver one partition at a time.
+
+    An item of more words comes in pieces that share window - 1 words, so every window lies in one piece."""
+    part, size, step = [], 0, max(1, part_words - window + 1)
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null")
     for row in rows.toLocalIterator():
-        w = words(row["t"])
-        if part and size + len(w) > part_words:
-            yield part
-            part, size = [], 0
-        part.append((row["i"], w))
-        size += len(w)
+        whole = words(row["t"])
+        for at in range(0, max(1, len(whole) - window + 1), step):
+            w = whole[at : at + step + window - 1]
+            if part and size + len(w) > part_words:
+                yield part
+                part, size = [], 0
+            part.append((row["i"], w))
+            size += len(w)
     yield part
 
 
 def search(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
     """docs with __n_words, __hits (merged intervals of hit words) and __items (ids of items with occurrences)."""
-    sc, out, first = docs.sparkSession.sparkContext, docs, True
-    kept = list(docs.columns if keep is None else keep)
-    parts = parts_of(benchmark, part_words)
-    items: list | None = next(parts)
-    while items is not None:
-        shared, items = sc.broadcast(items), next(parts, None)
-
-        def work(shared=shared, first=first):
-            tables = matchers(shared.value, window)
-
-            def rows(texts, before=None, named=None):
-                made = []
-                for i, text in enumerate(texts):
-                    w = words(text)
-                    made.append((len(w), *hits_of(w, tables, before[i] if before else [], named[i] if named else [])))
-                return [[x[k] for x in made] for k in range(3)]
-
-            return rows
-
-        if not first:
-            out = materialise(out, "hits")
-        carried = kept if items is None or "text" in kept else [*kept, "text"]  # a later part reads the text again
-        out = map_rows(out, ["text"] if first else ["text", "__hits", "__items"], HITS, work, carried)
-        first = False
-    return out.select(*kept, *[f.name for f in HITS.fields])
+    sc = docs.sparkSession.sparkContext
+    parts = [sc.broadcast(part) for part in parts_of(benchmark, part_words, window)]
+
+    def work():
+        only = matchers(parts[0].value, window) if len(parts) == 1 else None
+
+        def rows(texts):
+            lists = [words(t) for t in texts]
+            found: list[tuple[list[int], list[str]]] = [([], []) for _ in texts]
+            for shared in parts:
+                tables = only or matchers(shared.value, window)
+                found = [hits_of(w, tables, *before) for w, before in zip(lists, found, strict=True)]
+                if len(parts) > 1:  # one part's tables at a time
+                    vars(shared).pop("_value", None)
+            return [list(map(len, lists)), [hits for hits, _ in found], [items for _, items in found]]
+
+        return rows
+
+    return map_rows(docs, ["text"], HITS, work, keep, SLICE if len(parts) == 1 else 8 * SLICE)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -281,6 +281,51 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_class_models_equal_plain_kneser_ney(spark):
+    """Letter models of words counted in two classes, against direct sums over letter tuples."""
+    r = random.Random(6)
+    made = {"".join(r.choice(["an", "to", "ré", "l", "x"]) for _ in range(r.randrange(1, 4))): (r.randrange(4), r.randrange(4)) for _ in range(60)}
+    rows = [(w.encode(), *n) for w, n in made.items() if sum(n)]
+    table = toxicity.letter_models(spark.createDataFrame(rows, "w binary, n0 long, n1 long").repartition(3)).withColumn("weight", F.lit(1.0))
+    model = toxicity.Model(*[toxicity.fetched(table.where(F.col("kind") == k), "h", ["l0", "l1"]) for k in (0, 1)])
+    order = toxicity.ORDER
+    tuples = lambda w: [tuple(([1] * (order - 1) + [*map(ord, w), 2])[i : i + order]) for i in range(len(w) + 1)]
+    own = [Counter(), Counter()]
+    for w, *n in rows:
+        for g in tuples(w.decode()):
+            for k in (0, 1):
+                own[k][g] += n[k]
+    counts = {order: own[0] + own[1]}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+
+    def absolute(n):
+        c = Counter(n)
+        return c[1] / (c[1] + 2 * c[2]) if c[1] and c[2] else 0.5
+
+    def shared(g):
+        if not g:
+            return 1e-4
+        k, n = len(g), counts[len(g)]
+        d = absolute([c for x, c in n.items() if k == 1 or x[-2] == g[-2]])
+        mine = [c for x, c in n.items() if x[:-1] == g[:-1]]
+        return (max(n[g] - d, 0) + d * len(mine) * shared(g[1:])) / sum(mine)
+
+    def log_p(g, k):
+        mine = [c for x, c in own[k].items() if x[:-1] == g[:-1] and c]
+        if not any(x[:-1] == g[:-1] for x in counts[order]):
+            return 0.0
+        d = absolute([c for x, c in own[k].items() if x[-2] == g[-2] and c])
+        total = sum(mine) + toxicity.PRIOR
+        fall = (d * len(mine) + toxicity.PRIOR) / total
+        return math.log(max(own[k][g] - d, 0) / total + fall * shared(g)) if g in counts[order] else math.log(fall)
+
+    asked = [w.decode() for w, *_ in rows[:20]] + ["anq", "zz", "toto"]
+    got = model.words([w.encode() for w in asked])
+    for k in (0, 1):
+        assert got[k].tolist() == pytest.approx([sum(log_p(g, k) for g in tuples(w)) for w in asked], rel=1e-4, abs=1e-4)
+
+
 def test_toxicity_ranks_held_out_rows(spark):
     bad = ["vilword" + x for x in ("s", "ed", "er", "ing")] + ["scumm", "trashh"]
     rows, labels = [], []
@@ -301,6 +346,25 @@ def test_toxicity_ranks_held_out_rows(spark):
     assert right >= 0.95 * sum(1 for a in held if a.doc_id % 4 == 0 for b in held if b.doc_id % 4)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
     assert {r.predicted for r in toxicity.toxicity(docs, lab.limit(0)).collect()} == {0}
+    assert toxicity.toxicity(docs.limit(0), lab).count() == 0
+    twice = docs.unionByName(docs.where("doc_id < 9")).withColumn("Score", F.lit("x")).withColumn("evidence", F.lit(1))
+    assert twice.count() == toxicity.toxicity(twice, lab).count() == docs.count() + docs.where("doc_id < 9").count()
+
+
+def test_expressions_of_ordinary_words_count(spark):
+    """A pair of words tells, though each of them is as common in both classes."""
+    r = random.Random(12)
+    rows, labels = [], []
+    for i in range(500):
+        w = words(40, r).split()
+        toxic = i % 3 == 0
+        w[10:12] = ["blue", "stone"] if toxic else ["blue", r.choice(["sky", "sea", "ink"])]
+        w[20:22] = ["grey", r.choice(["sky", "sea", "ink"])] if toxic else ["grey", "stone"]
+        rows.append((i, " ".join(w), "en", "s", 0))
+        labels.append((i, 1, int(toxic)))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = [x for x in toxicity.toxicity(docs_of(spark, rows), lab).collect() if x.held_out]
+    assert sum(x.predicted == (x.doc_id % 3 == 0) for x in got) >= 0.95 * len(got)
 
 
 def test_pipeline_stages_against_their_operators(spark, tmp_path, near_rows):
