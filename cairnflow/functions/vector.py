@@ -87,7 +87,8 @@ def rotated(x: Column, angles: Column, segment: int) -> Column:
 def blocks(parts: list[tuple[Column, float]]) -> Column:
     """Vectors side by side, each times its weight, over the length of the weights."""
     total = sum(w * w for _, w in parts) ** 0.5
-    return F.concat(*[F.transform(v, lambda x, w=w: x.cast("double") * (w / total)) for v, w in parts])
+    weighed = lambda w: lambda x: x.cast("double") * (w / total)
+    return F.concat(*[F.transform(v, weighed(w)) for v, w in parts])
 
 
 def one_hot(index: Column, size: int) -> Column:

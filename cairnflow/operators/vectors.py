@@ -109,6 +109,28 @@ def weighted_mean(frame: DataFrame, key: list[str], vector: str, weight: str) ->
     return per.select(*key, V.unit(vector_to_array("m")).alias("vector"), "weight_sum", kish.alias("effective_count"), "n")
 
 
+def query_vectors(pairs: DataFrame, vectors: DataFrame, entity: str, query: str, n: str, vector: str) -> DataFrame:
+    """By entity: e1, the unit sum of its queries' vectors; e2, that sum weighted by ln(1 + n) * ln((entities + 1) / (df + 1)), where df is
+    the number of entities a query is chosen for; the weights' sum, the queries and the orders. A query chosen for every
+    entity has weight 0; an entity with no other has no e2.
+
+    Sums are taken map-side, one vector an entity and task; nothing passes through the driver."""
+    entities = pairs.agg(F.count_distinct(entity).alias("__k"))
+    df = pairs.groupBy(query).agg(F.count(F.lit(1)).alias("__df"))
+    rows = pairs.join(vectors.select(query, F.col(vector).alias("__v")), query).join(df, query).crossJoin(F.broadcast(entities))
+    weight = F.log1p(F.col(n).cast("double")) * F.log((F.col("__k") + 1.0) / (F.col("__df") + 1.0))
+    rows = rows.select(entity, n, weight.alias("__w"), array_to_vector(F.col("__v").cast("array<double>")).alias("__v"))
+    per = rows.groupBy(entity).agg(
+        Summarizer.mean(F.col("__v")).alias("a"),
+        Summarizer.mean(F.col("__v"), F.greatest(F.col("__w"), F.lit(1e-300))).alias("b"),
+        F.sum("__w").alias("weight_sum"),
+        F.count(F.lit(1)).alias("queries"),
+        F.sum(n).alias("orders"),
+    )
+    e2 = F.when(F.col("weight_sum") > 1e-9, V.unit(vector_to_array("b")))
+    return per.select(entity, V.unit(vector_to_array("a")).alias("e1"), e2.alias("e2"), "weight_sum", "queries", "orders")
+
+
 def category_residual(frame: DataFrame, category: str, vector: str, beta: float, min_support: int) -> DataFrame:
     """Unit vector less beta times its category's mean; categories with too few rows leave theirs as it is."""
     means = mean_vector(frame, [category], vector)
