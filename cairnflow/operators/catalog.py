@@ -62,10 +62,9 @@ def anomalies(frame: DataFrame, faults: Column) -> DataFrame:
 
 def equivalent(frame: DataFrame, signature: list[str], id_: str) -> DataFrame:
     """id, representative: rows with one signature; null signatures stand alone."""
-    key = F.struct(*signature)
-    w = Window.partitionBy(*signature)
-    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in signature])
-    return frame.select(id_, F.when(whole, F.min(id_).over(w)).otherwise(F.col(id_)).alias("representative"), key.alias("signature")).drop("signature")
+    least = frame.groupBy(*signature).agg(F.min(id_).alias("__least"))
+    # an equi-join: a null in a signature equals nothing, so such rows find no other
+    return frame.select(id_, *signature).join(least, signature, "left").select(id_, F.coalesce("__least", id_).alias("representative"))
 
 
 def vocabulary(values: DataFrame, value: str, min_support: int, most: int) -> DataFrame:

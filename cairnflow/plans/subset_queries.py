@@ -35,12 +35,12 @@ def geographic_sample(spark, sf):
 
 
 @query(
-    """WITH d AS (SELECT o_orderkey AS id, o_orderdate::DATE AS day FROM orders WHERE o_orderdate < TIMESTAMP '1995-03-01'), s AS (SELECT day, row_number() OVER (ORDER BY sha256('5:' || day), day) AS p, count(*) OVER () AS n FROM (SELECT DISTINCT day FROM d)),
-r AS (SELECT id, day, row_number() OVER (PARTITION BY day ORDER BY sha256('5:' || id), id) AS r FROM d) SELECT id, day FROM r JOIN s USING (day) WHERE r <= 100 // n + (p <= 100 % n)::INTEGER"""
+    """WITH d AS (SELECT o_orderkey AS id, o_orderdate::DATE AS day FROM orders), s AS (SELECT day, row_number() OVER (ORDER BY sha256('5:' || day), day) AS p, count(*) OVER () AS n FROM (SELECT DISTINCT day FROM d)),
+r AS (SELECT id, day, row_number() OVER (PARTITION BY day ORDER BY sha256('5:' || id), id) AS r FROM d) SELECT id, day FROM r JOIN s USING (day) WHERE r <= 5000 // n + (p <= 5000 % n)::INTEGER"""
 )
 def quota_sample(spark, sf):
-    d = table(spark, sf, "orders").where("o_orderdate < timestamp '1995-03-01'").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("day"))
-    return subsets.quota_sample(d, "day", "id", 100, 5)
+    d = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("day"))
+    return subsets.quota_sample(d, "day", "id", 5000, 5)
 
 
 @query("SELECT doc_id, lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY sha256('2:' || doc_id), doc_id) AS INTEGER) AS position FROM documents WHERE lang IN ('en', 'fr') QUALIFY position <= 12")
