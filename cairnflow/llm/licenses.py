@@ -123,6 +123,8 @@ def known_texts() -> list[tuple[str, str]]:
         ("ISC", without_title(ISC)),
         ("MIT", MIT),
         ("MIT", without_title(MIT)),
+        ("MIT", f"The MIT License\n\n{without_title(MIT)}"),
+        ("MIT", f"The MIT License (MIT)\n\n{without_title(MIT)}"),
         ("Unlicense", UNLICENSE),
         ("Zlib", ZLIB),
         ("Zlib", f"zlib License\n\n{ZLIB}"),
@@ -143,10 +145,16 @@ def digests(spark: SparkSession, texts: list[tuple[str, str]], name: str, key: s
     return rows.select(F.sha2(canonical(F.col("t")), 256).alias(key), name).groupBy(key).agg(F.min(name).alias(name))
 
 
-def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None, notices: list[tuple[str, str]] | None = None) -> DataFrame:
+def known_digests(texts: DataFrame) -> DataFrame:
+    """text_sha256, license_id of a table (license_id, text) of known texts, of any size; the smallest id of equal texts."""
+    return texts.where("text is not null").select(F.sha2(canonical(F.col("text")), 256).alias("text_sha256"), "license_id").groupBy("text_sha256").agg(F.min("license_id").alias("license_id"))
+
+
+def scan(docs: DataFrame, texts: list[tuple[str, str]] | DataFrame | None = None, notices: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, text_sha256, license_id (null: unknown), n_notice_lines, notice_ids (sorted, comma-joined) of each document."""
     spark = docs.sparkSession
-    known = digests(spark, known_texts() if texts is None else texts, "license_id", "text_sha256")
+    # a list has a bound and is broadcast; how a table is joined depends on its size
+    known = known_digests(texts) if isinstance(texts, DataFrame) else F.broadcast(digests(spark, known_texts() if texts is None else texts, "license_id", "text_sha256"))
     listed = list(NOTICES) if notices is None else notices
     lines = digests(spark, listed, "notice_id", "line_sha256")
     # the notices are a fixed list: as a map literal they cost no join and no row a line
@@ -155,7 +163,7 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None, notices: l
     cued = F.when(F.lower(text).contains(NOTICE_CUE), F.filter(F.split(text, "\n"), lambda x: F.lower(x).contains(NOTICE_CUE))).otherwise(F.array().cast("array<string>"))
     ids = F.filter(F.transform(cued, lambda x: F.element_at(found, F.sha2(canonical(x), 256))), lambda x: x.isNotNull())
     rows = docs.select("doc_id", F.sha2(canonical(text), 256).alias("text_sha256"), ids.alias("ids"))
-    return rows.join(F.broadcast(known), "text_sha256", "left").select("doc_id", "text_sha256", "license_id", F.size("ids").cast("long").alias("n_notice_lines"), F.array_join(F.array_sort(F.array_distinct("ids")), ",").alias("notice_ids"))
+    return rows.join(known, "text_sha256", "left").select("doc_id", "text_sha256", "license_id", F.size("ids").cast("long").alias("n_notice_lines"), F.array_join(F.array_sort(F.array_distinct("ids")), ",").alias("notice_ids"))
 
 
 def _sql(text: str) -> str:
