@@ -6,6 +6,11 @@
 4. mix: every document is taken as often as its source's target weight asks for, maybe never.
 5. shard: every row gets its shard from the virtual slot map.
 
+Nulls: a null text has no words, so the quality rules reject it; a null id or source is kept as any other, and copies without an id go
+as others do. Repeated rows (same id, same text) leave one. Ties of equal ids go to the text with the smallest hash. Empty tables,
+documents or benchmark, give an empty result or clean documents. Further columns pass through under their own names, whatever
+these are; the last stage adds shard, virtual_slot and map_version and replaces columns of these names.
+
 Every stage but the last returns the columns of documents. A stage's result is written before the next one begins, so each
 stage first deletes the scratch tables of the one before it.
 """
