@@ -6,10 +6,10 @@ words, of all characters as they are, ends of words included. Spark counts them
 language with their numbers first, then their n-grams, and fits the models, one group for each language and last letter of
 a context (discounts are that group's own). The model grows with the corpus's vocabulary.
 
-It is stored as sorted arrays of 64-bit hashes, each with a number: the log-weight that a context leaves to the lower order, and
-what a seen n-gram adds to that. The log-probability of a letter is the sum of the numbers found for its n-grams and contexts of
-all orders, so hashes may lie in any part: arrays of at most MOST_ENTRIES entries are broadcast, and where there are several,
-a task loads one after another. Nothing is pruned.
+It is stored as sorted arrays of 64-bit hashes, each with a number: the log-probability of a seen n-gram, or the log-weight that a
+context leaves to the lower order. A letter's log-probability is that of its longest seen n-gram plus the weights of the longer
+contexts. A hash may lie in any part: arrays of at most MOST_ENTRIES entries are broadcast, and where there are several, a task
+loads one after another. Nothing is pruned.
 
 The bounds of a language are the median perplexity (in nats a word) of its documents that pass the fixed rules, less and plus a
 multiple of the spread (the median absolute deviation), wider for texts of few words. A text outside is rejected.
@@ -22,6 +22,8 @@ gives an empty one. filter_documents() returns the columns it was given, whateve
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -60,18 +62,18 @@ def count_words(docs: DataFrame) -> DataFrame:
     """lang, w, n: the distinct words of each language; each task adds up its own first."""
 
     def count(batches):
-        found: dict[tuple[str, bytes], int] = {}
+        found: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                for w in utf8(text.as_py()).split():
-                    found[lang, w] = found.get((lang, w), 0) + 1
-                if len(found) > 400_000:
-                    yield told(found)
+                found.setdefault(lang, Counter()).update(utf8(text.as_py()).split())
+                if sum(map(len, found.values())) > 400_000:
+                    yield from map(told, found.items())
                     found.clear()
-        yield told(found)
+        yield from map(told, found.items())
 
-    def told(found):
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([w for _, w in found], pa.binary()), pa.array(list(found.values()), pa.int64())], ["lang", "w", "n"])
+    def told(item):
+        lang, n = item
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["lang", "w", "n"])
 
     rows = docs.select(language(F.col("lang")).alias("lang"), "text").where("text is not null")
     return rows.mapInArrow(count, "lang string, w binary, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
@@ -127,7 +129,7 @@ def fit_letters(lang: str, letter: np.ndarray, n: np.ndarray) -> tuple[pd.DataFr
     _, fall, _, p = level(none, n.astype(float), np.full(len(letter), 1.0 / ALPHABET))
     base = fall[0] - np.log(ALPHABET)
     h = np.concatenate([keyed(hash2(none[:1], none[:1]), lang), keyed(hash2(none, letter), lang)])
-    return pd.DataFrame({"h": h, "v": np.concatenate([[base], np.log(p) - base])}), p
+    return pd.DataFrame({"h": h, "v": np.concatenate([[base], np.log(p)])}), p
 
 
 def fit_group(pdf: pd.DataFrame, lang: str, letter: dict[int, float]) -> pd.DataFrame:
@@ -143,9 +145,9 @@ def fit_group(pdf: pd.DataFrame, lang: str, letter: dict[int, float]) -> pd.Data
     lower = np.array([letter[int(x)] for x in held[-1][1] & LETTER])
     keys, values = [], []
     for k in range(len(held) - 1, -1, -1):
-        contexts, fall, place, p = level(context_key(held[k]), counts[k], lower)
+        contexts, fall, _, p = level(context_key(held[k]), counts[k], lower)
         keys += [contexts, gram_key(held[k])]
-        values += [fall, np.log(p) - fall[place] - np.log(lower)]
+        values += [fall, np.log(p)]
         lower = p[up[k - 1]] if k else p
     return pd.DataFrame({"h": keyed(np.concatenate(keys), lang), "v": np.concatenate(values)})
 
@@ -187,20 +189,36 @@ class Model:
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             grams, word = letters(part)
-            keys = []
-            for size in range(1, ORDER + 1):
-                short = suffix(grams, size)
-                keys += [keyed(context_key(short), lang), keyed(gram_key(short), lang)]
-            found = np.zeros(len(word))
-            for shared in self.parts:
-                for key in keys:
-                    seen, at = shared.value.find(key)
-                    found[seen] += shared.value.values[0][at[seen]]
-                if len(self.parts) > 1:  # one part's arrays at a time
-                    vars(shared).pop("_value", None)
-            known.update(zip(part, np.bincount(word, -found, len(part)).tolist(), strict=True))
+            known.update(zip(part, np.bincount(word, -self.logs(grams, lang), len(part)).tolist(), strict=True))
         return known
 
+    def logs(self, grams: np.ndarray, lang: str) -> np.ndarray:
+        """Log-probability of the last letter of each n-gram."""
+        _, first, place = np.unique(gram_key(grams), return_index=True, return_inverse=True)
+        grams = grams[:, first]
+        out, open_ = np.zeros(len(first)), np.arange(len(first))
+        for size in range(ORDER, 0, -1):
+            short = suffix(grams[:, open_], size)
+            seen, value = self.find(keyed(gram_key(short), lang))
+            out[open_[seen]] += value[seen]
+            open_, short = open_[~seen], short[:, ~seen]
+            if not len(open_):
+                break
+            _, value = self.find(keyed(context_key(short), lang))
+            out[open_] += value
+        return out[place]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is in any part, and its number (0 if not)."""
+        seen, value = np.zeros(len(keys), bool), np.zeros(len(keys))
+        for shared in self.parts:
+            own, at = shared.value.find(keys)
+            value[own] = shared.value.values[0][at[own]]
+            seen |= own
+            if len(self.parts) > 1:  # one part's arrays at a time
+                vars(shared).pop("_value", None)
+        return seen, value
+
 
 FEATURES = T.StructType([T.StructField(f"__{c}", T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [T.StructField("__nats", T.DoubleType())])
 
