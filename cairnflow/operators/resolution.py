@@ -129,3 +129,67 @@ def strict_catalog(entities: DataFrame, ids: DataFrame, relations: DataFrame, id
     wide = kept.groupBy(id_).agg(*[F.max(F.when(F.col("relation") == t, F.col("value"))).alias(t) for t in types])
     return entities.select(id_).join(colliding, id_).join(wide, id_, "left").fillna(-1, types)
 
+
+
+def trace_faults(candidates: DataFrame, stored: DataFrame, sample: str, beam: str, bucket: str, expandable: Column, correct: Column, right_bucket: Column, width: int) -> DataFrame:
+    """sample, fault: beams that are not 1 .. width, and stored ranks (exact_rank, raw_rank, unique_rank; null: a miss) that the
+    candidates do not give. raw_rank is the first beam of the target's bucket, unique_rank that bucket's place among distinct ones."""
+    ok = candidates.where(expandable)
+    first = ok.groupBy(sample, bucket).agg(F.min(beam).alias("first"), F.max(right_bucket.cast("int")).alias("right"))
+    goal = first.where("right = 1").groupBy(sample).agg(F.min("first").alias("goal"))
+    unique = first.join(goal, sample).groupBy(sample).agg(F.first("goal").alias("raw"), F.count_if(F.col("first") <= F.col("goal")).alias("unique"))
+    per = candidates.groupBy(sample).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(beam).alias("d"), F.min(beam).alias("low"), F.max(beam).alias("high"), F.min(F.when(correct, F.col(beam))).alias("exact"))
+    both = per.join(unique, sample, "left").join(stored, sample, "left")
+    contiguous = (F.col("n") == width) & (F.col("d") == width) & (F.col("low") == 1) & (F.col("high") == width)
+    wrong = {"beams": ~contiguous} | {n: ~F.col(f"{n}_rank").eqNullSafe(F.col(n)) for n in ("exact", "raw", "unique")}
+    faults = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in wrong.items()]), lambda x: x.isNotNull())
+    return both.select(sample, F.explode(faults).alias("fault"))
+
+
+def branch_entropy(rows: DataFrame, group: list[str], value: str, weight: str) -> DataFrame:
+    """group, branches, entropy in bits of the values' weights."""
+    per = rows.groupBy(*group, value).agg(F.sum(weight).cast("double").alias("w"))
+    total = F.sum("w")
+    bits = (F.log(total) - F.sum(F.col("w") * F.log("w")) / total) / F.log(F.lit(2.0))
+    return per.groupBy(*group).agg(F.count(F.lit(1)).alias("branches"), F.greatest(F.lit(0.0), bits).alias("entropy"))
+
+
+def chosen_encoding(rows: DataFrame, bucket: list[str], options: list[str], orders: str, matches: list[str] | None = None, prior: float = 20.0, cap: float = 1000.0) -> DataFrame:
+    """rows with option (its number from 1, 0 for none), chosen (its value, -1) and resolved (unique in its bucket).
+
+    A bucket takes the option with the most weighted entropy, its values -1 for missing ones included, among those with two real values
+    or more; equal ones go to the earlier. With matches (orders that name each option's value) the entropy is times its smoothed
+    predictability. Rows weigh the root of 1 + orders, at most of 1 + cap."""
+    weighed = rows.withColumn("__w", F.greatest(F.lit(1.0), F.sqrt(1.0 + F.least(F.col(orders).cast("double"), F.lit(cap)))))
+    scores = None
+    for i, option in enumerate(options, 1):
+        real = F.col(option) >= 0
+        score = branch_entropy(weighed, bucket, option, "__w").drop("branches")
+        several = weighed.where(real).groupBy(*bucket).agg(F.count_distinct(option).alias("__d"), F.sum(orders).alias("__s"), *([F.sum(matches[i - 1]).alias("__m")] if matches else []))
+        one = score.join(several.where("__d > 1"), bucket)
+        if matches:
+            whole = weighed.where(real).agg((F.sum(matches[i - 1]) / F.sum(orders)).alias("__g"))
+            one = one.crossJoin(F.broadcast(whole)).withColumn("entropy", F.col("entropy") * (F.col("__m") + prior * F.coalesce("__g", F.lit(0.0))) / (F.col("__s") + prior))
+        one = one.select(*bucket, F.struct(F.round("entropy", 12).alias("score"), F.lit(-i).alias("i")).alias("s"))
+        scores = one if scores is None else scores.unionByName(one)
+    best = scores.groupBy(*bucket).agg((-F.max("s")["i"]).alias("option"))
+    value = F.coalesce(*[F.when(F.col("option") == i, F.col(o)) for i, o in enumerate(options, 1)], F.lit(-1))
+    picked = rows.join(best, bucket, "left").fillna(0, ["option"]).withColumn("chosen", value)
+    return with_counts(picked, [*bucket, "chosen"], "__n").withColumn("resolved", (F.col("option") > 0) & (F.col("__n") == 1)).drop("__n")
+
+
+def trie_nodes(paths: DataFrame, path: str) -> DataFrame:
+    """node (0 is the root, by depth and prefix), parent, token, depth and terminal (whether a path ends there) of all distinct prefixes.
+
+    Numbers come from ranks within ranges (dense_ids), and parents from a join on the prefix but its last token."""
+    from cairnflow.operators.querystats import dense_ids
+
+    whole = paths.select(F.col(path).alias("p")).distinct()
+    steps = F.transform(F.sequence(F.lit(0), F.size("p")), lambda d: F.struct(d.alias("depth"), F.slice("p", F.lit(1), d).alias("prefix"), (d == F.size("p")).alias("end")))
+    nodes = whole.select(F.explode(steps).alias("s")).groupBy("s.depth", "s.prefix").agg(F.max("s.end").alias("terminal"))
+    numbered = nodes.join(dense_ids(nodes, ["depth", "prefix"], "node"), ["depth", "prefix"])
+    up = numbered.select(F.col("prefix").alias("__up"), F.col("node").alias("parent"))
+    inner = numbered.withColumn("__up", F.slice("prefix", F.lit(1), F.greatest(F.size("prefix") - 1, F.lit(0))))
+    both = inner.join(up, "__up", "left")
+    token = F.try_element_at("prefix", F.lit(-1))
+    return both.select("node", F.when(F.col("depth") > 0, F.col("parent")).otherwise(-1).alias("parent"), F.coalesce(token, F.lit(-1)).alias("token"), "depth", "terminal")

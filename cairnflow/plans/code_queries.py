@@ -149,8 +149,8 @@ def shortest_descriptions(spark, sf):
 
 @query()
 def unique_pair_assignment(spark, sf):
-    """Codes without repeats in buckets of one code pair."""
+    """Codes without repeats in buckets of three codes."""
     c = codes(spark, sf).select("vec_id", "s1", "s2", "s3").join(table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("v")), "vec_id")
-    small = c.withColumn("bucket", F.concat_ws("-", "s1", "s2"))
+    small = c.withColumn("bucket", F.concat_ws("-", "s1", "s2", "s3"))
     prototypes = [[(1.0 if (i >> b) & 1 else -1.0) * 0.1 for b in range(8)] for i in range(256)]
     return solvers.unique_pairs(small, "bucket", "vec_id", "v", prototypes)
