@@ -58,11 +58,15 @@ CATEGORIES = "cat AS (SELECT DISTINCT poi, 'f' || (CAST(substr(poi, 2) AS BIGINT
 PROFILE = (
     PAIRS
     + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, poi) AS r, sum(n) OVER (PARTITION BY query) AS total FROM pairs),
-per AS (SELECT query, CAST(sum(n) AS BIGINT) AS query_count, count(*) AS distinct_poi_count, max(CASE WHEN r = 1 THEN poi END) AS top1_poi_id, max(n) AS top1_count, max(n) / sum(n) AS top1_share,
-  coalesce(max(CASE WHEN r = 2 THEN n END), 0) / sum(n) AS top2_share, CASE WHEN count(*) > 1 THEN -sum(n / total * ln(n / total)) ELSE 0.0 END AS entropy FROM ranked GROUP BY query),
-prof0 AS (SELECT *, CASE WHEN distinct_poi_count > 1 THEN entropy / ln(distinct_poi_count) ELSE 0.0 END AS normalized_entropy, top1_share - top2_share AS margin FROM per),
+per AS (SELECT query, CAST(sum(n) AS BIGINT) AS query_count, count(*) AS distinct_poi_count, max(CASE WHEN r = 1 THEN poi END) AS top1_poi_id,
+max(n) AS top1_count, max(n) / sum(n) AS top1_share,
+  coalesce(max(CASE WHEN r = 2 THEN n END), 0) / sum(n) AS top2_share,
+CASE WHEN count(*) > 1 THEN -sum(n / total * ln(n / total)) ELSE 0.0 END AS entropy FROM ranked GROUP BY query),
+prof0 AS (SELECT *, CASE WHEN distinct_poi_count > 1 THEN entropy / ln(distinct_poi_count) ELSE 0.0 END AS normalized_entropy,
+top1_share - top2_share AS margin FROM per),
 prof1 AS (SELECT *, query_count >= 2 AND top1_count >= 2 AND top1_share >= 0.75 AND margin >= 0.25 AND normalized_entropy <= 0.55 AS is_high_confidence FROM prof0),
-profile AS (SELECT *, CASE WHEN is_high_confidence THEN greatest(0.0, least(ln(1 + top1_count), ln(21.0)) * top1_share * top1_share * (1 - normalized_entropy)) ELSE 0.0 END AS sid_weight FROM prof1)"""
+profile AS (SELECT *, CASE WHEN is_high_confidence THEN greatest(0.0, least(ln(1 + top1_count),
+ln(21.0)) * top1_share * top1_share * (1 - normalized_entropy)) ELSE 0.0 END AS sid_weight FROM prof1)"""
 )
 
 SUPERVISED = (
@@ -73,20 +77,28 @@ SUPERVISED = (
 cc AS (SELECT query, coarse, sum(n) AS n FROM pairs JOIN cat USING (poi) GROUP BY ALL),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, fine) AS r, sum(n) OVER (PARTITION BY query) AS t FROM fc),
 cr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, coarse) AS r, sum(n) OVER (PARTITION BY query) AS t FROM cc),
-fd AS (SELECT query, max(CASE WHEN r = 1 THEN fine END) AS dominant_fine, max(n) / max(t) AS fine_concentration, CASE WHEN count(*) > 1 THEN -sum(n / t * ln(n / t)) / ln(count(*)) ELSE 0.0 END AS fine_entropy FROM fr GROUP BY query),
-cd AS (SELECT query, max(CASE WHEN r = 1 THEN coarse END) AS dominant_coarse, max(n) / max(t) AS coarse_concentration, CASE WHEN count(*) > 1 THEN -sum(n / t * ln(n / t)) / ln(count(*)) ELSE 0.0 END AS coarse_entropy FROM cr GROUP BY query),
+fd AS (SELECT query, max(CASE WHEN r = 1 THEN fine END) AS dominant_fine, max(n) / max(t) AS fine_concentration,
+CASE WHEN count(*) > 1 THEN -sum(n / t * ln(n / t)) / ln(count(*)) ELSE 0.0 END AS fine_entropy FROM fr GROUP BY query),
+cd AS (SELECT query, max(CASE WHEN r = 1 THEN coarse END) AS dominant_coarse, max(n) / max(t) AS coarse_concentration,
+CASE WHEN count(*) > 1 THEN -sum(n / t * ln(n / t)) / ln(count(*)) ELSE 0.0 END AS coarse_entropy FROM cr GROUP BY query),
 sup0 AS (SELECT *, ln(1 + least(query_count, 20)) / ln(21.0) AS support_score,
-  CASE WHEN is_high_confidence THEN 3 WHEN query_count >= 3 AND fine_concentration >= 0.80 AND fine_entropy <= 0.40 THEN 2 WHEN query_count >= 3 AND coarse_concentration >= 0.85 AND coarse_entropy <= 0.35 THEN 1 ELSE 0 END AS supervision_depth
+  CASE WHEN is_high_confidence THEN 3 WHEN query_count >= 3 AND fine_concentration >= 0.80 AND fine_entropy <= 0.40 THEN 2 WHEN query_count >= 3 AND
+coarse_concentration >= 0.85 AND coarse_entropy <= 0.35 THEN 1 ELSE 0 END AS supervision_depth
   FROM profile JOIN fd USING (query) JOIN cd USING (query)),
-sup AS (SELECT *, greatest(0.0, least(1.0, support_score * coarse_concentration * greatest(0.0, 1 - coarse_entropy))) AS s1_reliability, greatest(0.0, least(1.0, support_score * fine_concentration * greatest(0.0, 1 - fine_entropy))) AS s2_reliability,
+sup AS (SELECT *, greatest(0.0, least(1.0, support_score * coarse_concentration * greatest(0.0, 1 - coarse_entropy))) AS s1_reliability, greatest(0.0,
+least(1.0, support_score * fine_concentration * greatest(0.0, 1 - fine_entropy))) AS s2_reliability,
   greatest(0.0, least(1.0, support_score * top1_share * greatest(0.0, 1 - normalized_entropy))) AS s3_reliability FROM sup0)"""
 )
 
 EDGES = (
     SUPERVISED
-    + """, kept AS (SELECT p.query, p.poi, p.n, s.supervision_depth, c.fine, c.coarse, [s1_reliability, s2_reliability, s3_reliability] AS rel, sum(p.n) OVER (PARTITION BY p.query) AS t
-  FROM pairs p JOIN cat c USING (poi) JOIN sup s USING (query) WHERE (supervision_depth = 3 AND poi = top1_poi_id) OR (supervision_depth = 2 AND fine = dominant_fine) OR (supervision_depth = 1 AND coarse = dominant_coarse)),
-edges AS (SELECT query, poi, n, supervision_depth, CAST(layer AS INTEGER) AS layer, fine, coarse, n / t AS edge_probability, rel[layer] AS query_reliability, n / t * rel[layer] AS edge_weight FROM (SELECT *, unnest(range(1, supervision_depth + 1)) AS layer FROM kept))"""
+    + """, kept AS (SELECT p.query, p.poi, p.n, s.supervision_depth, c.fine, c.coarse, [s1_reliability, s2_reliability, s3_reliability] AS rel,
+sum(p.n) OVER (PARTITION BY p.query) AS t
+  FROM pairs p JOIN cat c USING (poi) JOIN sup s USING (query)
+WHERE (supervision_depth = 3 AND poi = top1_poi_id) OR (supervision_depth = 2 AND fine = dominant_fine) OR (supervision_depth = 1 AND coarse =
+dominant_coarse)),
+edges AS (SELECT query, poi, n, supervision_depth, CAST(layer AS INTEGER) AS layer, fine, coarse, n / t AS edge_probability,
+rel[layer] AS query_reliability, n / t * rel[layer] AS edge_weight FROM (SELECT *, unnest(range(1, supervision_depth + 1)) AS layer FROM kept))"""
 )
 
 
@@ -113,5 +125,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 POINTS = "points AS (SELECT s_suppkey AS id, 116.0 + (s_suppkey * 7919 % 1000) / 1000.0 AS lng, 39.5 + (s_suppkey * 104729 % 1000) / 1000.0 AS lat, s_nationkey AS nation FROM supplier)".replace("1000.0 AS", "CAST(1000 AS DOUBLE) AS").replace("116.0", "CAST(116 AS DOUBLE)").replace("39.5", "CAST(39.5 AS DOUBLE)")
 
-KNN = """knn AS (SELECT q.vec_id AS query_id, q.label AS query_label, b.vec_id AS id, b.label AS label, list_inner_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score,
-  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank FROM embeddings q, embeddings b WHERE q.vec_id % 20 = 0)"""
+KNN = """knn AS (SELECT q.vec_id AS query_id, q.label AS query_label, b.vec_id AS id, b.label AS label, list_inner_product(q.embedding::DOUBLE[],
+b.embedding::DOUBLE[]) AS score,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank
+FROM embeddings q, embeddings b WHERE q.vec_id % 20 = 0)"""

@@ -47,9 +47,12 @@ def category_first_index(spark, sf):
 
 @query(
     """WITH a AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s FROM orders WHERE o_orderkey % 97 <> 1),
-b AS (SELECT o_orderkey AS k, o_custkey + (o_orderkey % 89 = 5)::INTEGER AS c, nullif(o_orderstatus, CASE WHEN o_orderkey % 83 = 7 THEN o_orderstatus END) AS s FROM orders WHERE o_orderkey % 97 <> 2),
-j AS (SELECT coalesce(a.k, b.k) AS k, a.k IS NULL AS missing_left, b.k IS NULL AS missing_right, a.c IS DISTINCT FROM b.c AS dc, a.s IS DISTINCT FROM b.s AS ds FROM a FULL JOIN b ON a.k = b.k)
-SELECT k, missing_left, missing_right, CASE WHEN missing_left OR missing_right THEN '' ELSE concat_ws(',', CASE WHEN dc THEN 'c' END, CASE WHEN ds THEN 's' END) END AS differs FROM j WHERE missing_left OR missing_right OR dc OR ds"""
+b AS (SELECT o_orderkey AS k, o_custkey + (o_orderkey % 89 = 5)::INTEGER AS c, nullif(o_orderstatus,
+CASE WHEN o_orderkey % 83 = 7 THEN o_orderstatus END) AS s FROM orders WHERE o_orderkey % 97 <> 2),
+j AS (SELECT coalesce(a.k, b.k) AS k, a.k IS NULL AS missing_left, b.k IS NULL AS missing_right, a.c IS DISTINCT FROM b.c AS dc, a.s IS DISTINCT
+FROM b.s AS ds FROM a FULL JOIN b ON a.k = b.k)
+SELECT k, missing_left, missing_right, CASE WHEN missing_left OR missing_right THEN '' ELSE concat_ws(',', CASE WHEN dc THEN 'c' END,
+CASE WHEN ds THEN 's' END) END AS differs FROM j WHERE missing_left OR missing_right OR dc OR ds"""
 )
 def alignment_faults(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderstatus").alias("s"))
@@ -59,7 +62,8 @@ def alignment_faults(spark, sf):
 
 
 @query(
-    """WITH n AS (SELECT p_partkey AS vec_id FROM part) SELECT vec_id, round(list_sum(coalesce(embedding, list_transform(range(64), lambda x: 0.0))::DOUBLE[]), 6) AS total,
+    """WITH n AS (SELECT p_partkey AS vec_id FROM part)
+SELECT vec_id, round(list_sum(coalesce(embedding, list_transform(range(64), lambda x: 0.0))::DOUBLE[]), 6) AS total,
 abs(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) <= 0.002 AS unit_length FROM n LEFT JOIN embeddings USING (vec_id)"""
 )
 def filled_vectors(spark, sf):
@@ -68,12 +72,14 @@ def filled_vectors(spark, sf):
     return out.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), "unit_length")
 
 
-@query(f"WITH {CODES}, r AS (SELECT *, row_number() OVER (ORDER BY s1, s2, s3, vec_id) - 1 AS i FROM codes) SELECT s1, s2, min(i) AS start, max(i) + 1 AS stop FROM r GROUP BY s1, s2")
+@query(f"""WITH {CODES}, r AS (SELECT *, row_number() OVER (ORDER BY s1, s2, s3, vec_id) - 1 AS i FROM codes) SELECT s1, s2, min(i) AS start, max(i) + 1 AS stop
+FROM r GROUP BY s1, s2""")
 def bucket_bounds(spark, sf):
     return lookups.bucket_bounds(codes(spark, sf), ["s1", "s2"], [*S, "vec_id"])
 
 
-_RANKED = f"""{KNN}, {CODES}, f AS (SELECT query_id AS sample, s1, s2, s3, CAST(min(rank) AS INTEGER) AS first_beam_rank FROM knn JOIN codes ON codes.vec_id = knn.id WHERE rank <= 10 GROUP BY ALL),
+_RANKED = f"""{KNN}, {CODES}, f AS (SELECT query_id AS sample, s1, s2, s3, CAST(min(rank) AS INTEGER) AS first_beam_rank FROM knn
+JOIN codes ON codes.vec_id = knn.id WHERE rank <= 10 GROUP BY ALL),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY sample ORDER BY first_beam_rank) AS INTEGER) AS bucket_order FROM f)"""
 
 
@@ -92,7 +98,8 @@ def expand_buckets(spark, sf):
 
 @query(
     f"""WITH {_RANKED}, z AS (SELECT s1, s2, s3, count(*) AS n FROM codes GROUP BY ALL), g AS (SELECT *, n + (sample % 3 = 0)::INTEGER AS stored,
-CASE WHEN sample % 7 = 0 THEN 1 ELSE first_beam_rank END AS b FROM ranked JOIN z USING (s1, s2, s3)), l AS (SELECT *, lag(b) OVER (PARTITION BY sample ORDER BY bucket_order) AS p FROM g)
+CASE WHEN sample % 7 = 0 THEN 1 ELSE first_beam_rank END AS b FROM ranked JOIN z USING (s1, s2, s3)), l AS (SELECT *, lag(b) OVER (PARTITION BY sample
+ORDER BY bucket_order) AS p FROM g)
 SELECT sample, bucket_order, stored <> n AS wrong_size, NOT coalesce(b > p, b > 0) AS rank_not_growing FROM l WHERE stored <> n OR NOT coalesce(b > p, b > 0)"""
 )
 def expansion_faults(spark, sf):
@@ -104,15 +111,20 @@ def expansion_faults(spark, sf):
 
 #: Generated sequences: token 1 opens, 2 closes, 3 ends; codes from 10, 20, 30 and 40.
 _GENERATED = f"""{CODES}, cat AS (SELECT s1, s2, s3, t3, min(vec_id) AS id FROM codes GROUP BY ALL),
-g AS (SELECT vec_id, CASE vec_id % 8 WHEN 1 THEN [1, 10 + s1, 20 + s2, 30 + s3, 40 + t3, 2] WHEN 2 THEN [1, 10 + s1, 20 + s2, 30 + s3, 2, 3] WHEN 3 THEN [9, 10 + s1, 20 + s2, 30 + s3, 40 + t3, 2, 3]
-WHEN 4 THEN [1, 10 + s1, 20 + s2, 50 + s3, 40 + t3, 2, 3] WHEN 5 THEN [1, 10 + s2, 20 + s1, 30 + t3, 40 + s3, 2, 3] ELSE [1, 10 + s1, 20 + s2, 30 + s3, 40 + t3, 2, 3, 0, 0] END AS t FROM codes),
-p AS (SELECT *, coalesce(list_position(t, 3), 0) AS e, CASE WHEN e = 0 THEN 'missing_eos' WHEN e <> 7 THEN 'invalid_length' WHEN t[1] <> 1 OR t[6] <> 2 THEN 'invalid_structure'
-WHEN t[2] NOT BETWEEN 10 AND 17 OR t[3] NOT BETWEEN 20 AND 27 OR t[4] NOT BETWEEN 30 AND 37 OR t[5] NOT BETWEEN 40 AND 47 THEN 'invalid_position_token' END AS r FROM g)"""
+g AS (SELECT vec_id, CASE vec_id % 8 WHEN 1 THEN [1, 10 + s1, 20 + s2, 30 + s3, 40 + t3, 2] WHEN 2 THEN [1, 10 + s1, 20 + s2, 30 + s3, 2,
+3] WHEN 3 THEN [9, 10 + s1, 20 + s2, 30 + s3, 40 + t3, 2, 3]
+WHEN 4 THEN [1, 10 + s1, 20 + s2, 50 + s3, 40 + t3, 2, 3] WHEN 5 THEN [1, 10 + s2, 20 + s1, 30 + t3, 40 + s3, 2, 3] ELSE [1, 10 + s1, 20 + s2,
+30 + s3, 40 + t3, 2, 3, 0, 0] END AS t FROM codes),
+p AS (SELECT *, coalesce(list_position(t, 3), 0) AS e,
+CASE WHEN e = 0 THEN 'missing_eos' WHEN e <> 7 THEN 'invalid_length' WHEN t[1] <> 1 OR t[6] <> 2 THEN 'invalid_structure'
+WHEN t[2] NOT BETWEEN 10 AND 17 OR t[3] NOT BETWEEN 20 AND 27 OR t[4] NOT BETWEEN 30 AND 37 OR t[5] NOT BETWEEN 40 AND 47 THEN
+'invalid_position_token' END AS r FROM g)"""
 
 
 @query(
     f"""WITH {_GENERATED} SELECT p.vec_id, cat.id AS catalog_id, CASE WHEN r IS NULL AND cat.id IS NULL THEN 'identifier_not_in_corpus' ELSE r END AS invalid_reason,
-CASE WHEN t[1] = 1 AND t[2] BETWEEN 10 AND 17 AND t[3] BETWEEN 20 AND 27 AND t[4] BETWEEN 30 AND 37 THEN (t[2] - 10) || '-' || (t[3] - 20) || '-' || (t[4] - 30) END AS base
+CASE WHEN t[1] = 1 AND t[2] BETWEEN 10 AND 17 AND t[3] BETWEEN 20 AND 27 AND t[4] BETWEEN 30 AND 37 THEN (t[2] - 10) || '-' || (t[3] - 20) || '-' ||
+(t[4] - 30) END AS base
 FROM p LEFT JOIN cat ON r IS NULL AND cat.s1 = t[2] - 10 AND cat.s2 = t[3] - 20 AND cat.s3 = t[4] - 30 AND cat.t3 = t[5] - 40"""
 )
 def parse_generated(spark, sf):
@@ -136,10 +148,14 @@ def parse_generated(spark, sf):
 
 
 @query(
-    f"""WITH {CODES}, p AS (SELECT DISTINCT [1, 10 + s1, 20 + s2, 30 + s3, 2, 3] AS p FROM codes), s AS (SELECT list_slice(p, 1, d) AS prefix, p[d + 1] AS t FROM p, range(0, 6) r(d)),
+    f"""WITH {CODES}, p AS (SELECT DISTINCT [1, 10 + s1, 20 + s2, 30 + s3, 2, 3] AS p FROM codes), s AS (SELECT list_slice(p, 1, d) AS prefix, p[d + 1] AS t
+FROM p, range(0, 6) r(d)),
 c AS (SELECT prefix, list_sort(list(DISTINCT t)) AS allowed FROM s GROUP BY prefix UNION ALL SELECT p, [3] FROM p),
-q AS (SELECT vec_id, CASE vec_id % 5 WHEN 0 THEN [1] WHEN 1 THEN [1, 10 + s1, 20 + s2] WHEN 2 THEN [1, 10 + s1, 20 + s2, 30 + s3, 2, 3, 3] WHEN 3 THEN [1, 10 + s1, 20 + s2, 30 + s3, 2, 3, 4] ELSE [1, 10 + s1, 20 + t3, 30 + s3] END AS t FROM codes)
-SELECT vec_id, array_to_string(allowed, ',') AS allowed FROM q LEFT JOIN c ON c.prefix = CASE WHEN t = [] THEN NULL WHEN list_position(t, 3) IS NULL THEN t WHEN list_contains(list_slice(t, 7, 99), 4) THEN NULL ELSE list_slice(t, 1, list_position(t, 3)) END"""
+q AS (SELECT vec_id, CASE vec_id % 5 WHEN 0 THEN [1] WHEN 1 THEN [1, 10 + s1, 20 + s2] WHEN 2 THEN [1, 10 + s1, 20 + s2, 30 + s3, 2, 3,
+3] WHEN 3 THEN [1, 10 + s1, 20 + s2, 30 + s3, 2, 3, 4] ELSE [1, 10 + s1, 20 + t3, 30 + s3] END AS t FROM codes)
+SELECT vec_id, array_to_string(allowed, ',') AS allowed FROM q LEFT
+JOIN c ON c.prefix = CASE WHEN t = [] THEN NULL WHEN list_position(t, 3) IS NULL THEN t WHEN list_contains(list_slice(t, 7, 99),
+4) THEN NULL ELSE list_slice(t, 1, list_position(t, 3)) END"""
 )
 def legal_next_tokens(spark, sf):
     c = codes(spark, sf)
@@ -160,7 +176,8 @@ def aligned_subset(spark, sf):
     return lookups.aligned_subset(reference(spark, sf), lines(spark, sf), ["k"], "position").select("k", "position", "l_linenumber", "l_partkey")
 
 
-@query(f"WITH {_REFERENCE}, n AS (SELECT k, count(l_orderkey) AS matches FROM ref LEFT JOIN lineitem ON l_orderkey = k AND l_quantity > 45 GROUP BY k) SELECT k, matches FROM n WHERE matches <> 1")
+@query(f"""WITH {_REFERENCE}, n AS (SELECT k, count(l_orderkey) AS matches FROM ref LEFT JOIN lineitem ON l_orderkey = k AND l_quantity > 45 GROUP BY k)
+SELECT k, matches FROM n WHERE matches <> 1""")
 def aligned_subset_faults(spark, sf):
     return lookups.subset_faults(reference(spark, sf), lines(spark, sf), ["k"])
 
@@ -180,7 +197,8 @@ def lines(spark, sf):
 @query(
     """WITH m AS (SELECT p_partkey::VARCHAR AS old, 'n' || (p_partkey * 7 % 1000) AS new FROM part WHERE p_partkey % 50 <> 0),
 l AS (SELECT l_orderkey, l_linenumber, l_partkey::VARCHAR AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS r FROM lineitem)
-SELECT l_orderkey, CASE WHEN count(*) = count(new) THEN 'seen ' || string_agg('<P>' || new || '</P>', ' then ' ORDER BY r) || ' end' END AS content FROM l LEFT JOIN m ON m.old = l.p GROUP BY l_orderkey"""
+SELECT l_orderkey, CASE WHEN count(*) = count(new) THEN 'seen ' || string_agg('<P>' || new || '</P>', ' then ' ORDER BY r) || ' end' END AS content
+FROM l LEFT JOIN m ON m.old = l.p GROUP BY l_orderkey"""
 )
 def rewritten_ids(spark, sf):
     li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda s: F.concat(F.lit("<P>"), s["l_partkey"].cast("string"), F.lit("</P>"))).alias("ids"))

@@ -17,10 +17,13 @@ from cairnflow.plans.vector_queries import neighbours
 from cairnflow.sources import io
 from cairnflow.sources.scratch import scratch_folder
 
-_TRACE = f"""{KNN}, c AS (SELECT query_id AS sample, CAST(rank AS INTEGER) AS beam, id, label AS bucket, query_label, id = (query_id * 7) % 500 AS correct, label = query_label AS hit, label <> 3 AS fine FROM knn WHERE rank <= 8 AND NOT (query_id % 60 = 0 AND rank = 5)),
-f AS (SELECT sample, bucket, min(beam) AS first, bool_or(hit) AS hit FROM c WHERE fine GROUP BY ALL), g AS (SELECT sample, min(first) AS goal FROM f WHERE hit GROUP BY 1), u AS (SELECT sample, min(goal) AS raw, count(*) FILTER (first <= goal) AS uniq FROM f JOIN g USING (sample) GROUP BY 1),
+_TRACE = f"""{KNN}, c AS (SELECT query_id AS sample, CAST(rank AS INTEGER) AS beam, id, label AS bucket, query_label, id = (query_id * 7) % 500 AS correct,
+label = query_label AS hit, label <> 3 AS fine FROM knn WHERE rank <= 8 AND NOT (query_id % 60 = 0 AND rank = 5)),
+f AS (SELECT sample, bucket, min(beam) AS first, bool_or(hit) AS hit FROM c WHERE fine GROUP BY ALL), g AS (SELECT sample, min(first) AS goal FROM f
+WHERE hit GROUP BY 1), u AS (SELECT sample, min(goal) AS raw, count(*) FILTER (first <= goal) AS uniq FROM f JOIN g USING (sample) GROUP BY 1),
 p AS (SELECT sample, count(*) = 8 AND count(DISTINCT beam) = 8 AND min(beam) = 1 AND max(beam) = 8 AS ok, min(beam) FILTER (correct) AS exact FROM c GROUP BY 1),
-st AS (SELECT DISTINCT sample, CASE WHEN sample % 100 = 20 THEN 1 END AS exact_rank, CASE WHEN sample % 40 <> 0 THEN 1 ELSE 2 END AS raw_rank, CAST(1 AS BIGINT) AS unique_rank FROM c)"""
+st AS (SELECT DISTINCT sample, CASE WHEN sample % 100 = 20 THEN 1 END AS exact_rank, CASE WHEN sample % 40 <> 0 THEN 1 ELSE 2 END AS raw_rank,
+CAST(1 AS BIGINT) AS unique_rank FROM c)"""
 
 
 def traced(spark, sf):
@@ -30,7 +33,9 @@ def traced(spark, sf):
 
 
 @query(
-    f"""WITH {_TRACE}, j AS (SELECT p.sample, ok, exact, raw, uniq, exact_rank, raw_rank, unique_rank FROM p LEFT JOIN u USING (sample) LEFT JOIN st USING (sample)) SELECT sample, 'beams' AS fault FROM j WHERE NOT ok UNION ALL SELECT sample, 'exact' FROM j WHERE exact IS DISTINCT FROM exact_rank
+    f"""WITH {_TRACE}, j AS (SELECT p.sample, ok, exact, raw, uniq, exact_rank, raw_rank, unique_rank FROM p LEFT JOIN u USING (sample) LEFT
+JOIN st USING (sample)) SELECT sample, 'beams' AS fault FROM j WHERE NOT ok UNION ALL SELECT sample, 'exact' FROM j WHERE exact IS DISTINCT
+FROM exact_rank
 UNION ALL SELECT sample, 'raw' FROM j WHERE raw IS DISTINCT FROM raw_rank UNION ALL SELECT sample, 'unique' FROM j WHERE uniq IS DISTINCT FROM unique_rank"""
 )
 def trace_faults(spark, sf):
@@ -40,7 +45,8 @@ def trace_faults(spark, sf):
     return rs.trace_faults(c, stored, "sample", "beam", "bucket", F.col("fine"), F.col("correct"), F.col("hit"), 8)
 
 
-@query(f"WITH {CODES}, n AS (SELECT s1, s2, sum(1.0 + vec_id % 3)::DOUBLE AS w FROM codes GROUP BY ALL), t AS (SELECT *, sum(w) OVER (PARTITION BY s1) AS t FROM n) SELECT s1, count(*) AS branches, round(abs(-sum(w / t * log2(w / t))), 8) AS entropy FROM t GROUP BY s1")
+@query(f"""WITH {CODES}, n AS (SELECT s1, s2, sum(1.0 + vec_id % 3)::DOUBLE AS w FROM codes GROUP BY ALL), t AS (SELECT *, sum(w) OVER (PARTITION BY s1) AS t
+FROM n) SELECT s1, count(*) AS branches, round(abs(-sum(w / t * log2(w / t))), 8) AS entropy FROM t GROUP BY s1""")
 def branch_entropy(spark, sf):
     c = codes(spark, sf).withColumn("w", 1.0 + F.col("vec_id") % 3)
     return rounded(rs.branch_entropy(c, ["s1"], "s2", "w"), 8)
@@ -48,13 +54,18 @@ def branch_entropy(spark, sf):
 
 def _encoding(i: int) -> str:
     o = f"o{i}"
-    return f"""SELECT b, {-i} AS i, round(e * (m + 20.0 * g) / (s + 20.0), 12) AS score FROM (SELECT b, abs(-sum(w / t * log2(w / t))) AS e FROM (SELECT *, sum(w) OVER (PARTITION BY b) AS t FROM (SELECT b, {o}, sum(w) AS w FROM r GROUP BY b, {o})) GROUP BY b)
-JOIN (SELECT b, sum(n) AS s, sum(m{i}) AS m FROM r WHERE {o} >= 0 GROUP BY b HAVING count(DISTINCT {o}) > 1) USING (b), (SELECT sum(m{i}) / sum(n) AS g FROM r WHERE {o} >= 0)"""
+    return f"""SELECT b, {-i} AS i, round(e * (m + 20.0 * g) / (s + 20.0), 12) AS score FROM (SELECT b, abs(-sum(w / t * log2(w / t))) AS e
+FROM (SELECT *, sum(w) OVER (PARTITION BY b) AS t FROM (SELECT b, {o}, sum(w) AS w FROM r GROUP BY b, {o})) GROUP BY b)
+JOIN (SELECT b, sum(n) AS s, sum(m{i}) AS m FROM r WHERE {o} >= 0 GROUP BY b
+HAVING count(DISTINCT {o}) > 1) USING (b), (SELECT sum(m{i}) / sum(n) AS g FROM r WHERE {o} >= 0)"""
 
 
 @query(
-    f"""WITH {CODES}, r AS (SELECT vec_id, s1 * 8 + s2 AS b, CASE WHEN vec_id % 4 = 0 THEN -1 ELSE s3 END AS o1, t3 * 3 + label % 3 AS o2, vec_id % 9 AS n, vec_id % 9 * (vec_id % 2) AS m1, vec_id % 9 * (vec_id % 3 % 2) AS m2, greatest(1.0, sqrt(1.0 + vec_id % 9)) AS w FROM codes),
-sc AS ({_encoding(1)} UNION ALL {_encoding(2)}), best AS (SELECT b, -arg_max(i, (score, i)) AS option FROM sc GROUP BY b), k AS (SELECT vec_id, b, coalesce(option, 0) AS option, CASE option WHEN 1 THEN o1 WHEN 2 THEN o2 ELSE -1 END AS chosen FROM r LEFT JOIN best USING (b))
+    f"""WITH {CODES}, r AS (SELECT vec_id, s1 * 8 + s2 AS b, CASE WHEN vec_id % 4 = 0 THEN -1 ELSE s3 END AS o1, t3 * 3 + label % 3 AS o2, vec_id % 9 AS n,
+vec_id % 9 * (vec_id % 2) AS m1, vec_id % 9 * (vec_id % 3 % 2) AS m2, greatest(1.0, sqrt(1.0 + vec_id % 9)) AS w FROM codes),
+sc AS ({_encoding(1)} UNION ALL {_encoding(2)}), best AS (SELECT b, -arg_max(i, (score, i)) AS option FROM sc
+GROUP BY b), k AS (SELECT vec_id, b, coalesce(option, 0) AS option, CASE option WHEN 1 THEN o1 WHEN 2 THEN o2 ELSE -1 END AS chosen FROM r LEFT
+JOIN best USING (b))
 SELECT vec_id, CAST(option AS INTEGER) AS option, CAST(chosen AS INTEGER) AS chosen, option > 0 AND count(*) OVER (PARTITION BY b, chosen) = 1 AS resolved FROM k"""
 )
 def chosen_encoding(spark, sf):
@@ -64,8 +75,11 @@ def chosen_encoding(spark, sf):
 
 
 @query(
-    f"""WITH {CODES}, p AS (SELECT DISTINCT [s1, s2, s3] AS p FROM codes), x AS (SELECT d AS depth, list_slice(p, 1, d) AS prefix, bool_or(d = 3) AS terminal FROM p, range(0, 4) r(d) GROUP BY ALL), n AS (SELECT *, row_number() OVER (ORDER BY depth, prefix) - 1 AS node FROM x)
-SELECT n.node, CASE WHEN n.depth > 0 THEN u.node ELSE -1 END AS parent, CASE WHEN n.depth > 0 THEN n.prefix[-1] ELSE -1 END AS token, CAST(n.depth AS INTEGER) AS depth, n.terminal FROM n LEFT JOIN n u ON n.depth > 0 AND u.prefix = list_slice(n.prefix, 1, n.depth - 1) AND u.depth = n.depth - 1"""
+    f"""WITH {CODES}, p AS (SELECT DISTINCT [s1, s2, s3] AS p FROM codes), x AS (SELECT d AS depth, list_slice(p, 1, d) AS prefix, bool_or(d = 3) AS terminal
+FROM p, range(0, 4) r(d) GROUP BY ALL), n AS (SELECT *, row_number() OVER (ORDER BY depth, prefix) - 1 AS node FROM x)
+SELECT n.node, CASE WHEN n.depth > 0 THEN u.node ELSE -1 END AS parent, CASE WHEN n.depth > 0 THEN n.prefix[-1] ELSE -1 END AS token,
+CAST(n.depth AS INTEGER) AS depth, n.terminal FROM n LEFT
+JOIN n u ON n.depth > 0 AND u.prefix = list_slice(n.prefix, 1, n.depth - 1) AND u.depth = n.depth - 1"""
 )
 def trie_nodes(spark, sf):
     return rs.trie_nodes(codes(spark, sf).select(F.array("s1", "s2", "s3").alias("p")), "p")
@@ -89,8 +103,11 @@ def fourier_places(spark, sf):
 
 
 @query(
-    """WITH l AS (SELECT l_partkey % 200 AS poi, (l_partkey * 7 + l_linenumber) % 30 AS query FROM lineitem GROUP BY ALL), v AS (SELECT vec_id, list_slice(embedding::DOUBLE[], 1, 8) AS x FROM embeddings), p AS (SELECT range AS pos FROM range(1, 9)),
-s AS (SELECT poi, pos, sum(x[pos]) AS e, count(*) AS queries FROM l JOIN v ON vec_id = query, p GROUP BY ALL), d AS (SELECT poi, max(queries) AS queries, sum(e * c.x[pos]) / sqrt(sum(e * e)) / sqrt(sum(c.x[pos] * c.x[pos])) AS cosine FROM s JOIN v c ON c.vec_id = poi GROUP BY poi)
+    """WITH l AS (SELECT l_partkey % 200 AS poi, (l_partkey * 7 + l_linenumber) % 30 AS query FROM lineitem
+GROUP BY ALL), v AS (SELECT vec_id, list_slice(embedding::DOUBLE[], 1, 8) AS x FROM embeddings), p AS (SELECT range AS pos FROM range(1, 9)),
+s AS (SELECT poi, pos, sum(x[pos]) AS e, count(*) AS queries FROM l JOIN v ON vec_id = query, p
+GROUP BY ALL), d AS (SELECT poi, max(queries) AS queries, sum(e * c.x[pos]) / sqrt(sum(e * e)) / sqrt(sum(c.x[pos] * c.x[pos])) AS cosine FROM s
+JOIN v c ON c.vec_id = poi GROUP BY poi)
 SELECT poi, queries, round(greatest(-1, least(1, cosine)), 7) AS content_query_cosine FROM d"""
 )
 def query_heterogeneity(spark, sf):
@@ -102,7 +119,8 @@ def query_heterogeneity(spark, sf):
     return rounded(assets.heterogeneity(own, "poi", "c"), 7)
 
 
-_MESSAGES = "m AS (SELECT item_id, 'see <QUERY>' || text || CASE WHEN item_id % 3 = 0 THEN '</QUERY>' || chr(10) || '<USER_GID> ' ELSE '' END || '</QUERY>' || chr(10) || '<USER_GID>x</USER_GID>' AS content FROM benchmark)"
+_MESSAGES = """m AS (SELECT item_id, 'see <QUERY>' || text || CASE WHEN item_id % 3 = 0 THEN '</QUERY>' || chr(10) || '<USER_GID> ' ELSE '' END || '</QUERY>' ||
+chr(10) || '<USER_GID>x</USER_GID>' AS content FROM benchmark)"""
 
 
 @query(f"WITH {_MESSAGES} SELECT item_id, md5(substr(content, 12, length(content) - 11 - length('</QUERY>' || chr(10) || '<USER_GID>x</USER_GID>'))) AS query FROM m")
@@ -160,7 +178,10 @@ def hashed_shards(spark, sf):
     return back.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("rows"), F.sum("l_quantity").cast("long").alias("quantity"))
 
 
-@query(f"WITH {CODES}, k AS (SELECT vec_id, s1, s2, s3, count(*) OVER w AS n, row_number() OVER (PARTITION BY s1, s2, s3 ORDER BY vec_id::VARCHAR) - 1 AS r FROM codes WINDOW w AS (PARTITION BY s1, s2, s3)) SELECT vec_id, s1 || '-' || s2 || '-' || s3 || CASE WHEN n > 1 THEN '|d' || r ELSE '' END AS key, n AS bucket_size, n > 1 AS has_dedup, CASE WHEN n > 1 THEN r END AS dedup FROM k")
+@query(f"""WITH {CODES}, k AS (SELECT vec_id, s1, s2, s3, count(*) OVER w AS n, row_number() OVER (PARTITION BY s1, s2, s3 ORDER BY vec_id::VARCHAR) - 1 AS r
+FROM codes WINDOW w AS (PARTITION BY s1, s2, s3))
+SELECT vec_id, s1 || '-' || s2 || '-' || s3 || CASE WHEN n > 1 THEN '|d' || r ELSE '' END AS key, n AS bucket_size, n > 1 AS has_dedup,
+CASE WHEN n > 1 THEN r END AS dedup FROM k""")
 def identifier_mapping(spark, sf):
     """Identifiers written sorted, with a null for no dedup code, and read again."""
     from cairnflow.operators import builders
@@ -179,7 +200,11 @@ def quarantined_rows(spark, sf):
     return good.agg((F.count(F.lit(1)) + 0 * bad.count()).alias("rows"), F.count_distinct("o_custkey").alias("customers"))
 
 
-@query("WITH x AS (SELECT l_orderkey AS s, l_linenumber AS p, l_partkey AS t, round(l_discount, 2) AS z FROM lineitem), g AS (SELECT s, p, t, z, row_number() OVER (PARTITION BY s, p ORDER BY z DESC, t) AS r, ln(sum(exp(z)) OVER (PARTITION BY s, p)) - z AS nll, count(*) OVER (PARTITION BY s, p) AS n FROM x) SELECT p AS position, count(*) AS tokens, round(avg((r = 1)::INTEGER), 9) AS top1, round(avg((r <= 10)::INTEGER), 9) AS top10, round(avg(nll), 9) AS nll FROM g GROUP BY p")
+@query("""WITH x AS (SELECT l_orderkey AS s, l_linenumber AS p, l_partkey AS t, round(l_discount, 2) AS z
+FROM lineitem), g AS (SELECT s, p, t, z, row_number() OVER (PARTITION BY s, p
+ORDER BY z DESC, t) AS r, ln(sum(exp(z)) OVER (PARTITION BY s, p)) - z AS nll, count(*) OVER (PARTITION BY s, p) AS n FROM x)
+SELECT p AS position, count(*) AS tokens, round(avg((r = 1)::INTEGER), 9) AS top1, round(avg((r <= 10)::INTEGER), 9) AS top10, round(avg(nll),
+9) AS nll FROM g GROUP BY p""")
 def position_scores(spark, sf):
     """Rank and likelihood of tokens by position, from logits as rows."""
     x = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("s"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("t"), F.round("l_discount", 2).alias("z"))
