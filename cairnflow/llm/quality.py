@@ -37,15 +37,15 @@ from cairnflow.llm.toxicity import BITS, LETTER, Lookup, context_key, gram_key,
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
-ORDER = 6
+ORDER = 5
 #: Characters that a letter never seen in a language is taken to be one of.
 ALPHABET = 65_536
 #: Spreads that a text may lie from its language's median (chosen on labelled rows whose id's crc32 is even), and the least
 #: spread in nats a word.
-BAND = 6.0
+BAND = 8.0
 LEAST_SPREAD = 0.12
 #: A text of n words gets this over sqrt(n) added on both sides.
-SHORT = 8.0
+SHORT = 6.0
 #: Entries of an array that is broadcast (12 bytes each).
 MOST_ENTRIES = 8_000_000
 #: Words are scored once and remembered up to this many; forgetting changes no result.
@@ -79,6 +79,12 @@ def count_words(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(count, "lang string, w binary, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
 
 
+def letter_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of order ORDER that end at each letter and at each word's end, and the word's index."""
+    grams, word = letters(words)
+    return suffix(grams, ORDER), word
+
+
 def count_grams(words: DataFrame) -> DataFrame:
     """lang, a, b (halves of an n-gram), before (the last letter but one), n."""
 
@@ -89,7 +95,7 @@ def count_grams(words: DataFrame) -> DataFrame:
                 at = np.flatnonzero(langs == lang)
                 for k in range(0, len(at), 50_000):
                     part = batch.take(pa.array(at[k : k + 50_000]))
-                    grams, word = letters(part.column("w").to_pylist())
+                    grams, word = letter_grams(part.column("w").to_pylist())
                     _, first, place = np.unique(gram_key(grams), return_index=True, return_inverse=True)
                     n = np.bincount(place, part.column("n").to_numpy()[word], len(first)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), pa.array(grams[0, first]), pa.array(grams[1, first]), pa.array(n)], ["lang", "a", "b", "n"])
@@ -188,7 +194,7 @@ class Model:
         new = list(words.difference(known))
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            grams, word = letters(part)
+            grams, word = letter_grams(part)
             known.update(zip(part, np.bincount(word, -self.logs(grams, lang), len(part)).tolist(), strict=True))
         return known
 
