@@ -119,7 +119,10 @@ def parent_geo(rows: DataFrame, parent: list[str], lng: str, lat: str) -> DataFr
     both = both.withColumn("__d", F.log1p(F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2)))
     scale = both.where(some).agg(F.percentile("__d", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg("__d").alias("m"), F.stddev_pop("__d").alias("s"))
     spread = F.get("q", F.lit(2)) - F.get("q", F.lit(0))
-    scale = scale.select(F.when(spread > 1e-12, F.get("q", F.lit(1))).otherwise(F.col("m")).alias("__mid"), F.when(spread > 1e-12, spread).otherwise(F.greatest("s", F.lit(1e-12))).alias("__spread"))
+    scale = scale.select(
+        F.when(spread > 1e-12, F.get("q", F.lit(1))).otherwise(F.col("m")).alias("__mid"),
+        F.when(spread > 1e-12, spread).otherwise(F.greatest("s", F.lit(1e-12))).alias("__spread"),
+    )
     both = both.crossJoin(F.broadcast(scale))  # one row
     angle = F.atan2("dy", "dx")
     feature = V.unit(F.array((F.col("__d") - F.col("__mid")) / F.col("__spread"), F.sin(angle), F.cos(angle)))
@@ -127,7 +130,21 @@ def parent_geo(rows: DataFrame, parent: list[str], lng: str, lat: str) -> DataFr
     return both.withColumn("geo", F.when(some, F.coalesce(feature, zero)).otherwise(zero)).drop("__x", "__y", "__n", "__d", "__mid", "__spread")
 
 
-def local_codes(rows: DataFrame, parent: list[str], id_: str, vector: str, book: list[tuple[int, list[float]]], lng: str, lat: str, candidates: int, geo_weight: float, collision_weight: float, hard: DataFrame, sweeps: int = 2, scale: float = 1000.0) -> DataFrame:
+def local_codes(
+    rows: DataFrame,
+    parent: list[str],
+    id_: str,
+    vector: str,
+    book: list[tuple[int, list[float]]],
+    lng: str,
+    lat: str,
+    candidates: int,
+    geo_weight: float,
+    collision_weight: float,
+    hard: DataFrame,
+    sweeps: int = 2,
+    scale: float = 1000.0,
+) -> DataFrame:
     """Codes of the last level, chosen within parents: id, code, objective.
 
     A row weighs its nearest `candidates` codes: 1 - cosine, plus geo_weight times the distance to the mean place of the code's rows in the parent (in
@@ -159,7 +176,11 @@ def local_codes(rows: DataFrame, parent: list[str], id_: str, vector: str, book:
         both = opened.join(places, [*parent, "code"], "left").join(taken, [id_, "code"], "left")
         away = F.coalesce(F.least(F.lit(1.0), geo.haversine(F.col(lng), F.col(lat), F.col("cx"), F.col("cy")) / scale), F.lit(0.0))
         cost = F.col("content") + geo_weight * away + collision_weight * F.coalesce("clashes", F.lit(0))
-        best = both.groupBy(id_).agg(F.min(F.struct(F.round(cost, 12).alias("objective"), "code")).alias("b")).select(id_, F.col("b.code").alias("to"), F.col("b.objective").alias("objective"))
+        best = both.groupBy(id_).agg(F.min(F.struct(F.round(cost, 12).alias("objective"), "code")).alias("b")).select(
+            id_,
+            F.col("b.code").alias("to"),
+            F.col("b.objective").alias("objective"),
+        )
         moves = F.pmod(F.xxhash64(id_), F.lit(2)) == sweep % 2
         weighed = cut(state.join(best, id_).withColumn("code", F.when(moves, F.col("to")).otherwise(F.col("code"))).drop("to"))
         state = weighed.drop("objective")

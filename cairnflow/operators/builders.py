@@ -16,7 +16,22 @@ from cairnflow.operators.messages import messages
 
 HISTORY = "array<struct<event_time:timestamp,query:string,poi:string,lng:double,lat:double>>"
 # Tokens of the messages' structure.
-STRUCTURE = ("<USER_ID>", "</USER_ID>", "<HISTORY>", "</HISTORY>", "<EVENT>", "</EVENT>", "<CURRENT>", "</CURRENT>", "<USER_GID>", "</USER_GID>", "<QUERY>", "</QUERY>", "<POI_TIGER_ID>", "</POI_TIGER_ID>")
+STRUCTURE = (
+    "<USER_ID>",
+    "</USER_ID>",
+    "<HISTORY>",
+    "</HISTORY>",
+    "<EVENT>",
+    "</EVENT>",
+    "<CURRENT>",
+    "</CURRENT>",
+    "<USER_GID>",
+    "</USER_GID>",
+    "<QUERY>",
+    "</QUERY>",
+    "<POI_TIGER_ID>",
+    "</POI_TIGER_ID>",
+)
 #: Template: tag of an event's identifier, whether events are wrapped, whether the user and the history are named.
 TEMPLATES = {"tiger": ("POI_TIGER_ID", True, True, True), "genpoi": ("POI_PID", False, False, True), "gnpr": ("POI_GNPR_ID", True, False, True), "plain": (None, False, False, False)}
 
@@ -47,7 +62,13 @@ def user_content(template: str, length: int = 6, buckets: int = 2000) -> Column:
 def with_identifiers(orders: DataFrame, ids: DataFrame, length: int = 6) -> DataFrame:
     """orders with content (the target's), events (query, gid, content of each, in order) and missing (history ids without one)."""
     opened = orders.select("sample", F.posexplode("history").alias("pos", "e"))
-    named = opened.select("sample", "pos", F.col("e.poi").alias("poi"), F.col("e.query").alias("query"), gid_text(F.col("e.lng"), F.col("e.lat"), length).alias("gid")).join(ids, "poi", "left")
+    named = opened.select(
+        "sample",
+        "pos",
+        F.col("e.poi").alias("poi"),
+        F.col("e.query").alias("query"),
+        gid_text(F.col("e.lng"), F.col("e.lat"), length).alias("gid"),
+    ).join(ids, "poi", "left")
     entry = F.struct("pos", "query", "gid", "content")
     closed = named.groupBy("sample").agg(F.array_sort(F.collect_list(entry)).alias("events"), F.count_if(F.col("content").isNull()).alias("missing"))
     target = ids.select(F.col("poi").alias("target"), "content")
@@ -105,7 +126,10 @@ def identifier_table(codes: DataFrame, id_: str, levels: list[str], kind: str, g
         full, text = F.concat(base, F.array(F.greatest(n, F.lit(0)))), F.concat(numbered, token("C", F.greatest(n, F.lit(0))))
         key = F.concat(dash, F.lit("-"), F.greatest(n, F.lit(0)).cast("string"))
     elif kind == "optional":
-        full, text = F.concat(base, F.when(n >= 0, F.array(n)).otherwise(F.array().cast("array<int>"))), F.concat(*[token("abc"[i], F.col(c)) for i, c in enumerate(levels)], F.when(n >= 0, token("d", n)).otherwise(""))
+        full, text = F.concat(base, F.when(n >= 0, F.array(n)).otherwise(F.array().cast("array<int>"))), F.concat(
+            *[token("abc"[i], F.col(c)) for i, c in enumerate(levels)],
+            F.when(n >= 0, token("d", n)).otherwise(""),
+        )
         key = F.concat(dash, F.when(n >= 0, F.concat(F.lit("|d"), n.cast("string"))).otherwise(""))
     elif kind == "dedup":
         places = F.regexp_replace(F.col(gid), "(.)", "<G_$1>") if gid else F.lit("")

@@ -17,7 +17,14 @@ def active_ids(current: DataFrame, history: DataFrame, id_: str) -> DataFrame:
 def set_counts(active: DataFrame) -> DataFrame:
     c, h = F.col("in_current"), F.col("in_history")
     n = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    return active.agg(n(c).alias("current_ids"), n(h).alias("history_ids"), n(c & h).alias("both"), n(c & ~h).alias("only_current"), n(h & ~c).alias("only_history"), F.count(F.lit(1)).alias("union_ids"))
+    return active.agg(
+        n(c).alias("current_ids"),
+        n(h).alias("history_ids"),
+        n(c & h).alias("both"),
+        n(c & ~h).alias("only_current"),
+        n(h & ~c).alias("only_history"),
+        F.count(F.lit(1)).alias("union_ids"),
+    )
 
 
 def filter_catalog(catalog: DataFrame, active: DataFrame, id_: str) -> tuple[DataFrame, DataFrame]:
@@ -46,7 +53,12 @@ def monotone_rows(ids: DataFrame, source: DataFrame, id_: str) -> DataFrame:
     block = F.floor(F.col("position") / 65_536)
     w = Window.partitionBy("b").orderBy("position")
     inner = both.withColumn("b", block).withColumn("p", F.lag("row_index").over(w))
-    edges = inner.groupBy("b").agg(F.count(F.lit(1)).alias("found"), F.sum(F.when(F.col("p") >= F.col("row_index"), 1).otherwise(0)).alias("bad"), F.min_by("row_index", "position").alias("first"), F.max_by("row_index", "position").alias("last"))
+    edges = inner.groupBy("b").agg(
+        F.count(F.lit(1)).alias("found"),
+        F.sum(F.when(F.col("p") >= F.col("row_index"), 1).otherwise(0)).alias("bad"),
+        F.min_by("row_index", "position").alias("first"),
+        F.max_by("row_index", "position").alias("last"),
+    )
     across = edges.withColumn("q", F.lag("last").over(Window.orderBy("b")))  # one row a block of 65,536
     return across.agg(F.sum("found").alias("found"), F.sum(F.col("bad") + F.when(F.col("q") >= F.col("first"), 1).otherwise(0)).alias("out_of_order"))
 

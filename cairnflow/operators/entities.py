@@ -85,7 +85,10 @@ def typed_relations(entities: DataFrame, id_: str, sources: dict[str, int] = PRI
 def selected_relations(raw: DataFrame, id_: str) -> DataFrame:
     """id, relation, priority, value (null where the highest source names several), candidates (all values), conflict (more than one)."""
     per = raw.groupBy(id_, "relation", "priority").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.collect_set("value").alias("values"))
-    out = per.groupBy(id_, "relation").agg(F.max(F.struct("priority", "low", "high")).alias("t"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("values")))).alias("candidates"))
+    out = per.groupBy(id_, "relation").agg(
+        F.max(F.struct("priority", "low", "high")).alias("t"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("values")))).alias("candidates"),
+    )
     value = F.when(F.col("t.low") == F.col("t.high"), F.col("t.low"))
     return out.select(id_, "relation", F.col("t.priority").alias("priority"), value.alias("value"), "candidates", (F.size("candidates") > 1).alias("conflict"))
 
@@ -172,7 +175,15 @@ def _packed(t: Column, after: str) -> Column:
 
 def fine_relations(entities: DataFrame, id_: str) -> DataFrame:
     """id and the fine relations of displayname, address, category_code and layer: numbers (-1 without), category parts, road, parent, child."""
-    base = entities.select(id_, text.relation_text(F.col("displayname")).alias("d"), text.relation_text(F.col("address")).alias("a"), split_name(F.col("displayname")).alias("p"), road_entity(F.col("address")).alias("road"), label(F.col("category_code")).alias("c"), "layer")
+    base = entities.select(
+        id_,
+        text.relation_text(F.col("displayname")).alias("d"),
+        text.relation_text(F.col("address")).alias("a"),
+        split_name(F.col("displayname")).alias("p"),
+        road_entity(F.col("address")).alias("road"),
+        label(F.col("category_code")).alias("c"),
+        "layer",
+    )
     base = base.withColumn("child", F.col("p.child"))
     d, a = F.col("d"), F.col("a")
     compound = r"(?<![0-9])([0-9]{1,5})-([0-9]{1,5})(?:-([0-9]{1,5}))?(?![0-9])"

@@ -180,7 +180,11 @@ def branch_agreement(reference: DataFrame, other: DataFrame, id_: str, levels: l
     both = reference.select(id_, *[F.col(c).alias(f"a_{c}") for c in levels]).join(other.select(id_, *[F.col(c).alias(f"b_{c}") for c in levels]), id_)
     same = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in levels]
     so_far = [reduce(lambda x, y: x & y, same[: i + 1]) for i in range(len(levels))]
-    return both.agg(F.count(F.lit(1)).alias("rows"), *[rate(s).alias(f"same_{c}") for s, c in zip(same, levels, strict=True)], *[rate(s).alias(f"same_to_{c}") for s, c in zip(so_far, levels, strict=True)])
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[rate(s).alias(f"same_{c}") for s, c in zip(same, levels, strict=True)],
+        *[rate(s).alias(f"same_to_{c}") for s, c in zip(so_far, levels, strict=True)],
+    )
 
 
 def code_distribution(codes: DataFrame, levels: list[str]) -> DataFrame:
@@ -188,7 +192,14 @@ def code_distribution(codes: DataFrame, levels: list[str]) -> DataFrame:
     n = codes.groupBy(*levels).agg(F.count(F.lit(1)).alias("n"))
     quantiles = [F.percentile("n", F.lit(q)).alias(f"p{int(100 * q)}") for q in (0.5, 0.9, 0.99)]
     distinct = F.count(F.lit(1))
-    return n.agg(F.sum("n").alias("rows"), distinct.alias("distinct"), (distinct / F.sum("n")).alias("distinct_ratio"), (F.sum("n") - distinct).alias("excess"), *quantiles, F.max("n").alias("largest"))
+    return n.agg(
+        F.sum("n").alias("rows"),
+        distinct.alias("distinct"),
+        (distinct / F.sum("n")).alias("distinct_ratio"),
+        (F.sum("n") - distinct).alias("excess"),
+        *quantiles,
+        F.max("n").alias("largest"),
+    )
 
 
 def prefix_mass(counts: DataFrame, query: str, prefix: list[str], n: str, sizes: DataFrame, size: str) -> DataFrame:
@@ -198,7 +209,12 @@ def prefix_mass(counts: DataFrame, query: str, prefix: list[str], n: str, sizes:
     per = counts.groupBy(query, *prefix).agg(F.sum(n).cast("double").alias("n")).join(sizes.select(*prefix, size), prefix)
     total = F.sum("n")
     entropy = (F.log(total) - F.sum(F.col("n") * F.log("n")) / total) / F.log(F.lit(2.0))
-    return per.groupBy(query).agg(F.count(F.lit(1)).alias("prefixes"), (F.max("n") / total).alias("top_share"), F.greatest(F.lit(0.0), entropy).alias("entropy_bits"), (F.sum(F.col("n") * F.col(size)) / total).alias("expected_bucket"))
+    return per.groupBy(query).agg(
+        F.count(F.lit(1)).alias("prefixes"),
+        (F.max("n") / total).alias("top_share"),
+        F.greatest(F.lit(0.0), entropy).alias("entropy_bits"),
+        (F.sum(F.col("n") * F.col(size)) / total).alias("expected_bucket"),
+    )
 
 
 def prior_mass(codes: DataFrame, code: str, declared: int, tau: float) -> DataFrame:
@@ -253,5 +269,10 @@ def pair_distances(rows: DataFrame, cluster: list[str], id_: str, distance: Colu
     a, b = small.alias("a"), small.alias("b")
     on = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in cluster]) & (F.col(f"a.{id_}") < F.col(f"b.{id_}"))
     pairs = a.join(b, on).select(distance.alias("d"))
-    out = pairs.agg(F.count(F.lit(1)).alias("pairs"), *[F.percentile("d", F.lit(q)).alias(f"p{int(100 * q)}") for q in (0.5, 0.9)], F.max("d").alias("largest"), *[F.count_if(F.col("d") <= t).alias(f"within_{t:g}") for t in thresholds])
+    out = pairs.agg(
+        F.count(F.lit(1)).alias("pairs"),
+        *[F.percentile("d", F.lit(q)).alias(f"p{int(100 * q)}") for q in (0.5, 0.9)],
+        F.max("d").alias("largest"),
+        *[F.count_if(F.col("d") <= t).alias(f"within_{t:g}") for t in thresholds],
+    )
     return out.crossJoin(sizes.agg(F.count_if(F.col("__n") > most).alias("large_clusters")))

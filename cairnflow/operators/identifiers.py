@@ -33,7 +33,15 @@ def nearest_rank(column: str, q: float) -> Column:
 def bucket_metrics(codes: DataFrame, key: list[str]) -> DataFrame:
     """One row: rows, distinct buckets, excess, colliding rows, singletons, nearest-rank percentiles of bucket sizes."""
     b = buckets(codes, key)
-    return b.agg(F.sum("n").alias("total_rows"), F.count(F.lit(1)).alias("unique_sids"), (F.sum("n") - F.count(F.lit(1))).alias("collision_excess"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("colliding_rows"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("singletons"), *[nearest_rank("n", q).cast("long").alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.95, 0.99)], F.max("n").alias("max_size"))
+    return b.agg(
+        F.sum("n").alias("total_rows"),
+        F.count(F.lit(1)).alias("unique_sids"),
+        (F.sum("n") - F.count(F.lit(1))).alias("collision_excess"),
+        F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("colliding_rows"),
+        F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("singletons"),
+        *[nearest_rank("n", q).cast("long").alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.95, 0.99)],
+        F.max("n").alias("max_size"),
+    )
 
 
 def size_histogram(codes: DataFrame, key: list[str]) -> DataFrame:
@@ -44,10 +52,26 @@ def layer_usage(codes: DataFrame, layers: dict[str, int]) -> DataFrame:
     """By layer: used codes, utilisation of the declared codebook, entropy over ln(declared), perplexity, effective codes, top share."""
     long = codes.select(F.explode(F.array(*[F.struct(F.lit(c).alias("layer"), F.lit(k).cast("long").alias("declared"), F.col(c).alias("code")) for c, k in layers.items()])).alias("x")).groupBy("x.layer", "x.declared", "x.code").agg(F.count(F.lit(1)).alias("n"))
     x = F.col("n").cast("double")
-    agg = long.groupBy("layer", "declared").agg(F.count(F.lit(1)).alias("used"), F.sum("n").alias("rows"), F.sum(x * F.log(x)).alias("nlogn"), F.sum(x * x).alias("squares"), F.max("n").alias("top"))
+    agg = long.groupBy("layer", "declared").agg(
+        F.count(F.lit(1)).alias("used"),
+        F.sum("n").alias("rows"),
+        F.sum(x * F.log(x)).alias("nlogn"),
+        F.sum(x * x).alias("squares"),
+        F.max("n").alias("top"),
+    )
     rows = F.col("rows").cast("double")
     h = F.log(rows) - F.col("nlogn") / rows
-    return agg.select("layer", "declared", "used", (F.col("used") / F.col("declared")).alias("utilisation"), h.alias("entropy"), (h / F.log(F.col("declared").cast("double"))).alias("normalized_entropy"), F.exp(h).alias("perplexity"), (rows * rows / F.col("squares")).alias("effective_codes"), (F.col("top") / rows).alias("top_share"))
+    return agg.select(
+        "layer",
+        "declared",
+        "used",
+        (F.col("used") / F.col("declared")).alias("utilisation"),
+        h.alias("entropy"),
+        (h / F.log(F.col("declared").cast("double"))).alias("normalized_entropy"),
+        F.exp(h).alias("perplexity"),
+        (rows * rows / F.col("squares")).alias("effective_codes"),
+        (F.col("top") / rows).alias("top_share"),
+    )
 
 
 def occupancy(codes: DataFrame, column: str, declared: int) -> DataFrame:
@@ -55,16 +79,33 @@ def occupancy(codes: DataFrame, column: str, declared: int) -> DataFrame:
     n = codes.groupBy(F.col(column).cast("long").alias("code")).agg(F.count(F.lit(1)).alias("n"))
     slots = codes.sparkSession.range(declared).withColumnRenamed("id", "code").join(n, "code", "left").select("code", F.coalesce("n", F.lit(0)).alias("n"))
     ranked = slots.withColumn("i", F.row_number().over(Window.orderBy("n", "code")))  # one row a slot
-    return ranked.agg(F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("active"), (F.pow(F.sum("n"), F.lit(2)) / F.sum(F.col("n") * F.col("n"))).alias("effective_codes"), (F.sum((2 * F.col("i") - declared - 1) * F.col("n")) / (declared * F.sum("n"))).alias("gini"))
+    return ranked.agg(
+        F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("active"),
+        (F.pow(F.sum("n"), F.lit(2)) / F.sum(F.col("n") * F.col("n"))).alias("effective_codes"),
+        (F.sum((2 * F.col("i") - declared - 1) * F.col("n")) / (declared * F.sum("n"))).alias("gini"),
+    )
 
 
 def prefix_rollup(codes: DataFrame, layers: list[str], label: str) -> DataFrame:
     """By prefix depth: buckets, singletons, largest bucket, and micro and macro purity of a label."""
     per = codes.groupBy(*layers, label).agg(F.count(F.lit(1)).alias("n"))
-    levels = F.array(*[F.struct(F.lit(d).alias("depth"), F.array(*[F.col(c) if i < d else F.lit(None).cast("int") for i, c in enumerate(layers)]).alias("prefix")) for d in range(1, len(layers) + 1)])
+    levels = F.array(*[F.struct(
+        F.lit(d).alias("depth"),
+        F.array(*[F.col(c) if i < d else F.lit(None).cast("int") for i, c in enumerate(layers)]).alias("prefix"),
+    ) for d in range(1, len(layers) + 1)])
     spread = per.select(F.explode(levels).alias("x"), label, "n").groupBy("x.depth", "x.prefix", label).agg(F.sum("n").alias("n"))
-    b = spread.groupBy("depth", "prefix").agg(F.sum("n").alias("n"), F.sum(F.when(F.col(label).isNotNull(), F.col("n"))).alias("known"), F.max(F.when(F.col(label).isNotNull(), F.col("n"))).alias("top"))
-    return b.groupBy("depth").agg(F.count(F.lit(1)).alias("buckets"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("singletons"), F.max("n").alias("max_size"), (F.sum("top") / F.sum("known")).alias("micro_purity"), F.avg(F.col("top") / F.col("known")).alias("macro_purity"))
+    b = spread.groupBy("depth", "prefix").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.col(label).isNotNull(), F.col("n"))).alias("known"),
+        F.max(F.when(F.col(label).isNotNull(), F.col("n"))).alias("top"),
+    )
+    return b.groupBy("depth").agg(
+        F.count(F.lit(1)).alias("buckets"),
+        F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("singletons"),
+        F.max("n").alias("max_size"),
+        (F.sum("top") / F.sum("known")).alias("micro_purity"),
+        F.avg(F.col("top") / F.col("known")).alias("macro_purity"),
+    )
 
 
 def mutual_information(codes: DataFrame, key: list[str], label: str) -> DataFrame:
@@ -84,7 +125,14 @@ def collision_resolution(codes: DataFrame, sid: list[str], extra: list[str]) ->
     fine = codes.groupBy(*sid, *extra).agg(F.count(F.lit(1)).alias("n"))
     b = fine.groupBy(*sid).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts"))
     c = F.col("n") > 1
-    return b.agg(F.sum(F.when(c, F.col("n")).otherwise(0)).alias("colliding_rows"), F.sum(F.when(c, F.col("single")).otherwise(0)).alias("resolved_rows"), F.sum(F.when(c, 1).otherwise(0)).alias("colliding_buckets"), F.sum(F.when(c & (F.col("most") == 1), 1).otherwise(0)).alias("resolved_buckets"), F.sum(F.col("n") - 1).alias("excess_before"), F.sum(F.col("n") - F.col("parts")).alias("excess_after"))
+    return b.agg(
+        F.sum(F.when(c, F.col("n")).otherwise(0)).alias("colliding_rows"),
+        F.sum(F.when(c, F.col("single")).otherwise(0)).alias("resolved_rows"),
+        F.sum(F.when(c, 1).otherwise(0)).alias("colliding_buckets"),
+        F.sum(F.when(c & (F.col("most") == 1), 1).otherwise(0)).alias("resolved_buckets"),
+        F.sum(F.col("n") - 1).alias("excess_before"),
+        F.sum(F.col("n") - F.col("parts")).alias("excess_after"),
+    )
 
 
 def cascade(codes: DataFrame, base: list[str], steps: list[tuple[str, list[str]]]) -> DataFrame:
@@ -124,7 +172,10 @@ def peer_labels(codes: DataFrame, before: list[str], after: list[str], label: st
 
 def prefix_table(paths: DataFrame, path: str) -> DataFrame:
     """depth, prefix, next_token, rows: the children of every prefix; next_token is null where a path ends."""
-    steps = F.transform(F.sequence(F.lit(0), F.size(path)), lambda d: F.struct(d.alias("depth"), F.slice(F.col(path), F.lit(1), d).alias("prefix"), F.get(F.col(path), d).alias("next_token")))
+    steps = F.transform(
+        F.sequence(F.lit(0), F.size(path)),
+        lambda d: F.struct(d.alias("depth"), F.slice(F.col(path), F.lit(1), d).alias("prefix"), F.get(F.col(path), d).alias("next_token")),
+    )
     return paths.select(F.explode(steps).alias("x")).groupBy("x.depth", "x.prefix", "x.next_token").agg(F.count(F.lit(1)).alias("rows"))
 
 

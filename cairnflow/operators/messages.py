@@ -43,7 +43,12 @@ def collect_history(events: DataFrame, user: str, time: str, id_: str, most: int
     Of each time the last `most` events are collected once, and the `most` times before an event's own hold its history."""
     last = Window.partitionBy(user, time).orderBy(F.desc(id_))
     event = F.struct(F.col(time).alias("event_time"), F.col("query"), F.col("poi"))
-    ranked = events.where(F.col(time).isNotNull()).select(F.col(user).alias("__user"), F.col(time).alias("__time"), event.alias("e"), F.row_number().over(last).alias("r")).where(F.col("r") <= most)
+    ranked = events.where(F.col(time).isNotNull()).select(
+        F.col(user).alias("__user"),
+        F.col(time).alias("__time"),
+        event.alias("e"),
+        F.row_number().over(last).alias("r"),
+    ).where(F.col("r") <= most)
     times = ranked.groupBy("__user", "__time").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("r")).alias("r"), "e"))), lambda x: x["e"]).alias("es"))
     before = F.flatten(F.collect_list("es").over(Window.partitionBy("__user").orderBy("__time").rowsBetween(-most, -1)))
     history = times.select("__user", "__time", F.slice(before, F.greatest(F.size(before) - most + 1, F.lit(1)), F.lit(most)).alias("history"))

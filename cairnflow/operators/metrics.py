@@ -19,7 +19,12 @@ def rank_columns(rank: Column) -> list[Column]:
     """Hit@k, MRR@10 and NDCG@10 over rank rows (-1: miss); null for no rows."""
     hit = lambda k: F.avg(F.when((rank > 0) & (rank <= k), 1.0).otherwise(0.0)).alias(f"hit_at_{k}")
     inside = (rank > 0) & (rank <= 10)
-    return [F.count(F.lit(1)).alias("samples"), *[hit(k) for k in KS], F.avg(F.when(inside, 1.0 / rank).otherwise(0.0)).alias("mrr_at_10"), F.avg(F.when(inside, 1.0 / F.log2(rank + 1.0)).otherwise(0.0)).alias("ndcg_at_10")]
+    return [
+        F.count(F.lit(1)).alias("samples"),
+        *[hit(k) for k in KS],
+        F.avg(F.when(inside, 1.0 / rank).otherwise(0.0)).alias("mrr_at_10"),
+        F.avg(F.when(inside, 1.0 / F.log2(rank + 1.0)).otherwise(0.0)).alias("ndcg_at_10"),
+    ]
 
 
 def rank_metrics(ranks: DataFrame, rank: str = "target_rank") -> DataFrame:
@@ -68,7 +73,10 @@ def rerank(candidates: DataFrame, sample: str, id_: str, bucket_rank: str, score
     out = candidates
     for name, column in scores.items():
         w = Window.partitionBy(sample).orderBy(F.desc(column), id_)
-        out = out.withColumn(f"rank_{name}", F.row_number().over(w)).withColumn(f"bucket_{name}", F.row_number().over(Window.partitionBy(sample).orderBy(bucket_rank, F.desc(column), id_)))
+        out = out.withColumn(f"rank_{name}", F.row_number().over(w)).withColumn(
+            f"bucket_{name}",
+            F.row_number().over(Window.partitionBy(sample).orderBy(bucket_rank, F.desc(column), id_)),
+        )
     fused = sum((1.0 / (offset + F.col(f"rank_{n}")) for n in scores), F.lit(0.0))
     # a sum of unit fractions is compared after rounding, so that equal sums tie and ids decide
     return out.withColumn("rrf", F.round(fused, 12)).withColumn("rank_rrf", F.row_number().over(Window.partitionBy(sample).orderBy(F.desc("rrf"), id_)))
@@ -101,7 +109,14 @@ def calibrate(scores: DataFrame, probability: str, level: str, depths: tuple[int
 def safe_prefix_summary(rows: DataFrame, selected: str, level: str) -> DataFrame:
     s, v = F.col(selected), F.col(level)
     rate = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    return rows.agg(F.count(F.lit(1)).alias("samples"), rate(s > 0).alias("retention"), rate((s > 0) & (v < s)).alias("unsafe"), rate((s >= 3) & (v >= s)).alias("useful"), rate((s >= 4) & (v >= s)).alias("strong"), F.avg(s.cast("double")).alias("mean_depth"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("samples"),
+        rate(s > 0).alias("retention"),
+        rate((s > 0) & (v < s)).alias("unsafe"),
+        rate((s >= 3) & (v >= s)).alias("useful"),
+        rate((s >= 4) & (v >= s)).alias("strong"),
+        F.avg(s.cast("double")).alias("mean_depth"),
+    )
 
 
 def beam_state(gold: str, steps: str, sid_depths: list[int], final_rank: str) -> tuple[Column, Column]:
@@ -111,7 +126,10 @@ def beam_state(gold: str, steps: str, sid_depths: list[int], final_rank: str) ->
     gone = F.filter(F.sequence(F.lit(1), F.size(steps)), lambda d: ~F.array_contains(F.element_at(F.col(steps), d), F.slice(F.col(gold), F.lit(1), d)))
     first = F.array_min(gone)
     low, high = min(sid_depths), max(sid_depths)
-    state = F.when(first < low, "pruned_before_sid").when((first >= low) & (first <= high), F.concat(F.lit("pruned_at_"), first.cast("string"))).when(F.col(final_rank) == 1, "hit@1").when(F.col(final_rank) <= 10, "hit@10_not@1").otherwise("miss_after_sid")
+    state = F.when(first < low, "pruned_before_sid").when(
+        (first >= low) & (first <= high),
+        F.concat(F.lit("pruned_at_"), first.cast("string")),
+    ).when(F.col(final_rank) == 1, "hit@1").when(F.col(final_rank) <= 10, "hit@10_not@1").otherwise("miss_after_sid")
     return first, state
 
 
@@ -125,7 +143,12 @@ def teacher_forcing(rows: DataFrame, sample: str, position: str, top1: str, top1
     """By position: means, and the share of samples with every position so far right; first failures as the drop of that share."""
     w = Window.partitionBy(sample).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     run = rows.withColumn("__all", F.min(F.col(top1).cast("int")).over(w))
-    per = run.groupBy(position).agg(F.avg(F.col(top1).cast("double")).alias("top1"), F.avg(F.col(top10).cast("double")).alias("top10"), F.avg(nll).alias("nll"), F.avg(F.col("__all").cast("double")).alias("survival"))
+    per = run.groupBy(position).agg(
+        F.avg(F.col(top1).cast("double")).alias("top1"),
+        F.avg(F.col(top10).cast("double")).alias("top10"),
+        F.avg(nll).alias("nll"),
+        F.avg(F.col("__all").cast("double")).alias("survival"),
+    )
     return per.withColumn("first_failure", F.coalesce(F.lag("survival").over(Window.orderBy(position)), F.lit(1.0)) - F.col("survival"))
 
 

@@ -165,7 +165,12 @@ def _nearest(rows: DataFrame, points: DataFrame, k: int, within: list[str]) -> D
         metres = geo.haversine(F.col("lng"), F.col("lat"), F.col("lng2"), F.col("lat2"))
         # within one cell's width everything has been met; a degree of longitude shrinks towards the poles
         sure = 110_000.0 * size * F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + 2 * size)))
-        best = top_per(met.select(F.col("id").cast("long").alias("id"), F.col("other").cast("long").alias("other"), metres.alias("metres"), (metres <= sure).alias("sure")), "id", [F.col("metres"), F.col("other")], k)
+        best = top_per(
+            met.select(F.col("id").cast("long").alias("id"), F.col("other").cast("long").alias("other"), metres.alias("metres"), (metres <= sure).alias("sure")),
+            "id",
+            [F.col("metres"), F.col("other")],
+            k,
+        )
         best = cut(best)
         last = size >= whole
         done = best.select("id") if last else best.groupBy("id").agg(F.count_if("sure").alias("c")).where(F.col("c") >= k).select("id")
@@ -186,10 +191,22 @@ def merge_sources(sources: list[tuple[str, DataFrame, int]]) -> DataFrame:
     live = [(i, n, f, b) for i, (n, f, b) in enumerate(sources) if b > 0]
     all_ = reduce(DataFrame.unionByName, [f.select("row", "candidate", "rank", F.lit(i).alias("p"), F.lit(n).alias("source"), F.lit(b).alias("budget")) for i, n, f, b in live])
     own = all_.withColumn("d", F.row_number().over(Window.partitionBy("row", "candidate").orderBy("p", "rank"))).where("d = 1")
-    return own.withColumn("position", F.row_number().over(Window.partitionBy("row", "p").orderBy("rank", "candidate"))).where("position <= budget").select("row", "candidate", "source", "position")
-
-
-def hard_graph(rows: DataFrame, block: list[str], score: Score, threshold: float, k: int, protect: tuple[str, ...] = (), protected: DataFrame | None = None, block_rows: int = 1024) -> DataFrame:
+    return own.withColumn(
+        "position",
+        F.row_number().over(Window.partitionBy("row", "p").orderBy("rank", "candidate")),
+    ).where("position <= budget").select("row", "candidate", "source", "position")
+
+
+def hard_graph(
+    rows: DataFrame,
+    block: list[str],
+    score: Score,
+    threshold: float,
+    k: int,
+    protect: tuple[str, ...] = (),
+    protected: DataFrame | None = None,
+    block_rows: int = 1024,
+) -> DataFrame:
     """row, neighbor, score, rank: rows of one block that score at least the threshold (1e-12 slack), best k a row.
 
     score takes two pandas frames of rows and returns the matrix of their scores. Pairs that agree in all columns of protect,

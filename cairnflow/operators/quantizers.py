@@ -78,7 +78,16 @@ def update_dual(rows: DataFrame, code: str, content: str, query: str, content_bo
     return out[0], out[1]
 
 
-def fit_dual(frame: DataFrame, content: str, query: str, content_book: Book, query_book: Book, weight: float, iterations: int = 20, tolerance: float = 1e-9) -> tuple[Book, Book, list[dict]]:
+def fit_dual(
+    frame: DataFrame,
+    content: str,
+    query: str,
+    content_book: Book,
+    query_book: Book,
+    weight: float,
+    iterations: int = 20,
+    tolerance: float = 1e-9,
+) -> tuple[Book, Book, list[dict]]:
     """Lloyd rounds of assign_dual() and update_dual() until the objective no longer falls; the trace has one entry a round."""
     trace: list[dict] = []
     for i in range(1, iterations + 1):
@@ -105,7 +114,18 @@ def votes(edges: DataFrame, labels: DataFrame, node: str, neighbour: str) -> Dat
     return per.groupBy(node).agg(F.map_from_entries(F.collect_list(F.struct("code", "w"))).alias("vote"), F.sum("w").alias("total"))
 
 
-def assign_coupled(frame: DataFrame, id_: str, vector: str, book: Book, voted: DataFrame, content_weight: float, graph_weight: float, category: str | None = None, costs: DataFrame | None = None, category_weight: float = 0.0) -> DataFrame:
+def assign_coupled(
+    frame: DataFrame,
+    id_: str,
+    vector: str,
+    book: Book,
+    voted: DataFrame,
+    content_weight: float,
+    graph_weight: float,
+    category: str | None = None,
+    costs: DataFrame | None = None,
+    category_weight: float = 0.0,
+) -> DataFrame:
     """frame with code and distance: least content_weight * (1 - cosine) + graph_weight * (votes for other codes) + category_weight *
     cost of the row's category in the code; ties go to the smaller code.
 

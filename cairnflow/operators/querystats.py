@@ -34,11 +34,26 @@ def distribution(counts: DataFrame, key: list[str], item: str, n: str = "n") ->
     """By key: total, distinct items, the dominant one (count desc, id asc), its share, entropy in nats, and that over
     ln(distinct) (0 for one item). One aggregation: sum n*ln(n) gives the entropy without knowing the total first."""
     x = F.col(n).cast("double")
-    out = counts.groupBy(*key).agg(F.sum(n).alias("total"), F.count(F.lit(1)).alias("distinct_count"), F.max(F.struct(F.col(n).alias("c"))).alias("m"), F.min_by(item, F.struct(-F.col(n), F.col(item))).alias("dominant_id"), F.sum(x * F.log(x)).alias("nlogn"))
+    out = counts.groupBy(*key).agg(
+        F.sum(n).alias("total"),
+        F.count(F.lit(1)).alias("distinct_count"),
+        F.max(F.struct(F.col(n).alias("c"))).alias("m"),
+        F.min_by(item, F.struct(-F.col(n), F.col(item))).alias("dominant_id"),
+        F.sum(x * F.log(x)).alias("nlogn"),
+    )
     total = F.col("total").cast("double")
     entropy = F.greatest(F.lit(0.0), F.log(total) - F.col("nlogn") / total)
     k = F.col("distinct_count")
-    return out.select(*key, "total", "distinct_count", "dominant_id", F.col("m.c").alias("dominant_count"), (F.col("m.c") / total).alias("concentration"), F.when(k > 1, entropy).otherwise(0.0).alias("entropy"), F.when(k > 1, entropy / F.log(k.cast("double"))).otherwise(0.0).alias("normalized_entropy"))
+    return out.select(
+        *key,
+        "total",
+        "distinct_count",
+        "dominant_id",
+        F.col("m.c").alias("dominant_count"),
+        (F.col("m.c") / total).alias("concentration"),
+        F.when(k > 1, entropy).otherwise(0.0).alias("entropy"),
+        F.when(k > 1, entropy / F.log(k.cast("double"))).otherwise(0.0).alias("normalized_entropy"),
+    )
 
 
 def query_profile(pairs: DataFrame, rule: ProfileRule = ProfileRule()) -> DataFrame:
@@ -74,7 +89,15 @@ def pair_shares(pairs: DataFrame, profile: DataFrame) -> DataFrame:
     both = pairs.join(profile.select("query", "query_count", "top1_poi_id", "is_high_confidence", "sid_weight"), "query")
     top = F.col("poi") == F.col("top1_poi_id")
     keep = top & F.col("is_high_confidence")
-    return both.select("query", "poi", "n", (F.col("n") / F.col("query_count")).alias("pair_share"), top.alias("is_top1"), keep.alias("retained_for_sid"), F.when(keep, F.col("sid_weight")).otherwise(0.0).alias("sid_weight"))
+    return both.select(
+        "query",
+        "poi",
+        "n",
+        (F.col("n") / F.col("query_count")).alias("pair_share"),
+        top.alias("is_top1"),
+        keep.alias("retained_for_sid"),
+        F.when(keep, F.col("sid_weight")).otherwise(0.0).alias("sid_weight"),
+    )
 
 
 def false_negative_mask(pairs: DataFrame, rule: ProfileRule = ProfileRule()) -> DataFrame:
@@ -128,7 +151,12 @@ def temporal_cutoff(log: DataFrame, time: str, ratio: float) -> DataFrame:
     run = per.withColumn("cum", F.sum("n").over(Window.orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)))  # one row a minute
     goal = F.floor(F.sum("n").over(Window.partitionBy()) * F.lit(ratio) + 0.5)
     first = run.withColumn("goal", goal).where(F.col("cum") >= F.col("goal"))
-    return first.groupBy("goal").agg(F.min(F.struct("minute", "cum", "n")).alias("s")).select(F.col("s.minute").alias("cutoff_minute"), F.col("goal").cast("long").alias("goal"), F.col("s.cum").alias("cumulative"), F.col("s.n").alias("minute_rows"))
+    return first.groupBy("goal").agg(F.min(F.struct("minute", "cum", "n")).alias("s")).select(
+        F.col("s.minute").alias("cutoff_minute"),
+        F.col("goal").cast("long").alias("goal"),
+        F.col("s.cum").alias("cumulative"),
+        F.col("s.n").alias("minute_rows"),
+    )
 
 
 def subtract_holdout(full: DataFrame, held: DataFrame) -> DataFrame:

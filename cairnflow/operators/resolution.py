@@ -106,7 +106,11 @@ def rerank_report(ranked: DataFrame, sample: str, id_: str, target: str, slices:
     per = ranked.groupBy(sample).agg(*hits, *[F.max(c.cast("int")).alias(f"in_{n}") for n, c in slices.items()])
     names = F.array(*[F.when(F.col(f"in_{n}") == 1, F.lit(n)) for n in slices], F.lit("all"))
     long = _long(per, names)
-    return long.groupBy("variant", "slice").agg(F.count(F.lit(1)).alias("samples"), F.avg(F.col("r").isNotNull().cast("double")).alias("pool_recall"), *[F.avg(F.coalesce((F.col("r") <= k).cast("double"), F.lit(0.0))).alias(f"hr_at_{k}") for k in ks])
+    return long.groupBy("variant", "slice").agg(
+        F.count(F.lit(1)).alias("samples"),
+        F.avg(F.col("r").isNotNull().cast("double")).alias("pool_recall"),
+        *[F.avg(F.coalesce((F.col("r") <= k).cast("double"), F.lit(0.0))).alias(f"hr_at_{k}") for k in ks],
+    )
 
 
 def _long(per: DataFrame, names: Column) -> DataFrame:
@@ -138,7 +142,13 @@ def trace_faults(candidates: DataFrame, stored: DataFrame, sample: str, beam: st
     first = ok.groupBy(sample, bucket).agg(F.min(beam).alias("first"), F.max(right_bucket.cast("int")).alias("right"))
     goal = first.where("right = 1").groupBy(sample).agg(F.min("first").alias("goal"))
     unique = first.join(goal, sample).groupBy(sample).agg(F.first("goal").alias("raw"), F.count_if(F.col("first") <= F.col("goal")).alias("unique"))
-    per = candidates.groupBy(sample).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(beam).alias("d"), F.min(beam).alias("low"), F.max(beam).alias("high"), F.min(F.when(correct, F.col(beam))).alias("exact"))
+    per = candidates.groupBy(sample).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct(beam).alias("d"),
+        F.min(beam).alias("low"),
+        F.max(beam).alias("high"),
+        F.min(F.when(correct, F.col(beam))).alias("exact"),
+    )
     both = per.join(unique, sample, "left").join(stored, sample, "left")
     contiguous = (F.col("n") == width) & (F.col("d") == width) & (F.col("low") == 1) & (F.col("high") == width)
     wrong = {"beams": ~contiguous} | {n: ~F.col(f"{n}_rank").eqNullSafe(F.col(n)) for n in ("exact", "raw", "unique")}

@@ -52,14 +52,28 @@ def supervise(pairs: DataFrame, categories: DataFrame, profile: DataFrame) -> Da
     out = profile
     for side in ("fine", "coarse"):
         d = distribution(named.groupBy("query", side).agg(F.sum("n").alias("n")), ["query"], side)
-        out = out.join(d.select("query", F.col("dominant_id").alias(f"dominant_{side}"), F.col("concentration").alias(f"{side}_concentration"), F.col("normalized_entropy").alias(f"{side}_entropy")), "query")
+        out = out.join(
+            d.select(
+                "query",
+                F.col("dominant_id").alias(f"dominant_{side}"),
+                F.col("concentration").alias(f"{side}_concentration"),
+                F.col("normalized_entropy").alias(f"{side}_entropy"),
+            ),
+            "query",
+        )
     s = support(F.col("query_count"))
-    return out.withColumn("supervision_depth", depth()).withColumn("support_score", s).withColumn("s1_reliability", reliability(s, F.col("coarse_concentration"), F.col("coarse_entropy"))).withColumn("s2_reliability", reliability(s, F.col("fine_concentration"), F.col("fine_entropy"))).withColumn("s3_reliability", reliability(s, F.col("top1_share"), F.col("normalized_entropy")))
+    return out.withColumn("supervision_depth", depth()).withColumn("support_score", s).withColumn(
+        "s1_reliability",
+        reliability(s, F.col("coarse_concentration"), F.col("coarse_entropy")),
+    ).withColumn("s2_reliability", reliability(s, F.col("fine_concentration"), F.col("fine_entropy"))).withColumn("s3_reliability", reliability(s, F.col("top1_share"), F.col("normalized_entropy")))
 
 
 def layer_edges(pairs: DataFrame, categories: DataFrame, supervised: DataFrame) -> DataFrame:
     """query, poi, layer, edge_probability, query_reliability, edge_weight of the pairs that each query's depth keeps."""
-    named = pairs.join(categories, "poi").join(supervised.select("query", "supervision_depth", "top1_poi_id", "dominant_fine", "dominant_coarse", "s1_reliability", "s2_reliability", "s3_reliability"), "query")
+    named = pairs.join(categories, "poi").join(
+        supervised.select("query", "supervision_depth", "top1_poi_id", "dominant_fine", "dominant_coarse", "s1_reliability", "s2_reliability", "s3_reliability"),
+        "query",
+    )
     d = F.col("supervision_depth")
     keep = ((d == 3) & (F.col("poi") == F.col("top1_poi_id"))) | ((d == 2) & (F.col("fine") == F.col("dominant_fine"))) | ((d == 1) & (F.col("coarse") == F.col("dominant_coarse")))
     kept = named.where(keep)
@@ -67,7 +81,18 @@ def layer_edges(pairs: DataFrame, categories: DataFrame, supervised: DataFrame)
     out = kept.join(total, "query").withColumn("layer", F.explode(F.sequence(F.lit(1), d)))
     share = F.col("n") / F.col("kept")
     own = F.element_at(F.array("s1_reliability", "s2_reliability", "s3_reliability"), F.col("layer"))
-    return out.select("query", "poi", "n", "supervision_depth", "layer", "fine", "coarse", share.alias("edge_probability"), own.alias("query_reliability"), (share * own).alias("edge_weight"))
+    return out.select(
+        "query",
+        "poi",
+        "n",
+        "supervision_depth",
+        "layer",
+        "fine",
+        "coarse",
+        share.alias("edge_probability"),
+        own.alias("query_reliability"),
+        (share * own).alias("edge_weight"),
+    )
 
 
 def sensitivity(supervised: DataFrame) -> DataFrame:

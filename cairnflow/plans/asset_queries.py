@@ -39,7 +39,10 @@ def clustering_faults(spark, sf):
     e = table(spark, sf, "embeddings")
     x, k = F.col("embedding").cast("array<double>"), F.col("vec_id") % 50
     zero = F.transform(x, lambda v: F.lit(0.0))
-    v = e.where(k != 4).select("vec_id", F.when(k == 1, F.slice(x, 1, 63)).when(k == 2, zero).when(k == 3, F.concat(F.slice(x, 1, 63), F.array(F.lit(float("nan"))))).otherwise(x).alias("x"))
+    v = e.where(k != 4).select(
+        "vec_id",
+        F.when(k == 1, F.slice(x, 1, 63)).when(k == 2, zero).when(k == 3, F.concat(F.slice(x, 1, 63), F.array(F.lit(float("nan"))))).otherwise(x).alias("x"),
+    )
     return assets.faults_of(v, e.where(k != 5).select("vec_id"), "vec_id", "x", 64)
 
 
@@ -87,7 +90,13 @@ def rotated_segments(spark, sf):
 def token_forms(spark, sf):
     c = codes(spark, sf)
     business = hashing.business_key(F.concat(F.lit("o"), F.col("vec_id").cast("string")), F.concat(F.lit("s"), F.col("s1").cast("string")))
-    return c.select("vec_id", tokens.common_prefix(F.array("s1", "s2", "s3"), F.array("s2", "s3", "t3")).alias("common"), assets.prefix_length(F.col("s1")).alias("kept"), tokens.collision_content(F.array("s1", "s2", "s3", "t3")).alias("content"), F.sha2(business, 256).alias("business"))
+    return c.select(
+        "vec_id",
+        tokens.common_prefix(F.array("s1", "s2", "s3"), F.array("s2", "s3", "t3")).alias("common"),
+        assets.prefix_length(F.col("s1")).alias("kept"),
+        tokens.collision_content(F.array("s1", "s2", "s3", "t3")).alias("content"),
+        F.sha2(business, 256).alias("business"),
+    )
 
 
 @query("""SELECT doc_id, md5(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s', '', 'g')) AS folded, round(0.2 + 0.6 / (1 + pow((1 + doc_id % 9) / 4.0,
@@ -165,10 +174,19 @@ def paired_codebooks(spark, sf):
 FROM lineitem) SELECT l_orderkey, string_agg(l_partkey || '-s' || l_partkey % 3, ','
 ORDER BY r) AS first, string_agg('s' || l_partkey % 3 || '-' || l_partkey, ',' ORDER BY r) AS second FROM o GROUP BY 1""")
 def both_token_orders(spark, sf):
-    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda s: s["l_partkey"]).alias("ids"))
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))),
+        lambda s: s["l_partkey"],
+    ).alias("ids"))
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("old"))
     s = F.concat(F.lit("s"), (F.col("old") % 3).cast("string"))
-    out = assets.both_orders(rows, p.withColumn("new", F.concat(F.col("old").cast("string"), F.lit("-"), s)), p.withColumn("new", F.concat(s, F.lit("-"), F.col("old").cast("string"))), "l_orderkey", "ids")
+    out = assets.both_orders(
+        rows,
+        p.withColumn("new", F.concat(F.col("old").cast("string"), F.lit("-"), s)),
+        p.withColumn("new", F.concat(s, F.lit("-"), F.col("old").cast("string"))),
+        "l_orderkey",
+        "ids",
+    )
     return out.select("l_orderkey", F.array_join("first", ",").alias("first"), F.array_join("second", ",").alias("second"))
 
 

@@ -41,7 +41,12 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     k = F.when(F.col("l_suppkey") % 10 < 7, 0).otherwise(F.col("l_suppkey") % (1 + F.col("l_partkey") % 7))
     poi = k * 13 + F.col("l_partkey") % 11
-    return li.select(F.concat(F.lit("q"), F.col("l_partkey").cast("string")).alias("query"), F.concat(F.lit("p"), poi.cast("string")).alias("poi"), F.concat(F.lit("Q"), F.col("l_partkey").cast("string"), F.col("l_returnflag")).alias("raw"), F.col("l_shipdate").alias("ts"))
+    return li.select(
+        F.concat(F.lit("q"), F.col("l_partkey").cast("string")).alias("query"),
+        F.concat(F.lit("p"), poi.cast("string")).alias("poi"),
+        F.concat(F.lit("Q"), F.col("l_partkey").cast("string"), F.col("l_returnflag")).alias("raw"),
+        F.col("l_shipdate").alias("ts"),
+    )
 
 
 LOG = """log AS (SELECT 'q' || l_partkey AS query, 'p' || ((CASE WHEN l_suppkey % 10 < 7 THEN 0 ELSE l_suppkey % (1 + l_partkey % 7) END) * 13 + l_partkey % 11) AS poi, 'Q' || l_partkey || l_returnflag AS raw, l_shipdate AS ts FROM lineitem)"""

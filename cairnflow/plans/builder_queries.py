@@ -186,8 +186,15 @@ def active_features(spark, sf):
 @query(f"""WITH u AS (SELECT o_custkey AS id, list_sort(list(DISTINCT {_bucket_sql('o_orderkey::VARCHAR', 50)})) AS v, count(*) FILTER (o_orderstatus = 'F') AS f
 FROM orders GROUP BY 1) SELECT id, array_to_string(v, ',') AS visitors FROM u""")
 def prepared_features(spark, sf):
-    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set("o_orderkey").alias("v"), F.collect_set(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("f"))
-    empty = table(spark, sf, "customer").where("c_custkey < 5").select((-F.col("c_custkey") - 1).alias("id"), F.array().cast("array<bigint>").alias("v"), F.array().cast("array<bigint>").alias("f"))
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(
+        F.collect_set("o_orderkey").alias("v"),
+        F.collect_set(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("f"),
+    )
+    empty = table(spark, sf, "customer").where("c_custkey < 5").select(
+        (-F.col("c_custkey") - 1).alias("id"),
+        F.array().cast("array<bigint>").alias("v"),
+        F.array().cast("array<bigint>").alias("f"),
+    )
     out = bd.prepared_features(o.unionByName(empty), "v", ["f"], 50)
     return out.select("id", F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("visitors"))
 
@@ -237,7 +244,16 @@ def proxied(spark, sf):
     n = neighbours(spark, sf, 12)
     goal = n.where("rank = 3").select("query_id", F.col("id").alias("target"))
     i = F.col("id")
-    return n.join(goal, "query_id").select("query_id", "id", F.round("score", 6).alias("score"), (i % 7 - 3).alias("net"), (i % 3).alias("plain"), (i % 5 == 0).alias("complete"), (i % 11).alias("orders"), "target")
+    return n.join(goal, "query_id").select(
+        "query_id",
+        "id",
+        F.round("score", 6).alias("score"),
+        (i % 7 - 3).alias("net"),
+        (i % 3).alias("plain"),
+        (i % 5 == 0).alias("complete"),
+        (i % 11).alias("orders"),
+        "target",
+    )
 
 
 def _proxy_sql(order: str) -> str:
@@ -286,7 +302,16 @@ def reranked(spark, sf):
 
     x = expand_buckets(ranked_buckets(spark, sf), codes(spark, sf), ["s1", "s2", "s3"])
     i, s = F.col("vec_id"), F.col("sample")
-    x = x.select("sample", "bucket_order", i.alias("id"), ((i * 13) % 17).alias("lexical"), ((i * 7 + s) % 29).alias("semantic"), ((i * 37) % 101).alias("popularity"), ((s * 3) % 500).alias("target"), "s1")
+    x = x.select(
+        "sample",
+        "bucket_order",
+        i.alias("id"),
+        ((i * 13) % 17).alias("lexical"),
+        ((i * 7 + s) % 29).alias("semantic"),
+        ((i * 37) % 101).alias("popularity"),
+        ((s * 3) % 500).alias("target"),
+        "s1",
+    )
     return rs.rank_variants(x, "sample", "id", "bucket_order", "lexical", "semantic", "popularity")
 
 

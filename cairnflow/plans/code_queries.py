@@ -82,7 +82,12 @@ SELECT vec_id, nullif(code, -1) AS dedup_code, s1 || '-' || s2 || '-' || s3 || C
 '<S1_' || s1 || '><S2_' || s2 || '><S3_' || s3 || '>' || CASE WHEN code >= 0 THEN '<D_' || code || '>' ELSE '' END AS content FROM d""")
 def dedup_code(spark, sf):
     out = ids.bucket_code(codes(spark, sf), S, F.col("vec_id").cast("string"), -1)
-    return out.select("vec_id", F.nullif(F.col("code"), F.lit(-1)).alias("dedup_code"), tokens.identifier_key(F.array(*S), F.col("code")).alias("identifier_key"), tokens.identifier_content(F.array(*S), F.col("code")).alias("content"))
+    return out.select(
+        "vec_id",
+        F.nullif(F.col("code"), F.lit(-1)).alias("dedup_code"),
+        tokens.identifier_key(F.array(*S), F.col("code")).alias("identifier_key"),
+        tokens.identifier_content(F.array(*S), F.col("code")).alias("content"),
+    )
 
 
 @query(f"WITH {CODES} SELECT vec_id, CAST(s1 * 64 + s2 * 8 + s3 AS BIGINT) AS packed, dense_rank() OVER (ORDER BY s1, s2) - 1 AS parent FROM codes")

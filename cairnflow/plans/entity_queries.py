@@ -137,7 +137,13 @@ SELECT id, CASE WHEN building < 0 AND child_number >= 0 AND regexp_full_match(ch
 )
 def tree_relation_values(spark, sf):
     p, k, z = table(spark, sf, "part"), F.col("p_partkey"), F.col("p_size")
-    m = p.select(k.alias("id"), F.when(k % 3 == 0, 7).otherwise(-1).alias("building"), (z % 20 - 1).alias("child_number"), (z % 5).alias("unit"), F.concat(z.cast("string"), F.when(k % 2 == 0, "号楼").otherwise("室")).alias("child"))
+    m = p.select(
+        k.alias("id"),
+        F.when(k % 3 == 0, 7).otherwise(-1).alias("building"),
+        (z % 20 - 1).alias("child_number"),
+        (z % 5).alias("unit"),
+        F.concat(z.cast("string"), F.when(k % 2 == 0, "号楼").otherwise("室")).alias("child"),
+    )
     return en.tree_values(m, "id", ["building", "unit"], "building", "child_number", "child")
 
 

@@ -74,7 +74,13 @@ def token_observations(spark, sf):
 def logits(spark, sf):
     long = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "x"))
     pos = F.col("p") + 1
-    return long.select("vec_id", pos.cast("int").alias("token"), F.round(F.col("x").cast("double"), 3).alias("logit"), (pos == 1 + F.col("vec_id") % 64).alias("hit"), ((pos + F.col("vec_id")) % 3 != 0).alias("legal"))
+    return long.select(
+        "vec_id",
+        pos.cast("int").alias("token"),
+        F.round(F.col("x").cast("double"), 3).alias("logit"),
+        (pos == 1 + F.col("vec_id") % 64).alias("hit"),
+        ((pos + F.col("vec_id")) % 3 != 0).alias("legal"),
+    )
 
 
 @query(
@@ -94,7 +100,13 @@ SELECT stage, samples, round(nll, 9) AS nll, round(mass, 9) AS mass, round(survi
 round(coalesce(lag(survival) OVER (ORDER BY stage), 1.0) - survival, 9) AS first_failure FROM p"""
 )
 def stage_diagnostics(spark, sf):
-    r = table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("stage"), F.col("l_linenumber").alias("o"), (F.col("l_quantity") > 10).alias("ok"), F.col("l_discount").alias("nll"), F.col("l_tax").alias("mass"))
+    r = table(spark, sf, "lineitem").select(
+        F.col("l_linenumber").alias("stage"),
+        F.col("l_linenumber").alias("o"),
+        (F.col("l_quantity") > 10).alias("ok"),
+        F.col("l_discount").alias("nll"),
+        F.col("l_tax").alias("mass"),
+    )
     return rounded(ev.stage_rollup(r, "stage", "o", ["nll", "mass"], "ok"))
 
 
@@ -223,9 +235,21 @@ SELECT lang, count(*) AS rows, round(avg(n), 6) AS mean_length, round(quantile_c
 round(avg(CASE WHEN hot THEN 1.0 ELSE 0.0 END), 9) AS hot, round(avg(third::INTEGER), 9) AS third, count(err) AS errors FROM d GROUP BY ROLLUP (lang)"""
 )
 def case_summary(spark, sf):
-    d = table(spark, sf, "documents").where("lang is not null").select("lang", F.length(F.coalesce("text", F.lit(""))).alias("n"), (F.col("source") == "src0").alias("hot"), (F.col("doc_id") % 3 == 0).alias("third"), F.when(F.col("doc_id") % 5 == 0, "e").alias("err"))
+    d = table(spark, sf, "documents").where("lang is not null").select(
+        "lang",
+        F.length(F.coalesce("text", F.lit(""))).alias("n"),
+        (F.col("source") == "src0").alias("hot"),
+        (F.col("doc_id") % 3 == 0).alias("third"),
+        F.when(F.col("doc_id") % 5 == 0, "e").alias("err"),
+    )
     out = ev.case_summary(d, "lang", "n", ["hot", "third"], "err")
-    return out.select("lang", "rows", *[F.round(c, 6).alias(c) for c in ("mean_length", "p25_length", "p50_length", "p75_length")], *[F.round(c, 9).alias(c) for c in ("hot", "third")], "errors")
+    return out.select(
+        "lang",
+        "rows",
+        *[F.round(c, 6).alias(c) for c in ("mean_length", "p25_length", "p50_length", "p75_length")],
+        *[F.round(c, 9).alias(c) for c in ("hot", "third")],
+        "errors",
+    )
 
 
 @query(f"""WITH {CODES} SELECT count(*) AS rows, round(avg((s1 = s1)::INTEGER), 9) AS same_s1, round(avg((s2 = s3)::INTEGER), 9) AS same_s2,
@@ -258,7 +282,13 @@ def prefix_mass(spark, sf):
     p = pairs_of(spark, sf).withColumn("a", F.substring("poi", 2, 20).cast("long") % 6)
     sizes = p.select("poi", "a").distinct().groupBy("a").agg(F.count(F.lit(1)).alias("size"))
     out = ev.prefix_mass(p, "query", ["a"], "n", sizes, "size")
-    return out.select("query", "prefixes", F.round("top_share", 9).alias("top_share"), F.round("entropy_bits", 6).alias("entropy_bits"), F.round("expected_bucket", 9).alias("expected_bucket"))
+    return out.select(
+        "query",
+        "prefixes",
+        F.round("top_share", 9).alias("top_share"),
+        F.round("entropy_bits", 6).alias("entropy_bits"),
+        F.round("expected_bucket", 9).alias("expected_bucket"),
+    )
 
 
 @query(f"""WITH {CODES}, n AS (SELECT r.range AS code, count(s1) AS n FROM range(10) r LEFT JOIN codes ON s1 = r.range GROUP BY 1)

@@ -7,7 +7,20 @@ from pyspark.sql import functions as F
 from cairnflow.operators import catalog, querystats, sampling, supervision
 from cairnflow.plans.base import CATEGORIES, EDGES, LOG, PAIRS, PROFILE, SUPERVISED, categories, log, query, rounded, table
 
-PROFILE_COLUMNS = ["query", "query_count", "distinct_poi_count", "top1_poi_id", "top1_count", "top1_share", "top2_share", "margin", "entropy", "normalized_entropy", "is_high_confidence", "sid_weight"]
+PROFILE_COLUMNS = [
+    "query",
+    "query_count",
+    "distinct_poi_count",
+    "top1_poi_id",
+    "top1_count",
+    "top1_share",
+    "top2_share",
+    "margin",
+    "entropy",
+    "normalized_entropy",
+    "is_high_confidence",
+    "sid_weight",
+]
 
 
 def sql_rounded(columns: list[str], doubles: set[str]) -> str:
@@ -86,7 +99,20 @@ def early_pairs(spark, sf):
     return querystats.subtract_holdout(querystats.pair_counts(rows), querystats.pair_counts(rows.where("ts >= timestamp'2000-01-01'")))
 
 
-SUP_COLUMNS = ["query", "supervision_depth", "dominant_fine", "dominant_coarse", "fine_concentration", "fine_entropy", "coarse_concentration", "coarse_entropy", "support_score", "s1_reliability", "s2_reliability", "s3_reliability"]
+SUP_COLUMNS = [
+    "query",
+    "supervision_depth",
+    "dominant_fine",
+    "dominant_coarse",
+    "fine_concentration",
+    "fine_entropy",
+    "coarse_concentration",
+    "coarse_entropy",
+    "support_score",
+    "s1_reliability",
+    "s2_reliability",
+    "s3_reliability",
+]
 
 
 @query(f"WITH {SUPERVISED} SELECT {sql_rounded(SUP_COLUMNS, set(SUP_COLUMNS[4:]))} FROM sup")

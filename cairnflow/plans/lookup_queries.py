@@ -201,9 +201,15 @@ SELECT l_orderkey, CASE WHEN count(*) = count(new) THEN 'seen ' || string_agg('<
 FROM l LEFT JOIN m ON m.old = l.p GROUP BY l_orderkey"""
 )
 def rewritten_ids(spark, sf):
-    li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda s: F.concat(F.lit("<P>"), s["l_partkey"].cast("string"), F.lit("</P>"))).alias("ids"))
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))),
+        lambda s: F.concat(F.lit("<P>"), s["l_partkey"].cast("string"), F.lit("</P>")),
+    ).alias("ids"))
     rows = li.select("l_orderkey", F.concat(F.lit("seen "), F.array_join("ids", " then "), F.lit(" end")).alias("content"))
-    mapping = table(spark, sf, "part").where("p_partkey % 50 != 0").select(F.col("p_partkey").cast("string").alias("old"), F.concat(F.lit("n"), (F.col("p_partkey") * 7 % 1000).cast("string")).alias("new"))
+    mapping = table(spark, sf, "part").where("p_partkey % 50 != 0").select(
+        F.col("p_partkey").cast("string").alias("old"),
+        F.concat(F.lit("n"), (F.col("p_partkey") * 7 % 1000).cast("string")).alias("new"),
+    )
     return lookups.rewritten(rows, "l_orderkey", "content", "<P>([0-9]+)</P>", mapping)
 
 

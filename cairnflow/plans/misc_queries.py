@@ -29,7 +29,15 @@ CAST(1 AS BIGINT) AS unique_rank FROM c)"""
 def traced(spark, sf):
     n = neighbours(spark, sf, 8).where(~((F.col("query_id") % 60 == 0) & (F.col("rank") == 5)))
     s = F.col("query_id")
-    return n.select(s.alias("sample"), F.col("rank").alias("beam"), "id", F.col("label").alias("bucket"), (F.col("id") == s * 7 % 500).alias("correct"), (F.col("label") == F.col("query_label")).alias("hit"), (F.col("label") != 3).alias("fine"))
+    return n.select(
+        s.alias("sample"),
+        F.col("rank").alias("beam"),
+        "id",
+        F.col("label").alias("bucket"),
+        (F.col("id") == s * 7 % 500).alias("correct"),
+        (F.col("label") == F.col("query_label")).alias("hit"),
+        (F.col("label") != 3).alias("fine"),
+    )
 
 
 @query(
@@ -41,7 +49,12 @@ UNION ALL SELECT sample, 'raw' FROM j WHERE raw IS DISTINCT FROM raw_rank UNION
 def trace_faults(spark, sf):
     c = traced(spark, sf)
     s = F.col("sample")
-    stored = c.select("sample").distinct().select("sample", F.when(s % 100 == 20, 1).alias("exact_rank"), F.when(s % 40 != 0, 1).otherwise(2).alias("raw_rank"), F.lit(1).cast("long").alias("unique_rank"))
+    stored = c.select("sample").distinct().select(
+        "sample",
+        F.when(s % 100 == 20, 1).alias("exact_rank"),
+        F.when(s % 40 != 0, 1).otherwise(2).alias("raw_rank"),
+        F.lit(1).cast("long").alias("unique_rank"),
+    )
     return rs.trace_faults(c, stored, "sample", "beam", "bucket", F.col("fine"), F.col("correct"), F.col("hit"), 8)
 
 
@@ -70,7 +83,15 @@ SELECT vec_id, CAST(option AS INTEGER) AS option, CAST(chosen AS INTEGER) AS cho
 )
 def chosen_encoding(spark, sf):
     c, k = codes(spark, sf), F.col("vec_id")
-    r = c.select("vec_id", (F.col("s1") * 8 + F.col("s2")).alias("b"), F.when(k % 4 == 0, -1).otherwise(F.col("s3")).alias("o1"), (F.col("t3") * 3 + F.col("label") % 3).alias("o2"), (k % 9).alias("n"), (k % 9 * (k % 2)).alias("m1"), (k % 9 * (k % 3 % 2)).alias("m2"))
+    r = c.select(
+        "vec_id",
+        (F.col("s1") * 8 + F.col("s2")).alias("b"),
+        F.when(k % 4 == 0, -1).otherwise(F.col("s3")).alias("o1"),
+        (F.col("t3") * 3 + F.col("label") % 3).alias("o2"),
+        (k % 9).alias("n"),
+        (k % 9 * (k % 2)).alias("m1"),
+        (k % 9 * (k % 3 % 2)).alias("m2"),
+    )
     return rs.chosen_encoding(r, ["b"], ["o1", "o2"], "n", ["m1", "m2"]).select("vec_id", "option", "chosen", "resolved")
 
 
@@ -113,7 +134,10 @@ SELECT poi, queries, round(greatest(-1, least(1, cosine)), 7) AS content_query_c
 def query_heterogeneity(spark, sf):
     from cairnflow.operators import vectors
 
-    pairs = table(spark, sf, "lineitem").groupBy((F.col("l_partkey") % 200).alias("poi"), ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 30).alias("query")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = table(spark, sf, "lineitem").groupBy(
+        (F.col("l_partkey") % 200).alias("poi"),
+        ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 30).alias("query"),
+    ).agg(F.count(F.lit(1)).alias("n"))
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("x"))
     own = vectors.query_vectors(pairs, v, "poi", "query", "n", "x").join(v.select(F.col("query").alias("poi"), F.col("x").alias("c")), "poi")
     return rounded(assets.heterogeneity(own, "poi", "c"), 7)
@@ -134,7 +158,12 @@ def tagged_queries(spark, sf):
 @query()
 def lexical_relevance(spark, sf):
     """Relevance of names to the next row's name (block ratios have no SQL form; tests hold them to difflib)."""
-    p = table(spark, sf, "part").select("p_partkey", text.letters_only(F.col("p_name")).alias("n"), text.letters_only(F.col("p_type")).alias("t"), text.letters_only(F.col("p_brand")).alias("b"))
+    p = table(spark, sf, "part").select(
+        "p_partkey",
+        text.letters_only(F.col("p_name")).alias("n"),
+        text.letters_only(F.col("p_type")).alias("t"),
+        text.letters_only(F.col("p_brand")).alias("b"),
+    )
     q = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.concat("n", "t").alias("q"))
     return p.join(q, "p_partkey").select("p_partkey", text.lexical_relevance(F.col("q"), F.col("n"), F.array("t", F.concat("t", "n")), F.col("b"), F.col("t")).alias("relevance"))
 
@@ -210,7 +239,12 @@ def position_scores(spark, sf):
     x = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("s"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("t"), F.round("l_discount", 2).alias("z"))
     w = Window.partitionBy("s", "position")
     g = x.withColumn("r", F.row_number().over(w.orderBy(F.desc("z"), "t"))).withColumn("nll", F.log(F.sum(F.exp("z")).over(w)) - F.col("z"))
-    return rounded(g.groupBy("position").agg(F.count(F.lit(1)).alias("tokens"), F.avg((F.col("r") == 1).cast("double")).alias("top1"), F.avg((F.col("r") <= 10).cast("double")).alias("top10"), F.avg("nll").alias("nll")))
+    return rounded(g.groupBy("position").agg(
+        F.count(F.lit(1)).alias("tokens"),
+        F.avg((F.col("r") == 1).cast("double")).alias("top1"),
+        F.avg((F.col("r") <= 10).cast("double")).alias("top10"),
+        F.avg("nll").alias("nll"),
+    ))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 700")

@@ -249,7 +249,12 @@ SELECT code, CAST(pos AS INTEGER) AS pos, round(x / sqrt(sum(x * x) OVER (PARTIT
 def soft_centroids(spark, sf):
     mu, _ = words(spark)
     out = vectors.soft_update(views(spark, sf), mu, "c", "vec_id", 3, 20.0)
-    return out.select("code", F.posexplode("centroid").alias("p", "v"), "mass").select("code", (F.col("p") + 1).cast("int").alias("pos"), F.round("v", 7).alias("v"), F.round("mass", 6).alias("mass"))
+    return out.select("code", F.posexplode("centroid").alias("p", "v"), "mass").select(
+        "code",
+        (F.col("p") + 1).cast("int").alias("pos"),
+        F.round("v", 7).alias("v"),
+        F.round("mass", 6).alias("mass"),
+    )
 
 
 @query()
@@ -287,8 +292,25 @@ CASE WHEN ws > 1e-9 THEN round(e2 / sqrt(sum(e2 * e2) OVER (PARTITION BY poi)),
 CAST(orders AS BIGINT) AS orders FROM s"""
 )
 def query_to_entity_vectors(spark, sf):
-    pairs = table(spark, sf, "lineitem").groupBy((F.col("l_partkey") % 200).alias("poi"), ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 30).alias("query")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = table(spark, sf, "lineitem").groupBy(
+        (F.col("l_partkey") % 200).alias("poi"),
+        ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 30).alias("query"),
+    ).agg(F.count(F.lit(1)).alias("n"))
     v = table(spark, sf, "embeddings").where("vec_id < 30").select(F.col("vec_id").alias("query"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("x"))
     out = vectors.query_vectors(pairs, v, "poi", "query", "n", "x")
-    long = out.select("poi", F.explode(F.arrays_zip(F.sequence(F.lit(1), F.lit(8)).alias("pos"), "e1", F.coalesce("e2", F.array().cast("array<double>")).alias("e2"))).alias("z"), "weight_sum", "queries", "orders")
-    return long.select("poi", F.col("z.pos").alias("pos"), F.round("z.e1", 7).alias("e1"), F.round("z.e2", 7).alias("e2"), F.round("weight_sum", 7).alias("weight_sum"), "queries", "orders")
+    long = out.select(
+        "poi",
+        F.explode(F.arrays_zip(F.sequence(F.lit(1), F.lit(8)).alias("pos"), "e1", F.coalesce("e2", F.array().cast("array<double>")).alias("e2"))).alias("z"),
+        "weight_sum",
+        "queries",
+        "orders",
+    )
+    return long.select(
+        "poi",
+        F.col("z.pos").alias("pos"),
+        F.round("z.e1", 7).alias("e1"),
+        F.round("z.e2", 7).alias("e2"),
+        F.round("weight_sum", 7).alias("weight_sum"),
+        "queries",
+        "orders",
+    )

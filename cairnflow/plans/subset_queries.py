@@ -182,7 +182,11 @@ WHERE user_id IS NOT NULL), eq AS (SELECT CAST(range AS BIGINT) AS id, CAST(rang
 @query(f"""WITH {_MINED} SELECT sample, target, negative FROM m LEFT JOIN eq a ON a.id = negative LEFT JOIN eq b ON b.id = target
 WHERE NOT coalesce(negative = target OR a.representative = b.representative, false) ORDER BY sha256('8:' || sample), sample LIMIT 300""")
 def mined_union(spark, sf):
-    m = table(spark, sf, "events").where("user_id is not null").select(F.col("event_id").alias("sample"), (F.col("user_id") % 20).alias("target"), (F.col("event_id") % 23).alias("negative"))
+    m = table(spark, sf, "events").where("user_id is not null").select(
+        F.col("event_id").alias("sample"),
+        (F.col("user_id") % 20).alias("target"),
+        (F.col("event_id") % 23).alias("negative"),
+    )
     eq = spark.range(21).select("id", (F.col("id") % 7).alias("representative"))
     return subsets.mined_union([m.where("sample % 2 = 0"), m.where("sample % 2 = 1")], "sample", "negative", "target", eq, 300, 8).select("sample", "target", "negative")
 

@@ -37,7 +37,11 @@ def blake_buckets(spark, sf):
 @query("SELECT doc_id, sha256('part-0:' || doc_id) AS sample_id, sha256('suite' || chr(0) || doc_id || chr(0) || source) AS selection FROM documents")
 def stable_ids(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", hashing.sample_id(F.lit("part-0"), F.col("doc_id")).alias("sample_id"), hashing.selection_hash(F.lit("suite"), F.col("doc_id").cast("string"), F.col("source")).alias("selection"))
+    return d.select(
+        "doc_id",
+        hashing.sample_id(F.lit("part-0"), F.col("doc_id")).alias("sample_id"),
+        hashing.selection_hash(F.lit("suite"), F.col("doc_id").cast("string"), F.col("source")).alias("selection"),
+    )
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY sha256(doc_id::VARCHAR), doc_id)::INTEGER AS position FROM documents QUALIFY position <= 50")
@@ -77,7 +81,13 @@ def contiguous_split(spark, sf):
 def normalizers(spark, sf):
     b = table(spark, sf, "benchmark")
     t = F.col("text")
-    return b.select("item_id", text.conservative(t).alias("conservative"), text.compact(t).alias("compact"), text.letters_only(t).alias("letters"), text.relation_text(t).alias("relation"))
+    return b.select(
+        "item_id",
+        text.conservative(t).alias("conservative"),
+        text.compact(t).alias("compact"),
+        text.letters_only(t).alias("letters"),
+        text.relation_text(t).alias("relation"),
+    )
 
 
 @query("""SELECT CASE WHEN length(trim(p_name)) <= 2 THEN '1-2' WHEN length(trim(p_name)) <= 5 THEN '3-5' WHEN length(trim(p_name)) <= 10 THEN '6-10' ELSE '>10'
@@ -108,7 +118,13 @@ ORDER BY b.ts DESC, b.event_id DESC) AS r FROM e a JOIN e b ON a.user_id = b.use
 
 
 def with_history(spark, sf, most=5):
-    e = table(spark, sf, "events").where("user_id is not null").select("event_id", "user_id", "ts", F.concat(F.lit("q"), (F.col("event_id") % 37).cast("string")).alias("query"), F.concat("event_type", (F.col("event_id") % 5).cast("string")).alias("poi"))
+    e = table(spark, sf, "events").where("user_id is not null").select(
+        "event_id",
+        "user_id",
+        "ts",
+        F.concat(F.lit("q"), (F.col("event_id") % 37).cast("string")).alias("query"),
+        F.concat("event_type", (F.col("event_id") % 5).cast("string")).alias("poi"),
+    )
     return messages.collect_history(e, "user_id", "ts", "event_id", most)
 
 
@@ -155,8 +171,14 @@ WHERE p_partkey % 4 <> 0), o AS (SELECT l_orderkey, l_linenumber, l_partkey, row
 ORDER BY l_linenumber, l_partkey) AS r FROM lineitem) SELECT l_orderkey, string_agg(coalesce(new, '?'), ',' ORDER BY r) AS ids FROM o LEFT
 JOIN m ON old = l_partkey GROUP BY 1""")
 def id_remap(spark, sf):
-    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda s: s["l_partkey"]).alias("ids"))
-    mapping = table(spark, sf, "part").where("p_partkey % 4 != 0").select(F.col("p_partkey").alias("old"), F.concat(F.lit("n"), (F.col("p_partkey") * 7 % 1000).cast("string")).alias("new"))
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))),
+        lambda s: s["l_partkey"],
+    ).alias("ids"))
+    mapping = table(spark, sf, "part").where("p_partkey % 4 != 0").select(
+        F.col("p_partkey").alias("old"),
+        F.concat(F.lit("n"), (F.col("p_partkey") * 7 % 1000).cast("string")).alias("new"),
+    )
     out = messages.remap(rows, "l_orderkey", "ids", mapping)
     return out.select("l_orderkey", F.array_join("ids", ",", "?").alias("ids"))
 
@@ -242,7 +264,11 @@ FROM (SELECT s, p, bool_and(t1) AS t1, bool_and(t10) AS t10, avg(nll) AS nll, mi
 SELECT p AS position, round(top1, 9) AS top1, round(top10, 9) AS top10, round(nll, 9) AS nll, round(survival, 9) AS survival,
 round(coalesce(lag(survival) OVER (ORDER BY p), 1.0) - survival, 9) AS first_failure FROM a""")
 def teacher_forcing(spark, sf):
-    x = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("s"), F.col("l_linenumber").alias("position")).agg(F.min(F.col("l_quantity") > 10).alias("t1"), F.min(F.col("l_quantity") > 2).alias("t10"), F.avg("l_discount").alias("nll"))
+    x = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("s"), F.col("l_linenumber").alias("position")).agg(
+        F.min(F.col("l_quantity") > 10).alias("t1"),
+        F.min(F.col("l_quantity") > 2).alias("t10"),
+        F.avg("l_discount").alias("nll"),
+    )
     return rounded(metrics.teacher_forcing(x, "s", "position", "t1", "t10", "nll"))
 
 

@@ -30,7 +30,10 @@ TARGET = KNN + ", t AS (SELECT query_id, query_label, coalesce(min(rank) FILTER
 
 def ranks(spark, sf):
     n = neighbours(spark, sf)
-    return n.groupBy("query_id", "query_label").agg(metrics.target_rank(F.min(F.when((F.col("label") == F.col("query_label")) & (F.col("id") != F.col("query_id")), F.col("rank")))).alias("target_rank"))
+    return n.groupBy("query_id", "query_label").agg(metrics.target_rank(F.min(F.when(
+        (F.col("label") == F.col("query_label")) & (F.col("id") != F.col("query_id")),
+        F.col("rank"),
+    ))).alias("target_rank"))
 
 
 _METRICS = "count(*) AS samples, " + ", ".join(f"round(avg(CASE WHEN r BETWEEN 1 AND {k} THEN 1.0 ELSE 0.0 END), 9) AS hit_at_{k}" for k in (1, 3, 5, 10, 20)) + ", round(avg(CASE WHEN r BETWEEN 1 AND 10 THEN 1.0 / r ELSE 0.0 END), 9) AS mrr_at_10, round(avg(CASE WHEN r BETWEEN 1 AND 10 THEN 1.0 / log2(r + 1.0) ELSE 0.0 END), 9) AS ndcg_at_10"

@@ -14,7 +14,20 @@ def _fields(**kinds: T.DataType) -> T.StructType:
 
 
 EVENT_SCHEMA = _fields(event_time=_S, order_id=_S, searchid=_S, query=_S, disp_lng=_D, disp_lat=_D, poi_id=_S)
-ORDER_SCHEMA = _fields(order_id=_S, searchid=_S, passenger_id=_S, query=_S, poi_id=_S, disp_lng=_D, disp_lat=_D, birth_time=_S, create_time=_S, source_dt=_S, history_length=_I, history_sequence=T.ArrayType(EVENT_SCHEMA))
+ORDER_SCHEMA = _fields(
+    order_id=_S,
+    searchid=_S,
+    passenger_id=_S,
+    query=_S,
+    poi_id=_S,
+    disp_lng=_D,
+    disp_lat=_D,
+    birth_time=_S,
+    create_time=_S,
+    source_dt=_S,
+    history_length=_I,
+    history_sequence=T.ArrayType(EVENT_SCHEMA),
+)
 ENTITY_SCHEMA = _fields(poi_id=_S, displayname=_S, alias=_S, address=_S, category=_S, category_code=_S, lng=_D, lat=_D, text=_S)
 
 

@@ -77,13 +77,24 @@ def test_fine_relations_of_written_names(spark):
     ]
     got = {r.id: r for r in entities.fine_relations(spark.createDataFrame(rows, "id long, displayname string, address string, category_code string, layer string"), "id").collect()}
     pack = lambda s: (int(s, 36) << 4) | len(s)
-    assert (got[1].building_code, got[1].address_main, got[1].child_number, got[1].category_major, got[1].category_mid, got[1].category_leaf, got[1].layer) == (pack("B12C"), 27, 301, 12, 1203, "120304", 7)
+    assert (
+        got[1].building_code,
+        got[1].address_main,
+        got[1].child_number,
+        got[1].category_major,
+        got[1].category_mid,
+        got[1].category_leaf,
+        got[1].layer,
+    ) == (pack("B12C"), 27, 301, 12, 1203, "120304", 7)
     assert got[1].parent == "A座" and got[1].road == "中关村大街" and got[1].alpha_prefix == -1
     assert (got[2].parking_slot, got[2].row, got[2].building_number, got[2].category_mid, got[2].layer) == (3, 12, 8, -1, -1)
     assert (got[3].store_number, got[3].booth_number, got[3].category_leaf) == (2, 5, "")
     assert (got[4].compound_head, got[4].compound_tail, got[4].inner_number, got[4].category_mid) == (10, 30, 2, 1203)
     assert got[5].entity_code == pack("AB007") and got[5].layer == -1
-    m = entities.relation_matrix(spark.createDataFrame([(i, f"{'AB' if i % 2 else 'CD'}馆(x{i % 3})", "人民路1号", str(1000 + i % 2), "1") for i in range(9)], "id long, displayname string, address string, category_code string, layer string").transform(lambda d: entities.fine_relations(d, "id")))
+    m = entities.relation_matrix(spark.createDataFrame(
+        [(i, f"{'AB' if i % 2 else 'CD'}馆(x{i % 3})", "人民路1号", str(1000 + i % 2), "1") for i in range(9)],
+        "id long, displayname string, address string, category_code string, layer string",
+    ).transform(lambda d: entities.fine_relations(d, "id")))
     seen = {r.id: r for r in m.collect()}
     assert {seen[i].category_id for i in range(9)} == {1, 2} and {seen[i].road_id for i in range(9)} == {1}
     assert seen[0].parent_id == 1 and seen[1].parent_id == 2 and list(seen[0].prefix_parent) == list(reversed(list(seen[0].suffix_parent)))

@@ -34,7 +34,15 @@ def test_geohash_and_codes(spark):
     df = spark.createDataFrame(rows, "lng double, lat double")
     t = geo.geohash_tokens(F.col("lng"), F.col("lat"))
     cx, cy = geo.cell_center(t)
-    got = df.select("lng", "lat", geo.tokens_to_geohash(t).alias("g"), (geo.geohash_to_tokens(geo.tokens_to_geohash(t)) == t).alias("same"), geo.plus_code6(F.col("lng"), F.col("lat")).alias("p"), cx.alias("cx"), cy.alias("cy")).collect()
+    got = df.select(
+        "lng",
+        "lat",
+        geo.tokens_to_geohash(t).alias("g"),
+        (geo.geohash_to_tokens(geo.tokens_to_geohash(t)) == t).alias("same"),
+        geo.plus_code6(F.col("lng"), F.col("lat")).alias("p"),
+        cx.alias("cx"),
+        cy.alias("cy"),
+    ).collect()
     for x in got:
         assert x.g == bisected(x.lng, x.lat) and x.same
         assert abs(x.cx - x.lng) <= 180 / 2**15 + 1e-9 and abs(x.cy - x.lat) <= 90 / 2**15 + 1e-9
@@ -45,7 +53,12 @@ def test_geohash_and_codes(spark):
 
 def test_hashes_equal_hashlib(spark):
     ids = [(str(i),) for i in range(50)]
-    got = spark.createDataFrame(ids, "u string").select("u", hashing.sha_bucket(F.col("u"), 2000).alias("s"), hashing.blake_bucket(256, b"query")("u").alias("b"), hashing.blake_bucket(2000, order="little")("u").alias("l")).collect()
+    got = spark.createDataFrame(ids, "u string").select(
+        "u",
+        hashing.sha_bucket(F.col("u"), 2000).alias("s"),
+        hashing.blake_bucket(256, b"query")("u").alias("b"),
+        hashing.blake_bucket(2000, order="little")("u").alias("l"),
+    ).collect()
     for x in got:
         u = x.u.encode()
         assert x.s == int(hashlib.sha256(u).hexdigest(), 16) % 2000
@@ -56,7 +69,14 @@ def test_hashes_equal_hashlib(spark):
 def test_text_functions(spark):
     t = "Ａb，c…  Ｄ－e１"
     c = F.col("t")
-    got = spark.createDataFrame([(t,), (None,), ("",)], "t string").select(text.conservative(c), text.compact(c), text.letters_only(c), text.relation_text(c), text.folded(c), text.identity(c)).collect()
+    got = spark.createDataFrame([(t,), (None,), ("",)], "t string").select(
+        text.conservative(c),
+        text.compact(c),
+        text.letters_only(c),
+        text.relation_text(c),
+        text.folded(c),
+        text.identity(c),
+    ).collect()
     n = unicodedata.normalize("NFKC", t)
     assert got[0][0].startswith("ab,c...") and got[0][1] == "".join(n.lower().split())
     assert got[0][2] == "".join(x for x in n if x.isalnum()).lower() and " " not in got[0][3]
@@ -230,7 +250,10 @@ def test_history_is_whole_where_many_events_share_a_time(spark):
 
 
 def test_beam_and_merge(spark):
-    df = spark.createDataFrame([([1, 2, 3], [[[1], [9]], [[1, 2]], [[7, 7, 7]]], 5), ([1, 2, 3], [[[1]], [[1, 2]], [[1, 2, 3]]], 1)], "gold array<int>, steps array<array<array<int>>>, r int")
+    df = spark.createDataFrame(
+        [([1, 2, 3], [[[1], [9]], [[1, 2]], [[7, 7, 7]]], 5), ([1, 2, 3], [[[1]], [[1, 2]], [[1, 2, 3]]], 1)],
+        "gold array<int>, steps array<array<array<int>>>, r int",
+    )
     first, state = metrics.beam_state("gold", "steps", [2, 3], "r")
     assert [tuple(r) for r in df.select(first, state).collect()] == [(3, "pruned_at_3"), (None, "hit@1")]
     f = lambda rows: spark.createDataFrame(rows, "row long, candidate long, rank int")
