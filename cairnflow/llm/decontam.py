@@ -157,4 +157,11 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     found = search(docs, benchmark, keep=["doc_id"], **options)
     # intervals are start, end, start, end, ...: ends less starts
     n_hit = F.aggregate(F.transform("__hits", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return found.select("doc_id", F.col("__n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "__items"), 256).alias("items_sha256"), (F.size("__hits") > 0).alias("contaminated"))
+    return found.select(
+        "doc_id",
+        F.col("__n_words").alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "__items"), 256).alias("items_sha256"),
+        (F.size("__hits") > 0).alias("contaminated"),
+    )

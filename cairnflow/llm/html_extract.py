@@ -52,7 +52,16 @@ ESSENTIAL = 0.8
 LANDMARKS = frozenset("article main h1".split())
 #: A word after one of these tells of a neighbour, as in `has-sidebar`.
 NOT_ITSELF = frozenset("has with no without show hide".split())
-CLOSES = {"p": BLOCK - {"br", "body", "html", "caption", "dd", "dt", "legend", "li", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "tr"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}}
+CLOSES = {
+    "p": BLOCK - {"br", "body", "html", "caption", "dd", "dt", "legend", "li", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "tr"},
+    "li": {"li"},
+    "dt": {"dt", "dd"},
+    "dd": {"dt", "dd"},
+    "option": {"option", "optgroup"},
+    "tr": {"tr", "tbody", "tfoot"},
+    "td": {"td", "th", "tr", "tbody", "tfoot"},
+    "th": {"td", "th", "tr", "tbody", "tfoot"},
+}
 #: Elements that an implied end tag does not reach through.
 FENCES = frozenset("table td th button object html body ul ol dl div article section main".split())
 

@@ -147,7 +147,10 @@ def digests(spark: SparkSession, texts: list[tuple[str, str]], name: str, key: s
 
 def known_digests(texts: DataFrame) -> DataFrame:
     """text_sha256, license_id of a table (license_id, text) of known texts, of any size; the smallest id of equal texts."""
-    return texts.where("text is not null").select(F.sha2(canonical(F.col("text")), 256).alias("text_sha256"), "license_id").groupBy("text_sha256").agg(F.min("license_id").alias("license_id"))
+    return texts.where("text is not null").select(
+        F.sha2(canonical(F.col("text")), 256).alias("text_sha256"),
+        "license_id",
+    ).groupBy("text_sha256").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, texts: list[tuple[str, str]] | DataFrame | None = None, notices: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -163,7 +166,13 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] | DataFrame | None = None
     cued = F.when(F.lower(text).contains(NOTICE_CUE), F.filter(F.split(text, "\n"), lambda x: F.lower(x).contains(NOTICE_CUE))).otherwise(F.array().cast("array<string>"))
     ids = F.filter(F.transform(cued, lambda x: F.element_at(found, F.sha2(canonical(x), 256))), lambda x: x.isNotNull())
     rows = docs.select("doc_id", F.sha2(canonical(text), 256).alias("text_sha256"), ids.alias("ids"))
-    return rows.join(known, "text_sha256", "left").select("doc_id", "text_sha256", "license_id", F.size("ids").cast("long").alias("n_notice_lines"), F.array_join(F.array_sort(F.array_distinct("ids")), ",").alias("notice_ids"))
+    return rows.join(known, "text_sha256", "left").select(
+        "doc_id",
+        "text_sha256",
+        "license_id",
+        F.size("ids").cast("long").alias("n_notice_lines"),
+        F.array_join(F.array_sort(F.array_distinct("ids")), ",").alias("notice_ids"),
+    )
 
 
 def _sql(text: str) -> str:

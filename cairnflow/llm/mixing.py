@@ -140,7 +140,10 @@ def mix_counts(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: fl
     units = alike.join(rates, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     more = F.col("m") * F.col("f")
     part = more - F.floor(more)
-    units = units.withColumn("full", F.floor(more).cast("long") + F.when(part > 1 - EPS, 1).otherwise(0)).withColumn("p", F.when((part < EPS) | (part > 1 - EPS) | (F.col("size") == 0), 0.0).otherwise(part))
+    units = units.withColumn("full", F.floor(more).cast("long") + F.when(part > 1 - EPS, 1).otherwise(0)).withColumn(
+        "p",
+        F.when((part < EPS) | (part > 1 - EPS) | (F.col("size") == 0), 0.0).otherwise(part),
+    )
     units = materialise(units, "units")
     open_ = round_units(units.where("p > 0").select("source", "size", "doc_id", "m", "full", "p"), block)
     closed = units.where("p = 0").select("source", "size", "doc_id", "m", "full", "p")
@@ -160,7 +163,14 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it, with all its columns."""
     docs, back = set_aside(docs, "doc_id", "source", "text")
     counts = materialise(mix_counts(docs, **options), "mix")
-    taken = counts.where("base + extra > 0").select(F.col("source").alias("__s"), F.col("doc_id").alias("__i"), F.col("size").alias("__n"), F.col("m").alias("__m"), F.col("base").alias("__base"), F.col("extra").alias("__extra"))
+    taken = counts.where("base + extra > 0").select(
+        F.col("source").alias("__s"),
+        F.col("doc_id").alias("__i"),
+        F.col("size").alias("__n"),
+        F.col("m").alias("__m"),
+        F.col("base").alias("__base"),
+        F.col("extra").alias("__extra"),
+    )
     rows = docs.withColumn("__size", word_count(F.col("text")))
     on = rows["doc_id"].cast("long").eqNullSafe(taken["__i"]) & rows["source"].cast("string").eqNullSafe(taken["__s"]) & (rows["__size"] == taken["__n"])
     # the decisions grow with the documents, so they are never broadcast: the plan is the same at every size

@@ -92,7 +92,12 @@ def bands(low: np.ndarray, high: np.ndarray) -> list[int]:
     return key.view(np.int64).tolist()
 
 
-SKETCH = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+SKETCH = T.StructType([
+    T.StructField("n_shingles", T.LongType()),
+    T.StructField("f1", T.LongType()),
+    T.StructField("f2", T.LongType()),
+    T.StructField("bands", T.ArrayType(T.LongType())),
+])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -253,16 +258,46 @@ def judged(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataF
     labelled = members.join(labels, members["rep"] == labels["node"], "left").select("key", "head", "n", "rep", F.coalesce("label", "rep").alias("label"))
     labelled = materialise(labelled, "labelled")
     # what still spans labels; buckets of the same members count once, pairs that were compared not again
-    tally = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h"), F.max("rep").alias("a"), F.min("rep").alias("b"))
-    open_ = tally.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", -F.col("label"))).alias("major"), F.max("c").alias("most"), F.sum("c").alias("n"), F.sum("h").alias("h"), F.max("a").alias("a"), F.min("b").alias("b")).where("labels > 1")
+    tally = labelled.groupBy("key", "label").agg(
+        F.count(F.lit(1)).alias("c"),
+        F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("h"),
+        F.max("rep").alias("a"),
+        F.min("rep").alias("b"),
+    )
+    open_ = tally.groupBy("key").agg(
+        F.count(F.lit(1)).alias("labels"),
+        F.max_by("label", F.struct("c", -F.col("label"))).alias("major"),
+        F.max("c").alias("most"),
+        F.sum("c").alias("n"),
+        F.sum("h").alias("h"),
+        F.max("a").alias("a"),
+        F.min("b").alias("b"),
+    ).where("labels > 1")
     open_ = open_.groupBy("n", "h", "a", "b").agg(F.min_by(F.struct("key", "major", "most"), "key").alias("k")).select("n", "a", "b", "k.*")
     open_ = open_.join(first.withColumn("pair", F.lit(True)), ["a", "b"], "left").where("n > 2 or pair is null").select("key", "n", "major", "most")
     spread = materialise(labelled.drop("n").join(materialise(open_, "open"), "key").join(classes.select("rep", "n_shingles"), "rep"), "spread")
-    ways = spread.groupBy("key").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"), F.ceil(F.sum(F.when(F.col("label") != F.col("major"), F.col("n_shingles"))) / BLOCK).cast("int").alias("asking"))
+    ways = spread.groupBy("key").agg(
+        F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"),
+        F.ceil(F.sum(F.when(F.col("label") != F.col("major"), F.col("n_shingles"))) / BLOCK).cast("int").alias("asking"),
+    )
     spread = spread.join(ways, "key")
     own = F.xxhash64("rep")
-    asked = spread.select("key", "rep", "label", F.pmod(own, F.col("blocks")).cast("int").alias("d"), F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("q"), F.lit(False).alias("asks"))
-    asks = spread.where("label != major").select("key", "rep", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("d"), F.pmod(own, F.col("asking")).cast("int").alias("q"), F.lit(True).alias("asks"))
+    asked = spread.select(
+        "key",
+        "rep",
+        "label",
+        F.pmod(own, F.col("blocks")).cast("int").alias("d"),
+        F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("q"),
+        F.lit(False).alias("asks"),
+    )
+    asks = spread.where("label != major").select(
+        "key",
+        "rep",
+        "label",
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("d"),
+        F.pmod(own, F.col("asking")).cast("int").alias("q"),
+        F.lit(True).alias("asks"),
+    )
     with_set = asked.unionByName(asks).join(sets.select("rep", "s"), "rep")
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -98,7 +98,10 @@ def count_grams(words: DataFrame) -> DataFrame:
                     grams, word = letter_grams(part.column("w").to_pylist())
                     _, first, place = np.unique(gram_key(grams), return_index=True, return_inverse=True)
                     n = np.bincount(place, part.column("n").to_numpy()[word], len(first)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), pa.array(grams[0, first]), pa.array(grams[1, first]), pa.array(n)], ["lang", "a", "b", "n"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(first), pa.string()), pa.array(grams[0, first]), pa.array(grams[1, first]), pa.array(n)],
+                        ["lang", "a", "b", "n"],
+                    )
 
     grams = words.mapInArrow(split, "lang string, a long, b long, n long").groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
     return grams.withColumn("before", F.shiftright("b", BITS).bitwiseAND(F.lit(LETTER)))

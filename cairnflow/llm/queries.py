@@ -49,7 +49,18 @@ def op10_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    found = (op1_main_text, op2_toxicity, op3_quality_perplexity, op4_secret_scan, op5_license_digest, op6_decontaminate, op7_pii, op8_mix_sources, op9_near_duplicates, op10_shard_slots)
+    found = (
+        op1_main_text,
+        op2_toxicity,
+        op3_quality_perplexity,
+        op4_secret_scan,
+        op5_license_digest,
+        op6_decontaminate,
+        op7_pii,
+        op8_mix_sources,
+        op9_near_duplicates,
+        op10_shard_slots,
+    )
     return {f.__name__: f for f in found}
 
 

@@ -134,7 +134,17 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS)
     rows = materialise(keyed(docs, n_slots), "sized")
     maps, sizes = balanced(rows, n_shards, n_slots)
     placed = place(rows, maps, sizes)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"), "map_version")
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        F.col("vslot").alias("virtual_slot"),
+        "map_version",
+    )
 
 
 def with_shard(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS) -> DataFrame:

@@ -243,7 +243,14 @@ def test_perplexity_equals_plain_kneser_ney(spark, monkeypatch):
 
     r = random.Random(4)
     text = ["".join(r.choice(["an", "to", "ré", "l", "x"]) for _ in range(r.randrange(1, 4))) for _ in range(300)]
-    docs = docs_of(spark, [(i, " ".join(text[i * 30 : i * 30 + 30]), "en-GB", "s", 0) for i in range(10)] + [(11, "anto lx", "de", "s", 0), (12, None, None, None, None), (13, "qq", "!!", None, None)])
+    docs = docs_of(
+        spark,
+        [(i, " ".join(text[i * 30 : i * 30 + 30]), "en-GB", "s", 0) for i in range(10)] + [
+            (11, "anto lx", "de", "s", 0),
+            (12, None, None, None, None),
+            (13, "qq", "!!", None, None),
+        ],
+    )
     nats = plain_kneser_ney(Counter(text), quality.ORDER, lambda n: quality.discounts(np.array(n)), 1 / quality.ALPHABET)
     for most in (8_000_000, 300):  # one array, then several
         monkeypatch.setattr(quality, "MOST_ENTRIES", most)
@@ -259,7 +266,14 @@ def test_perplexity_equals_plain_kneser_ney(spark, monkeypatch):
 
 def test_licences(spark):
     mit = licenses.MIT.replace("(the \"Software\")", "(the   'SOFTWARE')").replace("\n\n", "\nCopyright (c) 2020 Somebody\n\n", 1)
-    rows = [(1, mit), (2, licenses.APACHE_HEADER.replace("License", "Licence")), (3, "text\nReleased under the MIT Licence.\nLicensed under CC BY-NC 4.0"), (4, None), (5, ""), (6, mit + " and more")]
+    rows = [
+        (1, mit),
+        (2, licenses.APACHE_HEADER.replace("License", "Licence")),
+        (3, "text\nReleased under the MIT Licence.\nLicensed under CC BY-NC 4.0"),
+        (4, None),
+        (5, ""),
+        (6, mit + " and more"),
+    ]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i].license_id for i in range(1, 7)] == ["MIT", "Apache-2.0-header", None, None, None, None]
     assert got[3].notice_ids == "CC-BY-NC-4.0,MIT" and got[3].n_notice_lines == 2
@@ -274,7 +288,17 @@ space and an &eacute;. It goes on for a while so that it is dense.<br>After the
 
 
 def test_main_text(spark):
-    rows = [(1, "u", PAGE), (2, "u", None), (3, "u", ""), (4, "u", "just text"), (5, "u", "<p>a<p>b"), (6, "u", "<div>" * 3000 + "deep" + "</div>" * 10), (7, "u", "<a href='>'>x</a><!-- c"), (8, "u", "<"), (9, "u", "<script>x")]
+    rows = [
+        (1, "u", PAGE),
+        (2, "u", None),
+        (3, "u", ""),
+        (4, "u", "just text"),
+        (5, "u", "<p>a<p>b"),
+        (6, "u", "<div>" * 3000 + "deep" + "</div>" * 10),
+        (7, "u", "<a href='>'>x</a><!-- c"),
+        (8, "u", "<"),
+        (9, "u", "<script>x"),
+    ]
     got = {r.page_id: r for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), keep=["page_id", "url"]).collect()}
     assert got[1].text == "Big & small First bold para\xadgraph with a link in it and many more words to read. Second paragraph, unclosed, with white space and an é. It goes on for a while so that it is dense. After the break."
     assert [got[i].text for i in (2, 3, 4, 5, 6, 8, 9)] == ["", "", "just text", "a b", "deep", "<", ""]

@@ -44,7 +44,14 @@ def odd(spark):
     """Null ids, repeated ids and rows, null and empty texts, one very long text."""
     long = prose(60_000)
     rows = [(i, prose(80), "en", "ab"[i % 2], 0) for i in range(60)]
-    rows += [(None, rows[0][1], "en", "a", 0), (None, prose(90), "en", "a", 0), (None, prose(90), None, None, None), (None, None, None, None, None), (7, "", "en", "a", 0), (8, " \n", "xx", "b", 0)]
+    rows += [
+        (None, rows[0][1], "en", "a", 0),
+        (None, prose(90), "en", "a", 0),
+        (None, prose(90), None, None, None),
+        (None, None, None, None, None),
+        (7, "", "en", "a", 0),
+        (8, " \n", "xx", "b", 0),
+    ]
     rows += [rows[3], rows[3], (3, prose(70), "en", "a", 0), (500, long, "en", "a", 0), (501, long, "en", "a", 0)]
     return docs_of(spark, rows)
 
@@ -67,7 +74,18 @@ def test_operators_take_empty_tables(spark, odd):
     none = odd.limit(0)
     bench, labels = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
-    made = [html_extract.main_text(pages), toxicity.toxicity(none, labels), quality.quality(none), secrets.scan_digest(none), licenses.scan(none), decontam.report(none, bench), pii.scan_digest(none), mixing.mix(none), neardup.near_duplicates(none), sharding.shard_documents(none)]
+    made = [
+        html_extract.main_text(pages),
+        toxicity.toxicity(none, labels),
+        quality.quality(none),
+        secrets.scan_digest(none),
+        licenses.scan(none),
+        decontam.report(none, bench),
+        pii.scan_digest(none),
+        mixing.mix(none),
+        neardup.near_duplicates(none),
+        sharding.shard_documents(none),
+    ]
     assert [df.count() for df in made] == [0] * len(made)
     assert decontam.report(odd, bench).where("contaminated").count() == 0
 
@@ -79,7 +97,10 @@ def test_repeated_rows_and_long_texts_have_results_each(spark, odd):
         got = module.scan_digest(clashing(secret)).collect()
         assert sorted(r[column] for r in got) == [0, 1, 1, 1] and len({r.spans for r in got}) == 2
     mit = licenses.MIT
-    got = licenses.scan(clashing(docs_of(spark, [(1, mit, "en", "s", 0)] * 2 + [(2, mit + prose(60_000), "en", "s", 0), (3, "The MIT License (MIT)\n\n" + mit.partition("\n\n")[2], "en", "s", 0)]))).collect()
+    got = licenses.scan(clashing(docs_of(
+        spark,
+        [(1, mit, "en", "s", 0)] * 2 + [(2, mit + prose(60_000), "en", "s", 0), (3, "The MIT License (MIT)\n\n" + mit.partition("\n\n")[2], "en", "s", 0)],
+    ))).collect()
     assert sorted((r.doc_id, r.license_id or "") for r in got) == [(1, "MIT"), (1, "MIT"), (2, ""), (3, "MIT")]
     table = spark.createDataFrame([("Own-1.0", "All of it may be used"), ("Own-0.9", "ALL of it, may be used."), (None, None)], "license_id string, text string")
     got = licenses.scan(docs_of(spark, [(1, "all of it MAY be used!", "en", "s", 0), (2, "no", "en", "s", 0)]), table).collect()

@@ -56,8 +56,62 @@ def soup(pieces, seed, n=300, length=25):
 @pytest.mark.parametrize(
     "module,rules,pieces",
     [
-        (secrets, SECRET_RULES, ["password", "PASSWD", "Secret", "token", "api_key", "apikey", ":", "=", " ", '"', "'", "abcdef01", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "é", "😀", "\n", "ſ", "K", "zz", "-"]),
-        (pii, PII_RULES, ["a", "b.c", "@", ".", "-", "x.org", "+", "1", "12", "255", "256", " ", "4111 1111 1111 1111", "5500000000000004", "(0)", "1.2.3.4", "é", "😀", "+1 (555) 010-9999", "٣", "\n", "0.0.0.0."]),
+        (
+            secrets,
+            SECRET_RULES,
+            [
+                "password",
+                "PASSWD",
+                "Secret",
+                "token",
+                "api_key",
+                "apikey",
+                ":",
+                "=",
+                " ",
+                '"',
+                "'",
+                "abcdef01",
+                "AKIA",
+                "ABCDEFGH1234",
+                "0123456789abcdef",
+                "é",
+                "😀",
+                "\n",
+                "ſ",
+                "K",
+                "zz",
+                "-",
+            ],
+        ),
+        (
+            pii,
+            PII_RULES,
+            [
+                "a",
+                "b.c",
+                "@",
+                ".",
+                "-",
+                "x.org",
+                "+",
+                "1",
+                "12",
+                "255",
+                "256",
+                " ",
+                "4111 1111 1111 1111",
+                "5500000000000004",
+                "(0)",
+                "1.2.3.4",
+                "é",
+                "😀",
+                "+1 (555) 010-9999",
+                "٣",
+                "\n",
+                "0.0.0.0.",
+            ],
+        ),
     ],
 )
 def test_base_spans_equal_plain_regexes(spark, module, rules, pieces):
@@ -140,7 +194,10 @@ def test_decontamination_equals_brute_force(spark, part_words):
 
 
 def test_decontaminate_keeps_columns_and_empty_tables(spark):
-    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven", 5, "x"), (2, "clean", 6, "y"), (3, None, 7, "z")], "doc_id long, text string, __items long, item_id string")
+    docs = spark.createDataFrame(
+        [(1, "one two three four five six seven eight nine ten eleven", 5, "x"), (2, "clean", 6, "y"), (3, None, 7, "z")],
+        "doc_id long, text string, __items long, item_id string",
+    )
     bench = spark.createDataFrame([(1, "ONE two three four five six seven eight nine ten")], "item_id long, text string")
     kept = decontam.decontaminate(docs, bench)
     assert kept.columns == docs.columns
