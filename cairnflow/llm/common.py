@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -45,20 +46,20 @@ def scratch_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-#: Scratch tables of the running session by the owner that was named when they were written.
-_OWNED: dict[str, list[str]] = {}
-_OWNER = [""]
+#: Scratch tables by application and by the owner that the writing thread had named.
+_OWNED: dict[tuple[str, str], list[str]] = {}
+_THREAD = threading.local()
 
 
 def own_scratch(owner: str) -> None:
-    """Name the owner of the scratch tables written from now on."""
-    _OWNER[0] = owner
+    """Name the owner of the scratch tables that this thread writes from now on."""
+    _THREAD.owner = owner
 
 
 def release(spark: SparkSession, owner: str) -> None:
     """Delete the scratch tables of an owner whose results have been written elsewhere."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _OWNED.pop(owner, []):
+    for path in _OWNED.pop((spark.sparkContext.applicationId, owner), []):
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
 
@@ -71,7 +72,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(conf).deleteOnExit(at)
-    _OWNED.setdefault(_OWNER[0], []).append(path)
+    _OWNED.setdefault((spark.sparkContext.applicationId, getattr(_THREAD, "owner", "")), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
