@@ -22,6 +22,8 @@ BLOCK_ROWS = 4_096
 TILE_SCORES = 4_000_000
 #: Numbers of a codebook that is sent to the executors: 256 MB. Larger ones are a fault of the caller.
 MOST_CODEBOOK = 32_000_000
+#: Rows a code in the sample from which seeds are drawn.
+SEED_ROWS = 16
 
 
 def knn(base: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, forbidden: DataFrame | None = None) -> DataFrame:
@@ -175,13 +177,15 @@ def shrunk_centroids(frame: DataFrame, code: str, vector: str, tau: float) -> Da
 
 
 def fit_spherical(frame: DataFrame, k: int, vector: str = "embedding", id_: str = "vec_id", iterations: int = 8) -> list[tuple[int, list[float]]]:
-    """Spherical k-means: seeds are rows spread by hash order, assignment runs in Arrow, only K means return a round.
+    """Spherical k-means: seeds by k-means++ over a bounded sample, assignment runs in Arrow, only K means return a round.
 
-    A code that loses all rows takes the row that fits its own code worst.
+    The sample are the SEED_ROWS * k rows of smallest hash (fewer where that passes MOST_CODEBOOK numbers). A code that loses all
+    rows takes the row that fits its own code worst.
     """
     data = frame.select(id_, V.unit(F.col(vector)).alias("__v")).where("__v is not null")
-    seeds = data.orderBy(F.xxhash64(id_), id_).limit(k).collect()
-    centroids = [(i, list(r["__v"])) for i, r in enumerate(seeds)]  # k rows
+    width = len((data.first() or {"__v": [0.0]})["__v"])
+    sample = data.orderBy(F.xxhash64(id_), id_).limit(max(k, min(SEED_ROWS * k, MOST_CODEBOOK // max(1, width)))).collect()
+    centroids = list(enumerate(spread_seeds(np.array([r["__v"] for r in sample], np.float64), k)))
     for _ in range(iterations if centroids else 0):
         assigned = assign(data, centroids, "__v")
         means = {r["code"]: r["mean"] for r in mean_vector(assigned, ["code"], "__v").collect()}
@@ -196,6 +200,18 @@ def fit_spherical(frame: DataFrame, k: int, vector: str = "embedding", id_: str
     return centroids
 
 
+def spread_seeds(rows: np.ndarray, k: int) -> list[list[float]]:
+    """k-means++ on unit rows by cosine distance: each next seed is drawn with a chance proportional to its distance from the nearest one."""
+    draw = np.random.Generator(np.random.PCG64(len(rows)))
+    seeds, near = [], np.full(len(rows), -1.0)
+    while len(seeds) < min(k, len(rows)):
+        d = np.maximum(0.0, 1.0 - near) if seeds else np.eye(1, len(rows))[0]  # the first row comes first
+        at = draw.choice(len(rows), p=d / d.sum()) if d.sum() > 1e-12 else len(seeds)
+        seeds.append(rows[at].tolist())
+        near = np.maximum(near, rows @ rows[at])
+    return seeds
+
+
 def _unit(v) -> list[float]:
     a = np.asarray(v, np.float64)
     n = np.linalg.norm(a)

@@ -177,10 +177,10 @@ def first_separating_precision(spark, sf):
     return ids.first_precision(c, ["s1", "s2"], "g", [2, 4, 6]).select("vec_id", "first_length")
 
 
-@query(f"""WITH {CODES}, k AS (SELECT s1, s2, s3, min(vec_id) AS vec_id, count(*) AS class_size FROM codes GROUP BY ALL) SELECT *
+@query(f"""WITH {CODES}, k AS (SELECT s1, s2, [s3, t3] AS v, min(vec_id) AS vec_id, count(*) AS class_size FROM codes GROUP BY ALL) SELECT *
 FROM (SELECT s1, s2, vec_id, class_size, count(*) OVER (PARTITION BY s1, s2) AS classes FROM k) WHERE classes > 1""")
 def exact_vector_classes(spark, sf):
-    return ids.exact_vector_classes(codes(spark, sf), ["s1", "s2"], "s3", "vec_id")
+    return ids.exact_vector_classes(codes(spark, sf).withColumn("v", F.array("s3", "t3")), ["s1", "s2"], "v", "vec_id")
 
 
 @query()
