@@ -78,7 +78,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        out = stage(spark, docs, sf_dir)
+        own_scratch(f"out-{name}")
+        try:
+            docs = materialise(out, name)
+        finally:
+            own_scratch("")
+        if before:  # this stage's rows are written, so those it was made of can go
+            release(spark, before)
+        before = f"out-{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
