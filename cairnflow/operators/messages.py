@@ -37,12 +37,12 @@ def history_faults(history: Column, declared: Column, current: Column, start: Co
     return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull())
 
 
-def collect_history(events: DataFrame, user: str, time: str, id_: str, most: int) -> DataFrame:
+def collect_history(events: DataFrame, user: str, time: str, id_: str, most: int, fields: tuple[str, ...] = ("query", "poi")) -> DataFrame:
     """Each event with the user's last `most` earlier events, oldest first; equal times are not earlier.
 
     Of each time the last `most` events are collected once, and the `most` times before an event's own hold its history."""
     last = Window.partitionBy(user, time).orderBy(F.desc(id_))
-    event = F.struct(F.col(time).alias("event_time"), F.col("query"), F.col("poi"))
+    event = F.struct(F.col(time).alias("event_time"), *fields)
     ranked = events.where(F.col(time).isNotNull()).select(
         F.col(user).alias("__user"),
         F.col(time).alias("__time"),

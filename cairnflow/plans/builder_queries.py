@@ -37,11 +37,8 @@ def orders(spark, sf):
         (39.5 + (k % 50) / 100.0).alias("lat"),
         F.concat("event_type", (k % 5).cast("string")).alias("target"),
     )
-    h = e.select(F.col("user").alias("u"), F.col("sample").alias("i"), F.struct(F.col("ts").alias("event_time"), "query", F.col("target").alias("poi"), "lng", "lat").alias("e"))
-    both = e.select("sample", "user", "ts").join(h, (F.col("user") == F.col("u")) & (F.col("e.event_time") < F.col("ts")))
-    last = both.withColumn("r", F.row_number().over(Window.partitionBy("sample").orderBy(F.desc("e.event_time"), F.desc("i")))).where("r <= 3")
-    closed = last.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("r")).alias("r"), "e"))), lambda x: x["e"]).alias("history"))
-    return e.join(closed, "sample", "left").withColumn("history", F.coalesce("history", F.array().cast(bd.HISTORY)))
+    told = messages.collect_history(e.withColumn("poi", F.col("target")), "user", "ts", "sample", 3, ("query", "poi", "lng", "lat"))
+    return told.drop("poi")
 
 
 def order_ids(spark, sf):
