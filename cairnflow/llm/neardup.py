@@ -226,16 +226,31 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int = WORDS) -> DataFrame:
 
     def run(batches):
         hashes, table = WordHashes(), shared.value
+        seen: set[tuple] = set()
+
+        def first(whole, wanted):
+            """wanted less the rows that repeat an id and its text within this task, so that repeats of any number don't travel."""
+            for i in np.flatnonzero(wanted).tolist():
+                key = (whole.column("doc_id")[i].as_py(), whole.column("h1")[i].as_py(), whole.column("h2")[i].as_py())
+                wanted[i] = key not in seen
+                seen.add(key)
+            if len(seen) > 100_000:
+                seen.clear()
+            return pa.array(wanted)
+
         for whole in batches:
             x = whole.column("place").to_numpy()
-            for batch in slices(whole.filter(pa.array((table[x >> 6] >> (x & 63)) & 1 == 1))):
+            for batch in slices(whole.filter(first(whole, (table[x >> 6] >> (x & 63)) & 1 == 1))):
                 made = [shingles(t, hashes, width).tobytes() for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h1", "h2")), pa.array(made, pa.binary())], ["doc_id", "h1", "h2", "s"])
 
     sent = keyed(docs.select("doc_id", "text")).select("doc_id", "h1", "h2", "text", place.alias("place"))
-    near = sent.mapInArrow(run, "doc_id long, h1 long, h2 long, s binary").dropDuplicates(["doc_id", "h1", "h2"])
-    asked = wanted.withColumnRenamed("doc_id", "__id")
-    return near.join(asked, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("__id"))).select("rep", "n_shingles", "s")
+    # plain keys, so that one shuffle serves the join and the last repeats
+    keyed_by = [F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("no_id"), "h1", "h2"]
+    near = sent.mapInArrow(run, "doc_id long, h1 long, h2 long, s binary").select(*keyed_by, "s")
+    key = ["i", "no_id", "h1", "h2"]
+    both = near.join(wanted.select(*keyed_by, "rep", "n_shingles"), key)
+    return both.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("rep", "n_shingles", "s")]).select("rep", "n_shingles", "s")
 
 
 def judged(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
