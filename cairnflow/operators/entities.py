@@ -115,6 +115,7 @@ def label(value: Column, unicode: bool = True) -> Column:
     return F.coalesce(F.substring(F.regexp_replace(t, r"^[-_:：,，.。;；/|｜\[\]【】]+|[-_:：,，.。;；/|｜\[\]【】]+$", ""), 1, 160), F.lit(""))
 
 
+# Patterns of roads, codes, names with brackets or gates, and plain numbers.
 ROAD = r"([A-Z0-9㐀-鿿·]{1,32}(?:高速公路|公路|大道|大街|胡同|路|街|道|巷))"
 CODE = r"^[A-Z]{0,2}[-_]?0*[0-9]{1,6}$"
 COMPOUND = r"^[0-9]{1,5}(?:-[0-9]{1,5}){1,2}$"
@@ -158,6 +159,7 @@ def split_name(name: Column, unicode: bool = True) -> Column:
 
 #: Largest value of a fine relation.
 MOST = 32_767
+# Codes of letters and digits, and what follows a building's number.
 ALNUM = r"(?<![A-Z0-9])([A-Z]{0,2})[-_]?([0-9]{1,6})([A-Z]{0,2})"
 STOREY = r"(?:号)?(?:楼|栋|幢|座)"
 # Fine numeric relations of a name, and what follows their number.
