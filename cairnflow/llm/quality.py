@@ -293,7 +293,10 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
 
         return run
 
-    return materialise(map_rows(rows, ["text", "__lang"], FEATURES, work, [*keep, "__lang"]), "measured")
+    out = materialise(map_rows(rows, ["text", "__lang"], FEATURES, work, [*keep, "__lang"]), "measured")
+    for shared in parts:  # the rows are written; nothing reads the model again
+        shared.destroy()
+    return out
 
 
 def bands(measured: DataFrame) -> DataFrame:
