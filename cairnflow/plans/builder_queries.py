@@ -101,10 +101,11 @@ def training_references(spark, sf):
     return out.select("sample", "split", "target_row", F.array_join(F.transform("history_rows", lambda r: r.cast("string")), ",").alias("history_rows"))
 
 
-@query(f"""WITH {_ORDERS} SELECT 'history' AS origin, \"user\", poi, ts FROM (SELECT DISTINCT e.\"user\", h3.poi, h3.ts FROM h3 JOIN e USING (sample)) UNION ALL
-SELECT 'target', \"user\", target, ts FROM e WHERE ts::DATE BETWEEN DATE '2024-01-02' AND DATE '2024-01-03'""")
+@query(f"""WITH {_ORDERS} SELECT 'history' AS origin, \"user\", poi, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM (SELECT DISTINCT e.\"user\", h3.poi, h3.ts FROM h3 JOIN e USING (sample)) UNION ALL
+SELECT 'target', \"user\", target, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') FROM e WHERE ts::DATE BETWEEN DATE '2024-01-02' AND DATE '2024-01-03'""")
 def feature_interactions(spark, sf):
-    return bd.interactions(orders(spark, sf), "2024-01-02", "2024-01-03").select("origin", "user", "poi", "ts")
+    out = bd.interactions(orders(spark, sf), "2024-01-02", "2024-01-03")
+    return out.select("origin", "user", "poi", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
 @query("""WITH u AS (SELECT (user_id % 50)::VARCHAR AS \"user\", CASE WHEN event_id % 700 = 3 THEN 'b' ELSE 'a' END AS h FROM events WHERE user_id IS NOT NULL)

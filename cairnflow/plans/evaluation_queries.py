@@ -217,7 +217,7 @@ def additive_decomposition(spark, sf):
 ORDER BY event_id) AS imp FROM events),
 m AS (SELECT *, coalesce(i > 6 AND imp < -0.5, false) AS worse FROM t), g AS (SELECT *, sum((NOT worse)::INTEGER) OVER (PARTITION BY event_type
 ORDER BY i) AS island FROM m)
-SELECT event_type, i, CAST(sum(worse::INTEGER) OVER (PARTITION BY event_type, island ORDER BY i) AS INTEGER) AS streak FROM g"""
+SELECT event_type, CAST(i AS INTEGER) AS i, CAST(sum(worse::INTEGER) OVER (PARTITION BY event_type, island ORDER BY i) AS INTEGER) AS streak FROM g"""
 )
 def objective_streaks(spark, sf):
     from pyspark.sql import Window
