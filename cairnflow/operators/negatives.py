@@ -23,12 +23,21 @@ def top_per(pairs: DataFrame, row: str, order: list[Column], k: int) -> DataFram
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(row).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def _sides(frame: DataFrame) -> DataFrame:
-    """id, hashed name and address n-grams, code and category of lexical_topk's rows; columns that are missing are null."""
-    have = lambda c: F.col(c) if c in frame.columns else F.lit(None).cast("string")
-    grams = lambda c: F.transform(text.character_ngrams(F.lower(have(c))), lambda g: F.xxhash64(g))
-    key = lambda c: have(c).cast("string")
-    return frame.select(F.col("id").cast("long").alias("id"), grams("name").alias("n"), grams("address").alias("a"), key("code").alias("c"), key("category").alias("g"))
+#: What decides a row's scores: rows that agree in it are of one class.
+_CONTENT = ["name", "address", "code", "category"]
+
+
+def _contents(frame: DataFrame) -> DataFrame:
+    """id and content of lexical_topk's rows; columns that are missing are null. Rows without an id are in no pair."""
+    have = lambda c: F.col(c).cast("string") if c in frame.columns else F.lit(None).cast("string")
+    plain = lambda c: F.regexp_replace(F.lower(F.coalesce(have(c), F.lit(""))), r"\s", "").alias(c)
+    return frame.select(F.col("id").cast("long").alias("id"), plain("name"), plain("address"), have("code").alias("code"), have("category").alias("category")).where("id is not null")
+
+
+def _sides(classes: DataFrame, *more: str) -> DataFrame:
+    """Hashed name and address n-grams, code and category of classes, and more of their columns."""
+    grams = lambda c: F.transform(text.character_ngrams(F.col(c)), lambda g: F.xxhash64(g))
+    return classes.select(*more, grams("name").alias("n"), grams("address").alias("a"), F.col("code").alias("c"), F.col("category").alias("g"))
 
 
 class _Postings:
@@ -69,66 +78,84 @@ def _same(block: pd.Series, rows: pd.Series) -> np.ndarray:
     return ((r[:, None] == b[None, :]) & known).astype(float)
 
 
+def _first(rows: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Places of the best rows (_SCORED) of each target, in order, at most as many as most has for it."""
+    order = np.lexsort((rows["candidate"], *[-rows[c] for c in reversed(_SCORED.names[2:])], rows["t"]))
+    t = rows["t"][order]
+    return order[np.arange(len(t)) - np.searchsorted(t, t) < most[t]]
+
+
 def lexical_topk(targets: DataFrame, catalog: DataFrame, k: int, forbidden: DataFrame | None = None, block_rows: int = 1024) -> DataFrame:
     """target, candidate, name_score, same_code, same_category, address_score, rank: the best k by those four, then by id.
 
     Both sides: id (a whole number), name, and where there are such, code, category, address. Names and addresses are compared by
     their character bigrams (Jaccard). Candidates with nothing in common are dropped, as are a target itself and the pairs of
-    forbidden (target, candidate). Targets are broadcast in blocks; a task counts shared n-grams of its rows by the block's
-    inverted lists and keeps k a target, so no pair is shuffled but the k best."""
+    forbidden (target, candidate). Rows of equal content score alike, so classes of content meet, not rows: a class of targets
+    wants the best k and as many more as one of its targets may not take, and of a class of candidates as many smallest ids can be
+    wanted. Classes of targets are broadcast in blocks; a task counts shared n-grams of its classes by the block's inverted lists
+    and keeps that many rows a class of targets, so no pair is shuffled but the best ones."""
     spark = targets.sparkSession
-    sides = _sides(targets)
-    banned = None
+    asking, asked = _contents(targets), _contents(catalog)
+    banned = asking.select(F.col("id").alias("target"), F.col("id").alias("candidate"))
     if forbidden is not None:
-        lists = forbidden.groupBy(F.col("target").cast("long").alias("id")).agg(F.collect_set(F.col("candidate").cast("long")).alias("f"))
-        sides, banned = sides.join(lists, "id", "left"), True
-    rows = _sides(catalog)
-    schema = "target long, candidate long, name_score double, same_code int, same_category int, address_score double"
+        pairs = forbidden.select(F.col("target").cast("long").alias("target"), F.col("candidate").cast("long").alias("candidate"))
+        banned = banned.unionByName(pairs.join(asking.select(F.col("id").alias("target")), "target", "left_semi"))
+    banned = banned.distinct()
+    lost = banned.join(asked.select(F.col("id").alias("candidate")), "candidate").groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("lost"))
+    per = asking.join(lost, "id", "left").groupBy(*_CONTENT).agg((F.coalesce(F.max("lost"), F.lit(0)) + k).alias("most"))
+    wanted = cut(per.withColumn("t", F.monotonically_increasing_id()))
+    schema = "t long, candidate long, name_score double, same_code int, same_category int, address_score double"
+    most = wanted.agg(F.max("most")).first()[0]
+    if most is None:
+        return spark.createDataFrame([], schema.replace("t long", "target long") + ", rank int")
+    smallest = asked.withColumn("rank", F.row_number().over(Window.partitionBy(*_CONTENT).orderBy("id"))).where(F.col("rank") <= most)
+    members = smallest.groupBy(*_CONTENT).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    rows = cut(_sides(members.repartition(spark.sparkContext.defaultParallelism, *_CONTENT), "ids"))
     out = None
-    for part in blocks(sides, block_rows):
-        block = pd.DataFrame([r.asDict() for r in part])
-        shared = spark.sparkContext.broadcast(block)
+    for part in blocks(_sides(wanted, "t", "most"), block_rows):
+        shared = spark.sparkContext.broadcast(pd.DataFrame([r.asDict() for r in part]))
 
         def best(frames, shared=shared):
             block = shared.value
-            ids = block["id"].to_numpy(np.int64)
+            most = block["most"].to_numpy(np.int64)
             arrays = lambda column: [np.array(x if x is not None else [], np.int64) for x in column]
             name, address = _Postings(arrays(block["n"])), _Postings(arrays(block["a"]))
-            own = [(t, c) for t, i in enumerate(ids) for c in (i, *(list(block["f"][t]) if banned and block["f"][t] is not None else []))]
-            gone_t, gone_c = (np.array(x, np.int64) for x in zip(*own, strict=True))
-            distinct = np.unique(gone_c)
-            gone = np.unique(gone_t * len(distinct) + np.searchsorted(distinct, gone_c))
             kept = np.empty(0, _SCORED)
-            floor = np.zeros(len(ids))
-            step = max(1, 500_000 // len(ids))
+            floor = np.zeros(len(block))
+            step = max(1, 500_000 // len(block))
             for frame in frames:
                 for at in range(0, len(frame), step):
                     tile = frame.iloc[at : at + step]
-                    cand = tile["id"].to_numpy(np.int64)
+                    ids = arrays(tile["ids"])
+                    smallest, members = np.array([x[0] for x in ids]), np.array([len(x) for x in ids])
                     score = name.overlap(arrays(tile["n"]))
                     code, cat = _same(block["c"], tile["c"]), _same(block["g"], tile["g"])
                     near = address.overlap(arrays(tile["a"]))
                     r, t = np.nonzero((score >= floor) & ((score > 0) | (code > 0) | (cat > 0) | (near > 0)))
-                    place = np.minimum(np.searchsorted(distinct, cand[r]), len(distinct) - 1)
-                    free = (distinct[place] != cand[r]) | ~np.isin(t * len(distinct) + place, gone)
-                    r, t = r[free], t[free]
                     more = np.empty(len(r), _SCORED)
-                    for field, values in zip(_SCORED.names, (t, cand[r], score[r, t], code[r, t], cat[r, t], near[r, t]), strict=True):
+                    for field, values in zip(_SCORED.names, (t, smallest[r], score[r, t], code[r, t], cat[r, t], near[r, t]), strict=True):
                         more[field] = values
+                    first = _first(more, most)  # no member of another class is among the best rows
+                    if not len(first):
+                        continue
+                    r = r[first]
+                    more = np.repeat(more[first], members[r])
+                    more["candidate"] = np.concatenate([ids[i] for i in r])
                     kept = np.concatenate([kept, more])
-                    kept = kept[np.lexsort((kept["candidate"], *[-kept[c] for c in reversed(_SCORED.names[2:])], kept["t"]))]
+                    kept = kept[_first(kept, most)]
                     rank = np.arange(len(kept)) - np.searchsorted(kept["t"], kept["t"])
-                    kept, rank = kept[rank < k], rank[rank < k]
-                    floor[kept["t"][rank == k - 1]] = kept["name_score"][rank == k - 1]
+                    last = rank == most[kept["t"]] - 1
+                    floor[kept["t"][last]] = kept["name_score"][last]
             if len(kept):
-                yield pd.DataFrame({"target": ids[kept["t"]]} | {c: kept[c] for c in _SCORED.names[1:]})
+                yield pd.DataFrame({"t": block["t"].to_numpy(np.int64)[kept["t"]]} | {c: kept[c] for c in _SCORED.names[1:]})
 
         found = rows.mapInPandas(best, schema)
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], schema)
     order = [F.desc("name_score"), F.desc("same_code"), F.desc("same_category"), F.desc("address_score"), F.col("candidate")]
-    return top_per(out, "target", order, k)
+    found = top_per(out, "t", order, most).drop("rank").join(wanted.select("t", *_CONTENT), "t").drop("t")
+    both = reduce(Column.__and__, [asking[c].eqNullSafe(found[c]) for c in _CONTENT])
+    met = asking.join(found, both).select(F.col("id").alias("target"), "candidate", *[found[c] for c in _SCORED.names[2:]])
+    return top_per(met.join(banned, ["target", "candidate"], "left_anti"), "target", order, k)
 
 
 def geo_topk(points: DataFrame, k: int, same: tuple[str, ...] = ()) -> DataFrame:

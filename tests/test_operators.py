@@ -147,6 +147,33 @@ def test_lexical_and_geographic_neighbours_equal_all_pairs(spark):
     assert [round(r[0], 4) for r in pairs.select(text.tiered_similarity(F.col("q"), F.col("t"))).collect()] == [1.0, 0.95, 0.925, 0.6667, 0.0]
 
 
+def test_lexical_candidates_meet_by_content(spark, monkeypatch):
+    contents = [("large ring", "b1"), ("large ring", "b2"), ("hot bolt", "b1"), ("hot bolts", None), ("zz", "b3"), (None, "b2")]
+    rows = [(i, *contents[i * i % 7 % 6]) for i in range(240)] + [(7, "hot bolt", "b2"), (7, "hot bolt", "b2"), (7, "zz", "b3"), (None, "large ring", "b1")]
+    df = spark.createDataFrame(rows, "id long, name string, code string")
+    asks = df.where("id % 5 < 4 or id is null")
+    gone = [(i, j) for i in (0, 7, 14, 77) for j in range(0, 200, i % 3 + 1)]
+    seen = []
+    monkeypatch.setattr(negatives, "blocks", lambda frame, size, f=negatives.blocks: (b for b in f(frame, size) if seen.append(len(b)) is None))
+    found = negatives.lexical_topk(asks, df.repartition(5), 4, spark.createDataFrame(gone, "target long, candidate long"), 2).collect()
+    assert sum(seen) <= len(contents) + 1  # not one for every target
+    grams = lambda t: {t[k : k + 2] for k in range(len(t) - 1)} if t else set()
+    jac = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    sets = [(i, grams((n or "").replace(" ", "")), c) for i, n, c in rows if i is not None]
+    banned = set(gone)
+    want = {}
+    for i, g, c in (x for x in sets if x[0] % 5 < 4):
+        for j, h, d in sets:
+            key = (-jac(g, h), -int(c is not None and c == d), j)
+            if i != j and key[:2] != (0, 0) and (i, j) not in banned:
+                want.setdefault(i, []).append(key)
+    got = {}
+    for x in sorted(found, key=lambda x: (x.target, x["rank"])):
+        got.setdefault(x.target, []).append((-x.name_score, -x.same_code, x.candidate))
+        assert x["rank"] == len(got[x.target])
+    assert got == {i: sorted(v)[:4] for i, v in want.items()}
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(0,), (1023,), (1024,), (1024**2 + 5,)], "v long")
     got = df.select(tokens.token_cost(F.col("v")), tokens.digits1024(F.col("v"))).collect()
