@@ -90,53 +90,75 @@ def shortest_descriptions(rows: DataFrame, bucket: str, id_: str, relations: lis
     return rows.select(bucket, id_, *relations).groupBy(bucket).applyInPandas(solve, f"{bucket} {kind[bucket]}, {id_} {kind[id_]}, description string")
 
 
-def hungarian(cost: np.ndarray) -> list[int]:
-    """Column of each row in a cheapest assignment (rows <= columns), by shortest augmenting paths."""
+def hungarian(cost: np.ndarray, most: int = 1) -> list[int]:
+    """Column of each row in a cheapest assignment that takes no column more than `most` times (rows <= columns * most).
+
+    Shortest augmenting paths over the columns that are full: a path leads to a free column, and each full one on it passes on the
+    row that is cheapest to move. Full columns stand first; move[f, j] is the price of moving a row from f to j, mover its row."""
     n, m = cost.shape
-    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        low, back, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
-        while True:
-            used[j0] = True
-            i0 = match[j0]
-            free = ~used[1:]
-            now = cost[i0 - 1] - u[i0] - v[1:]
-            better = free & (now < low[1:])
-            low[1:][better], back[1:][better] = now[better], j0
-            j1 = int(np.argmin(np.where(used[1:], np.inf, low[1:]))) + 1
-            delta = low[j1]
-            u[match[used]] += delta
-            v[used] -= delta
-            low[~used] -= delta
-            j0 = j1
-            if match[j0] == 0:
-                break
-        while j0:
-            j1 = back[j0]
-            match[j0], j0 = match[j1], j1
-    out = [0] * n
-    for j in range(1, m + 1):
-        if match[j]:
-            out[match[j] - 1] = j - 1
-    return out
+    if n > m * most:
+        raise ValueError("more rows than columns can take")
+    cost = np.array(cost, float)
+    slack = 1e-13 * max(1.0, float(np.abs(cost).max(initial=0)))
+    column, full, rows = np.arange(m), 0, [[] for _ in range(m)]
+    move, mover = np.zeros((min(m, n // most), m)), np.zeros((min(m, n // most), m), int)
+    for i in range(n):
+        low, back, new = cost[i, :full].copy(), np.full(full, -1), np.arange(full)
+        while len(new):  # low: the least price of a place in each full column
+            price = low[new, None] + move[new, :full]
+            at = price.argmin(0)
+            price = price[at, np.arange(full)]
+            better = np.flatnonzero(price < low - slack)
+            low[better], back[better], new = price[better], new[at[better]], better
+        end, f = full + int(cost[i, full:].argmin()), -1
+        if full:
+            price = low[:, None] + move[:full, full:]
+            a, b = divmod(int(price.argmin()), m - full)
+            if price[a, b] < cost[i, end] - slack:
+                f, end = a, full + b
+        changed, to = [], end
+        while f >= 0:
+            rows[f].remove(mover[f, to])
+            rows[to].append(int(mover[f, to]))
+            changed.append(f)
+            to, f = f, back[f]
+        rows[to].append(i)
+        if len(rows[end]) == most:
+            for x in (cost, move, mover):
+                x[:, [end, full]] = x[:, [full, end]]
+            rows[end], rows[full] = rows[full], rows[end]
+            column[[end, full]] = column[[full, end]]
+            changed.append(full)
+            full += 1
+        for f in changed:
+            price = cost[rows[f]] - cost[rows[f], f][:, None]
+            at = price.argmin(0)
+            move[f], mover[f] = price[at, np.arange(m)], np.array(rows[f])[at]
+    out = np.zeros(n, int)
+    for c, inside in zip(column, rows, strict=True):
+        out[inside] = c
+    return out.tolist()
 
 
 def unique_pairs(rows: DataFrame, bucket: str, id_: str, vector: str, prototypes: list[list[float]]) -> DataFrame:
     """bucket, id, code, cost: codes without repeats in a bucket at the least summed squared distance; the nearest
-    ones where they are unique already. A bucket has at most as many rows as there are prototypes."""
+    ones where they are unique already.
+
+    A code is its prototype's number plus the number of prototypes times a layer. A bucket has as few layers as hold its rows: one
+    (the code is the prototype) if there are as many prototypes as rows. Rows of one prototype lie in its layers by id."""
     p = np.array(prototypes)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_)
         x = np.stack(pdf[vector].to_numpy())
         d = np.maximum((x**2).sum(1)[:, None] - 2 * x @ p.T + (p**2).sum(1), 0)
-        code = d.argmin(1)
-        if len(set(code.tolist())) < len(code):
-            if len(code) > len(p):
-                raise ValueError("a bucket has more rows than there are codes")
-            code = np.array(hungarian(d))
-        return pd.DataFrame({bucket: pdf[bucket], id_: pdf[id_], "code": code.astype("int32"), "cost": d[np.arange(len(code)), code]})
+        nearest = d.argmin(1)
+        if len(set(nearest.tolist())) < len(nearest):
+            nearest = np.array(hungarian(d, -(-len(d) // len(p))))
+        layer = pd.Series(nearest).groupby(nearest).cumcount().to_numpy()
+        code = (nearest + len(p) * layer).astype("int32")
+        return pd.DataFrame({bucket: pdf[bucket], id_: pdf[id_], "code": code, "cost": d[np.arange(len(d)), nearest]})
 
     kind = dict(rows.dtypes)
-    return rows.select(bucket, id_, vector).groupBy(bucket).applyInPandas(solve, f"{bucket} {kind[bucket]}, {id_} {kind[id_]}, code int, cost double")
+    dealt = rows.select(bucket, id_, vector).repartition(rows.sparkSession.sparkContext.defaultParallelism, bucket)  # few bytes, much work: not to be coalesced
+    return dealt.groupBy(bucket).applyInPandas(solve, f"{bucket} {kind[bucket]}, {id_} {kind[id_]}, code int, cost double")

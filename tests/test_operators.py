@@ -224,6 +224,32 @@ def test_assignment_is_cheapest():
         assert len(set(got)) == n and sum(c[i, got[i]] for i in range(n)) == pytest.approx(best)
 
 
+def test_codes_of_buckets_with_more_rows_than_prototypes(spark):
+    r = np.random.default_rng(5)
+    prototypes = r.normal(size=(3, 2))
+    x = {(b, i): r.normal(size=2) for b, n in (("one", 1), ("few", 3), ("full", 6), ("many", 7)) for i in range(n)}
+    df = spark.createDataFrame([(b, i, v.tolist()) for (b, i), v in x.items()], "b string, id long, v array<double>")
+    got = {}
+    for y in solvers.unique_pairs(df.repartition(3), "b", "id", "v", prototypes.tolist()).collect():
+        got.setdefault(y.b, {})[y.id] = y.code
+        assert y.cost == pytest.approx(((x[y.b, y.id] - prototypes[y.code % 3]) ** 2).sum())
+    for b, codes in got.items():
+        n = sum(k[0] == b for k in x)
+        most = -(-n // 3)
+        d = np.array([((x[b, i] - prototypes) ** 2).sum(1) for i in range(n)])
+        best = min(sum(d[range(n), q]) for q in itertools.product(range(3), repeat=n) if max(q.count(c) for c in q) <= most)
+        assert sorted(codes) == list(range(n)) and len(set(codes.values())) == n and max(codes.values()) < 3 * most
+        assert sum(d[i, c % 3] for i, c in codes.items()) == pytest.approx(best)
+    for n, m in ((40, 3), (60, 7), (30, 30)):  # a full column may have to pass on rows by way of others; equal rows
+        cost = r.random((n, m))
+        cost[n // 2 :] = cost[: n - n // 2]
+        taken = solvers.hungarian(cost, -(-n // m))
+        wide = solvers.hungarian(np.tile(cost, (1, -(-n // m))))
+        assert max(np.bincount(taken)) <= -(-n // m) and cost[range(n), taken].sum() == pytest.approx(cost[range(n), np.array(wide) % m].sum())
+    with pytest.raises(ValueError):
+        solvers.hungarian(np.ones((5, 2)), 2)
+
+
 def test_bucket_solvers(spark):
     rows = [(b, i, i % 2, i // 2 % 3 - 1, i % 5, 1.0) for b in ("x", "y") for i in range(8)]
     df = spark.createDataFrame(rows, "b string, id long, r1 int, r2 int, r3 int, w double")
