@@ -55,15 +55,15 @@ class _Postings:
         """Similarity (Jaccard; 0 for two empty sets) of each of sets to each target."""
         size = np.array([len(s) for s in sets], np.int64)
         flat, row = np.concatenate([*sets, np.empty(0, np.int64)]), np.repeat(np.arange(len(sets)), size)
-        both = np.zeros(len(sets) * len(self.size))
-        if len(flat) and len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, flat), len(self.keys) - 1)
-            known = self.keys[at] == flat
-            at, row = at[known], row[known]
-            n = self.count[at]
-            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            target = self.owner[np.repeat(self.start[at], n) + within]
-            both = np.bincount(np.repeat(row, n) * len(self.size) + target, minlength=len(both)).astype(float)
+        if not len(flat) or not len(self.keys):
+            return np.zeros((len(sets), len(self.size)))
+        at = np.minimum(np.searchsorted(self.keys, flat), len(self.keys) - 1)
+        known = self.keys[at] == flat
+        at, row = at[known], row[known]
+        n = self.count[at]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        target = self.owner[np.repeat(self.start[at], n) + within]
+        both = np.bincount(np.repeat(row, n) * len(self.size) + target, minlength=len(sets) * len(self.size)).astype(float)
         both = both.reshape(len(sets), len(self.size))
         return both / np.maximum(1.0, size[:, None] + self.size[None, :] - both)
 
@@ -73,9 +73,9 @@ _SCORED = np.dtype([("t", np.int64), ("candidate", np.int64), ("name_score", flo
 
 
 def _same(block: pd.Series, rows: pd.Series) -> np.ndarray:
-    b, r = block.to_numpy(dtype=object), rows.to_numpy(dtype=object)
-    known = np.array([x is not None for x in r])[:, None] & np.array([x is not None for x in b])[None, :]
-    return ((r[:, None] == b[None, :]) & known).astype(float)
+    number = pd.factorize(np.concatenate([block.to_numpy(dtype=object), rows.to_numpy(dtype=object)]))[0]
+    b, r = number[: len(block)], number[len(block) :, None]
+    return ((r == b) & (r >= 0)).astype(float)
 
 
 def _first(rows: np.ndarray, most: np.ndarray) -> np.ndarray:
