@@ -254,13 +254,12 @@ FROM part), s AS (SELECT id, code, list_distinct(list_transform(range(1, length(
 
 
 @query(f"""WITH {_GRAMS}, p AS (SELECT a.id AS target, b.id AS candidate, len(list_intersect(a.grams, b.grams)) AS i, len(a.grams) AS la, len(b.grams) AS lb,
-CASE WHEN a.code = b.code THEN 1 ELSE 0 END AS same_code FROM s a JOIN s b ON a.id <> b.id
-WHERE a.id % 20 = 0), q AS (SELECT target, candidate, i / (la + lb - i) AS name_score, same_code FROM p WHERE i > 0 OR same_code > 0)
+CASE WHEN a.code = b.code THEN 1 ELSE 0 END AS same_code FROM s a JOIN s b ON a.id <> b.id), q AS (SELECT target, candidate, i / (la + lb - i) AS name_score, same_code FROM p WHERE i > 0 OR same_code > 0)
 SELECT target, candidate, round(name_score, 9) AS name_score, same_code, CAST(row_number() OVER (PARTITION BY target
 ORDER BY name_score DESC, same_code DESC, candidate) AS INTEGER) AS rank FROM q QUALIFY rank <= 10""")
 def lexical_negatives(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("name"), F.col("p_brand").alias("code"))
-    found = negatives.lexical_topk(p.where("id % 20 = 0"), p, 10)
+    found = negatives.lexical_topk(p, p, 10)
     return rounded(found.select("target", "candidate", "name_score", "same_code", "rank"))
 
 

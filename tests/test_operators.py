@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cairnflow.functions import geo, hashing, text, tokens
 from cairnflow.functions import vector as V
 from cairnflow.operators import catalog, identifiers, messages, metrics, negatives, querystats, sampling, solvers, supervision, vectors
+from cairnflow.plans.registry import QUERIES
 from cairnflow.sources import io
 
 
@@ -174,6 +175,21 @@ def test_lexical_candidates_meet_by_content(spark, monkeypatch):
     assert got == {i: sorted(v)[:4] for i, v in want.items()}
 
 
+def test_lexical_negatives_answer_for_every_part(spark, tmp_path):
+    words = ["large ring", "hot bolt", "Hot bolts", "blue plate", "tin can"]
+    rows = [(3 * i + 1, words[i % 5], f"b{i % 4}", "abba cde"[i % 3 :]) for i in range(90)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    grams = lambda t: {t[k : k + 2] for k in range(len(t) - 1)}
+    sets = [(i, grams(f"{n}{t}".replace(" ", "").lower()), b) for i, n, b, t in rows]
+    want = set()
+    for i, g, b in sets:
+        scored = sorted((-len(g & h) / len(g | h), -int(b == c), j) for j, h, c in sets if i != j and (g & h or b == c))
+        want |= {(i, j, round(-s, 9), -c, k + 1) for k, (s, c, j) in enumerate(scored[:10])}
+    got = QUERIES["lexical_negatives"](spark, str(tmp_path)).collect()
+    assert {x.target for x in got} == {i for i, *_ in rows}
+    assert len(got) == len(want) and {(x.target, x.candidate, x.name_score, x.same_code, x["rank"]) for x in got} == want
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(0,), (1023,), (1024,), (1024**2 + 5,)], "v long")
     got = df.select(tokens.token_cost(F.col("v")), tokens.digits1024(F.col("v"))).collect()
